@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontamination, html_text, neighbours, quality, token_files, url_filter, warc
+from arborlake.llm import decontamination, html_text, jaccard_join, neighbours, quality, repeated_spans, sentencepiece_unigram, token_files, url_filter, warc
 
 END_ID = 2
 
@@ -53,10 +53,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_captures(pages.withColumn("fetched", fetched), list_entries(pages))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90).drop("tkey")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
 
 
+def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.removal_digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_unigram.loaded(tokenizer_path("piece_bpe_32k.model"))
+    return sentencepiece_unigram.round_trip(_table(spark, sf_dir, "documents"), model)
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -75,7 +88,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op4_token_files, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_jaccard_join, op4_token_files, op5_repeated_spans, op6_sentencepiece, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality)}
 
 
 OP1_SQL = r"""
@@ -131,5 +144,20 @@ FROM captures c LEFT JOIN summed USING (page_id)
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE split AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x != '') AS ws FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM split WHERE len(ws) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(doc_id, to_id) AS (SELECT x, y FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.to_id = l.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_jaccard_join": OP3_SQL}

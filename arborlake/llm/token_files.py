@@ -33,7 +33,7 @@ from arborlake.llm.text import pieces
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
 #: Encoded words that a worker keeps, and words without their final punctuation.
-KEPT, KEPT_STEMS = 600_000, 1_000_000
+KEPT, KEPT_STEMS = 1_200_000, 1_200_000
 #: Bytes of one coalesced read.
 READ_BYTES = 8 << 20
 
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     """
     wide = _tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) > 1 << 16
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(shards, "doc_id", "text") if shards else rows.repartitionByRange("doc_id", "text")
+    dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     dealt = dealt.sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
