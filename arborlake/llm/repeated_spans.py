@@ -111,7 +111,8 @@ def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.
 def _judged(runs: DataFrame, interval: int) -> DataFrame:
     """Runs whose core occurs twice: repeated (the hull occurs twice) and next (to be split again)."""
     by_core, by_hull = Window.partitionBy("core"), Window.partitionBy("core", "hull")
-    out = runs.withColumns({"n_hull": F.count("*").over(by_hull), "nth": F.row_number().over(by_hull.orderBy("tkey", "at"))})
+    # dealt by core once: the windows by core and hull need no other shuffle
+    out = runs.repartition("core").withColumns({"n_hull": F.count("*").over(by_hull), "nth": F.row_number().over(by_hull.orderBy("tkey", "at"))})
     out = out.withColumns({"n_core": F.count("*").over(by_core), "open": F.max((F.col("n_hull") == 1).cast("int")).over(by_core)}).where("n_core > 1")
     go = (F.col("n_hull") == 1) | ((F.col("nth") == 1) & (F.col("open") == 1)) if interval > 1 else F.lit(False)
     return out.select("tkey", "at", "low", "high", (F.col("n_hull") > 1).alias("repeated"), go.alias("next")).where("repeated OR next")
