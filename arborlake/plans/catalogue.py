@@ -5,6 +5,342 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborlake.functions import paths
+from arborlake.operators import backup, content, groups, search, tree
+from arborlake.plans.testviews import document_dirs, document_files, document_tree, event_log, label_groups, table
+from arborlake.sources.filesystem import without_prefixes
+from arborlake.streaming.replay import current, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The views that the SQL below starts from.
+FILES = """files AS (SELECT doc_id AS seq, '/' || source || '/' || lang AS parent, 'doc_' || doc_id || '.txt' AS name,
+  '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS full_path, CAST(strlen(text) AS BIGINT) AS size, source, lang FROM documents)"""
+ANCESTORS = """spread AS (SELECT '/' AS path, size FROM files UNION ALL SELECT '/' || source, size FROM files UNION ALL SELECT parent, size FROM files),
+totals AS (SELECT path, CAST(sum(size) AS BIGINT) AS S, count(*) AS C FROM spread GROUP BY path)"""
+MEMBERS = """members AS (SELECT CASE WHEN quality = 1 THEN 'keep' END AS g, full_path FROM labels JOIN files ON doc_id = seq WHERE quality = 1
+  UNION ALL SELECT 'ignore', full_path FROM labels JOIN files ON doc_id = seq WHERE toxic = 1)"""
+LOG = """log AS (SELECT event_id AS seq, '/u/' || user_id AS path, 'g' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 5) AS grp,
+  CASE WHEN event_type = 'error' THEN 'del' ELSE 'add' END AS action FROM events),
+state AS (SELECT grp, path, arg_max(action, seq) AS action FROM log GROUP BY grp, path)"""
+
+
+def fmt(size: str) -> str:
+    """DuckDB SQL of a formatted size."""
+    steps = " ".join(f"WHEN {size} < {1024 ** (i + 1)} THEN printf('%.2f {unit}', {size} / {1024.0**i:.1f})" for i, unit in enumerate(paths.UNITS[:-1]))
+    return f"CASE {steps} ELSE printf('%.2f PB', {size} / {1024.0**5:.1f}) END"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {FILES}, {ANCESTORS} SELECT path, S, C, {fmt('S')} AS formatted FROM totals")
+def q_tree_rollup(spark, d):
+    return tree.rollup(document_dirs(document_files(spark, d))).select("path", "S", "C", paths.format_bytes(F.col("S")).alias("formatted"))
+
+
+@query(f"WITH {FILES} SELECT parent AS path, CAST(sum(size) AS BIGINT) AS direct_size, count(*) AS n_files FROM files GROUP BY parent")
+def q_direct_totals(spark, d):
+    return tree.direct_totals(document_files(spark, d)).drop("snapshot")
+
+
+@query(f"WITH {FILES} SELECT parent, name, size, {fmt('size')} AS size_formatted FROM files WHERE parent = '/src1/en'")
+def q_list_files(spark, d):
+    return tree.list_files(document_files(spark, d), "/src1/en").select("parent", "name", "size", "size_formatted")
+
+
+@query(f"""WITH {FILES}, {ANCESTORS}, ds AS (SELECT DISTINCT '/' AS parent, source AS name, '/' || source AS p FROM files UNION SELECT DISTINCT '/' || source, lang, parent FROM files)
+SELECT ds.parent, ds.name, S, C, {fmt('S')} AS size_formatted FROM ds LEFT JOIN totals ON p = path""")
+def q_list_dirs(spark, d):
+    dirs, entries = document_tree(spark, d)
+    return tree.list_dirs(entries, tree.rollup(dirs, entries)).drop("snapshot")
+
+
+@query(f"WITH {FILES} SELECT parent AS path, CAST(sum(size) AS BIGINT) AS direct_size, count(*) AS n_files FROM files WHERE parent = '/src3/de' GROUP BY parent")
+def q_point_lookup(spark, d):
+    return tree.lookup(document_dirs(document_files(spark, d)), path="/src3/de").select("path", "direct_size", "n_files")
+
+
+@query(f"WITH {FILES} SELECT seq, full_path, size FROM files WHERE seq = 17")
+def q_index_lookup(spark, d):
+    return tree.lookup(document_files(spark, d).withColumn("path", F.col("full_path")), index=17).select("seq", "full_path", "size")
+
+
+@query(f"""WITH {FILES} SELECT (SELECT count(*) FROM (SELECT '/' UNION SELECT '/' || source FROM files UNION SELECT parent FROM files)) AS path_count, count(*) AS total_files,
+  (SELECT count(*) FROM (SELECT '/' || source FROM files UNION SELECT parent FROM files)) AS total_dirs, CAST(sum(size) AS BIGINT) AS total_size, '/' AS root_path, {fmt('CAST(sum(size) AS BIGINT)')} AS total_size_formatted FROM files""")
+def q_snapshot_info(spark, d):
+    dirs, entries = document_tree(spark, d)
+    subdirs = entries.where("kind = 'd'").groupBy("snapshot", F.col("parent").alias("path")).agg(F.count("*").alias("n_subdirs"))
+    numbered = dirs.join(subdirs, ["snapshot", "path"], "left").withColumn("n_subdirs", F.coalesce("n_subdirs", F.lit(0))).withColumn("seq", F.length("path"))
+    return tree.info(numbered).drop("snapshot")
+
+
+@query(f"SELECT doc_id, {fmt('strlen(text)')} AS formatted FROM documents")
+def q_format_bytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", paths.format_bytes(F.octet_length("text")).alias("formatted"))
+
+
+_URL = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS p, CAST(strlen(html) AS BIGINT) AS size"
+
+
+@query(f"""WITH RECURSIVE files AS (SELECT {_URL} FROM pages), up(host, p, size) AS (
+  SELECT host, p, size FROM files UNION ALL SELECT host, regexp_replace(p, '/[^/]*$', ''), size FROM up WHERE p != '')
+SELECT host, CASE WHEN p = '' THEN '/' ELSE p END AS path, CAST(sum(size) AS BIGINT) AS S, count(*) AS C FROM up GROUP BY ALL""")
+def q_url_tree_rollup(spark, d):
+    url = F.col("url")
+    pages = table(spark, d, "pages").select(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("snapshot"), F.rtrim(F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/")).alias("p"), F.octet_length("html").alias("n"))
+    direct = pages.groupBy("snapshot", F.when(F.col("p") == "", "/").otherwise(F.col("p")).alias("path")).agg(F.sum("n").cast("long").alias("direct_size"), F.count("*").alias("n_files"))
+    system = {"root": F.lit("/"), "os_name": F.lit("Linux")}
+    up = direct.withColumns(system).select("snapshot", F.explode(F.array_union(F.array(F.lit("/")), paths.ancestors(F.col("path"), F.col("root"), F.col("os_name")))).alias("path"))
+    bare = up.distinct().join(direct, ["snapshot", "path"], "left").withColumns(system)
+    dirs = bare.select("snapshot", "path", "root", "os_name", F.coalesce("direct_size", F.lit(0)).alias("direct_size"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    return tree.rollup(dirs).select(F.col("snapshot").alias("host"), "path", "S", "C")
+
+
+@query("""WITH leaf AS (SELECT '/' || r_name || '/' || n_name || '/' || c_custkey AS p, '/' || r_name || '/' || n_name AS n, '/' || r_name AS r, count(o_orderkey) AS k
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT path, CAST(sum(k) AS BIGINT) AS C FROM (SELECT p AS path, k FROM leaf UNION ALL SELECT n, k FROM leaf UNION ALL SELECT r, k FROM leaf UNION ALL SELECT '/', k FROM leaf) GROUP BY path""")
+def q_geo_rollup(spark, d):
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_files"))
+    places = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    leaf = places.join(orders, "c_custkey", "left").select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_custkey").alias("leaf"), F.coalesce("n_files", F.lit(0)).alias("k"))
+    system = (F.lit("/").alias("root"), F.lit("Linux").alias("os_name"))
+    names = F.array_union(F.array(F.lit("/")), paths.prefixes(F.col("leaf"), F.lit("Linux")))
+    dirs = leaf.select("leaf", "k", F.explode(names).alias("path")).groupBy("path").agg(F.sum(F.when(F.col("path") == F.col("leaf"), F.col("k")).otherwise(0)).alias("n_files"))
+    return tree.rollup(dirs.select(F.lit("geo").alias("snapshot"), "path", *system, F.lit(0).cast("long").alias("direct_size"), "n_files")).select("path", "C")
+
+
+def _search(text: str, predicate: str, where: str = "f"):
+    source = FILES if where == "f" else f"{FILES}, ds AS (SELECT DISTINCT source AS name, '/' AS parent FROM files UNION SELECT DISTINCT lang, '/' || source FROM files)"
+    return f"WITH {source} SELECT '{'file' if where == 'f' else 'directory'}' AS type, name, parent AS path, {'size' if where == 'f' else 'CAST(NULL AS BIGINT) AS size'} FROM {'files' if where == 'f' else 'ds'} WHERE {predicate}"
+
+
+@query(_search("C_1", "contains(lower(name), 'c_1')"))
+def q_search_contains(spark, d):
+    return search.search(document_files(spark, d), "C_1").select("type", "name", "path", "size")
+
+
+@query(_search("starts", "starts_with(lower(name), 'doc_2')"))
+def q_search_starts(spark, d):
+    return search.search(document_files(spark, d), "starts:DOC_2").select("type", "name", "path", "size")
+
+
+@query(_search("ends", "suffix(lower(name), '7.txt')"))
+def q_search_ends(spark, d):
+    return search.search(document_files(spark, d), "Ends:7.TXT").select("type", "name", "path", "size")
+
+
+@query(_search("dirs", "contains(lower(name), 'e')", "d"))
+def q_search_dirs(spark, d):
+    _, entries = document_tree(spark, d)
+    return search.search(entries.where("kind = 'd'"), "E").select("type", "name", "path", "size")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an')")
+def q_search_parts(spark, d):
+    return table(spark, d, "part").where(search.matches(F.col("p_name"), "AN")).select("p_partkey", "p_name")
+
+
+@query(f"WITH {FILES} SELECT source AS snapshot, name, size FROM files WHERE source IN ('src1', 'src2') AND contains(lower(name), '9')")
+def q_union_search(spark, d):
+    files = document_files(spark, d).withColumn("snapshot", F.col("source"))
+    return search.search(files, "9", ["src1", "src2"]).select("snapshot", "name", "size")
+
+
+@query("SELECT x AS snapshot FROM (VALUES ('src1'), ('nowhere')) v(x) WHERE x NOT IN (SELECT source FROM documents)")
+def q_missing_snapshots(spark, d):
+    wanted = spark.createDataFrame([("src1",), ("nowhere",)], "snapshot string")
+    return search.missing_snapshots(wanted, table(spark, d, "documents").select(F.col("source").alias("snapshot")))
+
+
+@query(f"WITH {LOG} SELECT grp, path FROM state WHERE action = 'add'")
+def q_group_replay(spark, d):
+    return groups.replay(event_log(spark, d)).select(F.col("group").alias("grp"), "path")
+
+
+@query(f"WITH {LOG} SELECT grp, count(*) FILTER (action = 'add') AS files, CAST(0 AS BIGINT) AS dirs, count(*) FILTER (action = 'add') AS total FROM state GROUP BY grp")
+def q_group_counts(spark, d):
+    return groups.counts(event_log(spark, d)).select(F.col("group").alias("grp"), "files", "dirs", "total")
+
+
+@query(f"WITH {LOG} SELECT path FROM state WHERE action = 'add' AND grp = 'g3'")
+def q_group_members(spark, d):
+    return groups.members(groups.replay(event_log(spark, d)), "g3").select("path")
+
+
+def _filtered(spark, d, inside=(), outside=()):
+    files = document_files(spark, d).drop("source", "lang")
+    return groups.filter_listing(files, label_groups(spark, d), inside, outside).select("full_path", "size")
+
+
+@query(f"WITH {FILES}, {MEMBERS} SELECT full_path, size FROM files WHERE full_path NOT IN (SELECT full_path FROM members WHERE g = 'ignore')")
+def q_filter_out(spark, d):
+    return _filtered(spark, d, outside=["ignore"])
+
+
+@query(f"WITH {FILES}, {MEMBERS} SELECT full_path, size FROM files WHERE full_path IN (SELECT full_path FROM members WHERE g = 'keep')")
+def q_filter_in(spark, d):
+    return _filtered(spark, d, inside=["keep"])
+
+
+@query(f"WITH {FILES}, {MEMBERS} SELECT full_path, size FROM files WHERE full_path IN (SELECT full_path FROM members WHERE g = 'keep') AND full_path NOT IN (SELECT full_path FROM members WHERE g = 'ignore')")
+def q_filter_both(spark, d):
+    return _filtered(spark, d, inside=["keep"], outside=["ignore"])
+
+
+def _selected(spark, d, mode):
+    dirs, entries = document_tree(spark, d)
+    return groups.select(entries, dirs, label_groups(spark, d), ["keep", "tree"], ["ignore", "drop"], mode).select("full_path", "size")
+
+
+_KEPT = f"WITH {FILES}, {MEMBERS} SELECT full_path, size FROM files WHERE parent != '/src1/de' AND full_path NOT IN (SELECT full_path FROM members WHERE g = 'ignore') AND (source = 'src1' OR parent = '/src2/en'"
+
+
+@query(f"{_KEPT})")
+def q_subtree_select_strict(spark, d):
+    return _selected(spark, d, "strict")
+
+
+@query(f"{_KEPT} OR full_path IN (SELECT full_path FROM members WHERE g = 'keep'))")
+def q_subtree_select_intuitive(spark, d):
+    return _selected(spark, d, "intuitive")
+
+
+@query(f"""WITH {FILES}, {MEMBERS}, l AS (SELECT * FROM files WHERE full_path NOT IN (SELECT full_path FROM members WHERE g = 'ignore')),
+ds AS (SELECT DISTINCT '/' AS path FROM files UNION SELECT '/' || source FROM files UNION SELECT parent FROM files),
+s AS (SELECT '/' AS path, size FROM l WHERE parent != '/src1/de' UNION ALL SELECT '/' || source, size FROM l WHERE parent != '/src1/de' UNION ALL SELECT parent, size FROM l)
+SELECT ds.path, CAST(coalesce(sum(size), 0) AS BIGINT) AS S, count(size) AS C FROM ds LEFT JOIN s USING (path) GROUP BY ds.path""")
+def q_filtered_totals(spark, d):
+    dirs, entries = document_tree(spark, d)
+    return groups.filtered_totals(entries, dirs, label_groups(spark, d), [], ["ignore", "drop"]).drop("snapshot")
+
+
+@query(f"WITH {FILES} SELECT full_path, size FROM files WHERE NOT starts_with(full_path, '/src1') AND NOT starts_with(full_path, '/src2/e')")
+def q_skip_prefix(spark, d):
+    return without_prefixes(document_files(spark, d), ["/src1", "/src2/e", ""]).select("full_path", "size")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def q_content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", content.content_hash(F.col("text")).alias("hash"))
+
+
+@query(f"WITH {FILES}, h AS (SELECT f.*, sha256(text) AS hash FROM files f JOIN documents ON seq = doc_id) SELECT hash, count(*) AS copies, max(size) AS size, CAST(sum(size) - max(size) AS BIGINT) AS wasted, min(full_path) AS first_path FROM h GROUP BY hash HAVING count(*) > 1")
+def q_duplicates(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), "doc_id", F.lit(".txt"))
+    return content.duplicates(docs.select(path.alias("full_path"), F.octet_length("text").cast("long").alias("size"), content.content_hash(F.col("text")).alias("hash")))
+
+
+def _held(spark, d):
+    held = table(spark, d, "lineitem").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("device_id"))
+    return held, table(spark, d, "supplier").select(F.col("s_suppkey").alias("device_id"), F.when(F.col("s_nationkey") < 10, "mobile").otherwise("server").alias("device_type"))
+
+
+_REPLICAS = "SELECT l_partkey AS hash, count(DISTINCT l_suppkey) AS replicas, bool_and(s_nationkey IS NOT NULL AND s_nationkey < 10) AS mobile_only FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey"
+
+
+@query(_REPLICAS)
+def q_replicas(spark, d):
+    return content.replicas(*_held(spark, d))
+
+
+@query(f"SELECT * FROM ({_REPLICAS}) WHERE replicas = 1 OR mobile_only")
+def q_at_risk(spark, d):
+    return content.at_risk(*_held(spark, d))
+
+
+@query(f"WITH {FILES} SELECT full_path, size FROM files ORDER BY size DESC, full_path LIMIT 20 OFFSET 20")
+def q_largest_page(spark, d):
+    return content.largest(document_files(spark, d), page=1).select("full_path", "size")
+
+
+_PACK = f"""WITH RECURSIVE {FILES}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS r FROM files),
+pk(source, r, zip_index, held) AS (SELECT source, r, CAST(0 AS BIGINT), size FROM n WHERE r = 1 UNION ALL
+  SELECT n.source, n.r, CASE WHEN held > 0 AND held + size > 20000 THEN zip_index + 1 ELSE zip_index END, CASE WHEN held > 0 AND held + size > 20000 THEN size ELSE held + size END FROM pk JOIN n ON n.source = pk.source AND n.r = pk.r + 1)"""
+
+
+def _packed(spark, d):
+    return backup.pack(document_files(spark, d).withColumn("snapshot", F.col("source")), ["snapshot"], ["seq"], 20000)
+
+
+@query(f"{_PACK} SELECT source, seq, size, zip_index FROM pk JOIN n USING (source, r)")
+def q_pack(spark, d):
+    return _packed(spark, d).select("source", "seq", "size", "zip_index")
+
+
+@query(f"{_PACK} SELECT full_path AS src_path, '/backup/' || printf('backup_%03d.zip', zip_index) AS dest_path, ltrim(full_path, '/') AS member, size AS filesize, 'zip' AS action FROM pk JOIN n USING (source, r)")
+def q_backup_manifest(spark, d):
+    return backup.manifest(_packed(spark, d), "/backup/")
+
+
+@query(f"WITH {FILES} SELECT source, seq, CAST(floor(row_number() OVER (PARTITION BY source ORDER BY seq) * 100 / count(*) OVER (PARTITION BY source)) AS BIGINT) AS percent FROM files")
+def q_progress(spark, d):
+    return tree.progress(document_files(spark, d).select("source", "seq"), ["source"], ["seq"])
+
+
+@query("SELECT s_suppkey, sha256(s_name || s_nationkey || '') AS thumbprint FROM supplier")
+def q_thumbprint(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", paths.thumbprint(F.col("s_name"), F.col("s_nationkey"), F.lit(None)).alias("thumbprint"))
+
+
+@query("SELECT s_suppkey, array_to_string([printf('%012x', s_suppkey * 7919)[i : i + 1] for i in [1, 3, 5, 7, 9, 11]], ':') AS mac FROM supplier")
+def q_mac_address(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", paths.mac_address(F.col("s_suppkey") * 7919).alias("mac"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_log(spark, d):
+    return table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+_CASES = [("/", "a", "Linux"), ("/a/", "/b", "Linux"), ("/a", "", "Linux"), ("C:\\", "Users", "Windows"), ("/", "C:", "Windows"), ("C:\\x", "\\y", "Windows"), ("\\a", "b", "Linux"), ("D:/d", "e", None)]
+
+
+@query("""SELECT b AS base, n AS name, CASE WHEN o = 'Windows' THEN
+  CASE WHEN b = '/' AND n[2:2] = ':' THEN n || '\\' WHEN n = '' THEN replace(b, '/', '\\') ELSE rtrim(replace(b, '/', '\\'), '\\') || '\\' || ltrim(n, '\\/') END
+  ELSE CASE WHEN n = '' THEN replace(b, '\\', '/') ELSE rtrim(replace(b, '\\', '/'), '/') || '/' || ltrim(n, '\\/') END END AS joined
+FROM (VALUES ('/', 'a', 'Linux'), ('/a/', '/b', 'Linux'), ('/a', '', 'Linux'), ('C:\\', 'Users', 'Windows'), ('/', 'C:', 'Windows'), ('C:\\x', '\\y', 'Windows'), ('\\a', 'b', 'Linux'), ('D:/d', 'e', 'Windows')) v(b, n, o)""")
+def q_path_join(spark, d):
+    cases = spark.createDataFrame(_CASES, "base string, name string, os string")
+    return cases.select("base", "name", paths.join_path(F.col("base"), F.col("name"), F.col("os")).alias("joined"))
+
+
+@query("SELECT web, native, web2 FROM (VALUES ('/C:/x', 'C:\\x', '/C:/x'), ('C:', 'C:\\', '/C:'), ('/C:', 'C:\\', '/C:'), ('/C://a//b', 'C:\\a\\b', '/C:/a/b'), ('/', '/', '/')) v(web, native, web2)")
+def q_path_normalise(spark, d):
+    cases = spark.createDataFrame([("/C:/x",), ("C:",), ("/C:",), ("/C://a//b",), ("/",)], "web string")
+    windows = F.lit("Windows")
+    return cases.withColumn("native", paths.to_native(F.col("web"), windows)).withColumn("web2", paths.to_web(F.col("native"), windows))
+
+
+@query("SELECT event_id, CASE WHEN length(p) > 40 THEN '...' || p[-37:] ELSE p END AS short FROM (SELECT event_id, '/log/' || event_type || '/' || repeat('x', CAST(event_id % 60 AS INT)) AS p FROM events)")
+def q_short_path(spark, d):
+    long = F.concat(F.lit("/log/"), "event_type", F.lit("/"), F.repeat(F.lit("x"), (F.col("event_id") % 60).cast("int")))
+    return table(spark, d, "events").select("event_id", paths.shortened(long, 40).alias("short"))
+
+
+@query()
+def q_stream_replay(spark, d):
+    """The log read as a stream; equal to q_group_replay."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-checkpoints"
+    name = f"replay_{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    files = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("long")
+    log = files.select(F.lit("events").alias("snapshot"), F.col("event_id").alias("seq"), F.concat(F.lit("/u/"), F.col("user_id")).alias("path"), F.lit("f").alias("kind"), F.concat(F.lit("g"), F.pmod(k, F.lit(5))).alias("group"), F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
+    stream = start(log, name, f"{base}/{name}")
+    stream.processAllAvailable()
+    stream.stop()
+    return current(spark, name).select(F.col("group").alias("grp"), "path")
