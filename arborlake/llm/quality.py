@@ -13,6 +13,7 @@ symbols alone (see ``untrained``). Further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.text import WHITE, mixed, pieces, prefix_hashes, span_hashes
 
 #: At most so many labelled documents are learned from, each of at most so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 1 << 16
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 15
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BINS = 8
@@ -211,9 +212,19 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Field:
     """The field, from the ``sample_docs`` labelled documents outside the held-out fold that a hash puts first."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
-    rows = short.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
-    return train([r.text.encode() for r in rows], np.array([r.quality for r in rows], dtype=np.int64))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, quality = [], []
+        for b in batches:
+            texts += [t.encode() for t in b.column("text").to_pylist()]
+            quality += b.column("quality").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(quality, dtype=np.int64)))], pa.binary())], names=["field"])
+
+    # The sample is bounded, so one task holds it; only the weights come to the driver.
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(learn, "field binary").collect()
+    return pickle.loads(one[0].field) if one else untrained()
 
 
 def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
