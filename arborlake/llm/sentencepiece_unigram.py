@@ -29,7 +29,7 @@ _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Score of a character without a piece below the lowest score of any piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose ids a worker keeps; words longer than LONG bytes are walked one at a time.
-KEPT, LONG = 600_000, 256
+KEPT, LONG = 300_000, 256
 
 
 class DoubleArray:
@@ -241,9 +241,11 @@ def decoded(rows: DataFrame, model: Unigram, tokens_col: str = "tokens", text_co
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [shared.value.decode(ids or ()) for ids in b.column(tokens_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):  # ids as numbers of Python take far more room than in the batch
+                b = batch.slice(a, 256)
+                texts = [shared.value.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()) for ids in b.column(tokens_col)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
     return rows.mapInArrow(run, _with(rows, text_col, "string"))
 
