@@ -201,10 +201,8 @@ def set_links(docs: DataFrame, k: int, percent: int, sketch, nodes: DataFrame) -
             keys, to = part.column("tkey").to_pylist(), part.column("to").to_pylist()
             rows = []
             for i, s in enumerate(ordered_sets(own, k, sketch.value)):
-                if keys[i] not in seen:
-                    seen.add(keys[i])
-                    packed = s.astype("<u8").tobytes()
-                    rows += [(t["task"], t["node"], t["same"], t["left"], packed) for t in to[i]]
+                packed = s.astype("<u8").tobytes()
+                rows += [(t["task"], t["node"], t["same"], t["left"], packed) for t in to[i]]
             for a in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[a : a + 2000]], kind) for j, kind in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()))], names=["task", "node", "same", "left", "items"])
 
@@ -219,7 +217,7 @@ def set_links(docs: DataFrame, k: int, percent: int, sketch, nodes: DataFrame) -
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["u", "v"])
 
     shape = "task string, node binary, same boolean, left boolean, items binary"
-    texts = docs.select("tkey", "text").join(wanted, "tkey").mapInArrow(sets, shape)
+    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(wanted, "tkey").mapInArrow(sets, shape)
     return texts.repartition("task").sortWithinPartitions("task").mapInArrow(match, "u binary, v binary")
 
 

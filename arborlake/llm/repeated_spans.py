@@ -44,8 +44,10 @@ PIECE = 1 << 20
 #: The lower bits of a gram's hash give way to its position.
 _LOW = np.uint64((1 << 24) - 1)
 
-RUNS = "core binary, hull binary, tkey binary, at long, low int, high int"
-_RUNS = pa.schema([("core", pa.binary()), ("hull", pa.binary()), ("tkey", pa.binary()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+RUNS = "core binary, hull binary, n int, runs binary"
+_RUNS = pa.schema([("core", pa.binary()), ("hull", pa.binary()), ("n", pa.int32()), ("runs", pa.binary())])
+#: One run: its text, anchor, and lowest and highest offset.
+_RUN = np.dtype([("tkey", "V16"), ("at", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
 
 def text_key(text: Column) -> Column:
@@ -97,25 +99,48 @@ def _split(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, interval: int, length: int) -> pa.RecordBatch:
-    """The runs with the fingerprints of core and hull."""
+    """The runs by the fingerprints of core and hull, those of one piece that agree in both in one row.
+
+    So a passage that fills a text, or stands in many texts of a task, is one row of it.
+    """
     fingerprint = xxhash.xxh3_128_digest
-    core, hull = [], []
+    found: dict[tuple[bytes, bytes], list[int]] = {}
     near = anchor - low // interval * interval  # where the window of the interval's lowest offset starts
-    for i, c, h, a, b in zip(text.tolist(), near.tolist(), (anchor - high).tolist(), low.tolist(), high.tolist(), strict=True):
+    for row, (i, c, h, a, b) in enumerate(zip(text.tolist(), near.tolist(), (anchor - high).tolist(), low.tolist(), high.tolist(), strict=True)):
         t = texts[i]
-        core.append(fingerprint(t[c : c - interval + 1 + length], a // interval))
-        hull.append(fingerprint(t[h : h + b - a + length], a << 32 | b) if interval > 1 else core[-1])
-    return pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), pa.array(hull, pa.binary()), pa.array([keys[i] for i in text.tolist()], pa.binary()), pa.array(anchor), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], schema=_RUNS)
+        core = fingerprint(t[c : c - interval + 1 + length], a // interval)
+        hull = fingerprint(t[h : h + b - a + length], a << 32 | b) if interval > 1 else core
+        found.setdefault((core, hull), []).append(row)
+    runs = np.zeros(len(text), dtype=_RUN)
+    if len(text):
+        runs["tkey"] = np.frombuffer(b"".join(keys), dtype="V16")[text]
+        runs["at"], runs["low"], runs["high"] = anchor, low, high
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([h for _, h in found], pa.binary()), pa.array([len(rows) for rows in found.values()], pa.int32()), pa.array([runs[rows].tobytes() for rows in found.values()], pa.binary())], schema=_RUNS)
 
 
 def _judged(runs: DataFrame, interval: int) -> DataFrame:
     """Runs whose core occurs twice: repeated (the hull occurs twice) and next (to be split again)."""
     by_core, by_hull = Window.partitionBy("core"), Window.partitionBy("core", "hull")
     # dealt by core once: the windows by core and hull need no other shuffle
-    out = runs.repartition("core").withColumns({"n_hull": F.count("*").over(by_hull), "nth": F.row_number().over(by_hull.orderBy("tkey", "at"))})
-    out = out.withColumns({"n_core": F.count("*").over(by_core), "open": F.max((F.col("n_hull") == 1).cast("int")).over(by_core)}).where("n_core > 1")
+    out = runs.repartition("core").withColumns({"n_hull": F.sum("n").over(by_hull), "nth": F.row_number().over(by_hull.orderBy("runs"))})
+    out = out.withColumns({"n_core": F.sum("n").over(by_core), "open": F.max((F.col("n_hull") == 1).cast("int")).over(by_core)}).where("n_core > 1")
     go = (F.col("n_hull") == 1) | ((F.col("nth") == 1) & (F.col("open") == 1)) if interval > 1 else F.lit(False)
-    return out.select("tkey", "at", "low", "high", (F.col("n_hull") > 1).alias("repeated"), go.alias("next")).where("repeated OR next")
+    told = out.select("runs", (F.col("n_hull") > 1).alias("repeated"), go.alias("next")).where("repeated OR next")
+
+    def apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column("runs").to_pylist()
+            if not packed:
+                continue
+            n = np.array([len(p) // _RUN.itemsize for p in packed])
+            rows = np.frombuffer(b"".join(packed), dtype=_RUN)
+            first = np.zeros(len(rows), dtype=bool)
+            first[np.cumsum(n) - n] = True  # one run stands for all of its row
+            repeated, follow = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("repeated", "next"))
+            keys = [x.tobytes() for x in rows["tkey"]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows["at"].copy()), pa.array(rows["low"].copy()), pa.array(rows["high"].copy()), pa.array(repeated), pa.array(follow & first)], names=["tkey", "at", "low", "high", "repeated", "next"])
+
+    return told.mapInArrow(apart, "tkey binary, at long, low int, high int, repeated boolean, next boolean")
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, intervals: tuple[int, ...] = INTERVALS) -> DataFrame:
@@ -136,22 +161,17 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, intervals: tuple[in
 
     judged = written(_judged(texts.mapInArrow(first, RUNS), intervals[0]))
     found = judged.where("repeated")
+    single = texts.dropDuplicates(["tkey"])
     for interval in intervals[1:]:
         waiting = judged.where("next").groupBy("tkey").agg(F.collect_list(F.struct("at", "low", "high")).alias("runs"))
 
         def again(batches: Iterable[pa.RecordBatch], interval: int = interval) -> Iterator[pa.RecordBatch]:
-            seen: set[bytes] = set()  # copies of a text have the same runs
             for part, own in pieces(batches):
                 keys, runs = part.column("tkey").to_pylist(), part.column("runs").to_pylist()
-                use = []
-                for i, k in enumerate(keys):
-                    if k not in seen:
-                        seen.add(k)
-                        use.append(i)
-                rows = np.array([(i, r["at"], r["low"], r["high"]) for i in use for r in runs[i]], dtype=np.int64).reshape(-1, 4)
+                rows = np.array([(i, r["at"], r["low"], r["high"]) for i, known in enumerate(runs) for r in known], dtype=np.int64).reshape(-1, 4)
                 yield _ranked(own, keys, *_split(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], interval), interval, length)
 
-        judged = written(_judged(texts.join(waiting, "tkey").mapInArrow(again, RUNS), interval))
+        judged = written(_judged(single.join(waiting, "tkey").mapInArrow(again, RUNS), interval))
         found = found.unionByName(judged.where("repeated"))
     return found.select("tkey", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + 1).alias("end"))
 
@@ -170,7 +190,8 @@ def removed_runs(ranges: list[dict] | None, length: int) -> list[tuple[int, int]
 def _with_ranges(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     keyed = docs.withColumn("__tkey", text_key(F.col(text_col)))
     found = repeated_windows(keyed.select(F.col("__tkey").alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length), length)
-    grouped = found.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_set(F.struct("begin", "end")).alias("__ranges"))
+    # Written first, so that the join below has plain shuffles on both sides and Spark can split a text that many rows share.
+    grouped = written(found.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_set(F.struct("begin", "end")).alias("__ranges")))
     return keyed.join(grouped, "__tkey", "left").drop("__tkey")
 
 
