@@ -21,7 +21,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Two pairs of keys differ by case only, so fields are taken from a variant and not by a
     JSON schema. A gzip file is one partition, which keeps its line order.
     """
-    text = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl\.gz$", 1).alias("snapshot"), F.monotonically_increasing_id().alias("id"), "value").where(F.trim("value") != "")
+    filled = spark.read.text(path).select("value", "_metadata.file_name").where(F.trim("value") != "")
+    text = filled.select(F.regexp_extract("file_name", r"^(.*?)\.jsonl\.gz$", 1).alias("snapshot"), F.monotonically_increasing_id().alias("id"), "value")
     first = text.groupBy("snapshot").agg(F.min("id").alias("first"))
     doc = F.parse_json("value")
     fields = {k if k != "T" else "dir_times": F.variant_get(doc, f"$.{k}", kind) for k, kind in LINE.items()}
@@ -108,7 +109,7 @@ def append_group_actions(actions: DataFrame, path: str) -> None:
 
 
 def read_devices(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(DEVICE).option("pathGlobFilter", "devices_*").option("recursiveFileLookup", True).json(folder)
+    return spark.read.schema(DEVICE).json(f"{folder}/devices_*")
 
 
 def append_device(device: DataFrame, folder: str, host: str) -> None:
