@@ -152,8 +152,8 @@ class Unigram:
         long = size[word] > LONG
         order = np.lexsort((-length, local))
         short_order = order[~long[order]]
-        cuts = np.flatnonzero(np.r_[True, (np.diff(local[short_order]) != 0) | (np.diff(length[short_order]) != 0)]) if len(short_order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(short_order)], strict=True):
+        cuts = np.flatnonzero(np.r_[True, (np.diff(local[short_order]) != 0) | (np.diff(length[short_order]) != 0)]) if len(short_order) else np.zeros(0, dtype=np.int64)
+        for a, b in zip(cuts, [*cuts, len(short_order)][1:] if len(cuts) else [], strict=True):
             e = short_order[a:b]
             new = best[start[e]] + score[e]
             better = new > best[end[e]]
