@@ -34,6 +34,13 @@ def written(df: DataFrame, into: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffle_parts(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for small index rows that stand for large reads:
+    given as a number, Spark does not coalesce them by the size of the index.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def rows_as(batch_columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(batch_columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import rows_as, shared_dir, written
+from arborlake.llm.shared import rows_as, shared_dir, shuffle_parts, written
 from arborlake.llm.text import pieces
 
 #: Added to a checksum after turning it by 15 bits, so that a checksum of data that hold checksums stays sound.
@@ -257,5 +257,5 @@ def token_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end
                 sums.append(zlib.crc32(tokens.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = index.repartition("shard").sortWithinPartitions("shard", "at")
+    dealt = index.repartition(shuffle_parts(index), "shard").sortWithinPartitions("shard", "at")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import rows_as, shared_dir, written
+from arborlake.llm.shared import rows_as, shared_dir, shuffle_parts, written
 from arborlake.llm.text import pieces
 from arborlake.llm.token_files import read_ranges
 
@@ -113,7 +113,7 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True) -> DataF
             rows = [parsed(gzip.decompress(m)) for m in members]
             yield rows_as({f.name: [r[f.name] for r in rows] for f in wanted}, wanted)
 
-    dealt = index.select("file", "at", "size").repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    dealt = index.select("file", "at", "size").repartitionByRange(shuffle_parts(index), "file", "at").sortWithinPartitions("file", "at")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else ""))
 
 
