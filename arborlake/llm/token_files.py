@@ -34,6 +34,8 @@ MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
 #: Encoded words that a worker keeps, and words without their final punctuation.
 KEPT, KEPT_STEMS = 1_200_000, 1_200_000
+#: Bytes of text encoded at once; each distinct word of them is looked up once.
+WORK_BYTES = 6 << 20
 #: Bytes of one coalesced read.
 READ_BYTES = 8 << 20
 
@@ -90,6 +92,7 @@ class PartEncoder:
         self.byte_names = self._byte_names()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.words: dict[str, bytes] = {}  # ids of " " + word
+        self.first: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}  # the same, of words without their final punctuation
 
     def _byte_names(self) -> dict[int, str]:
@@ -106,20 +109,29 @@ class PartEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit little-endian integers."""
         split = [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)) - self.words.keys()
+        new = set().union(*split) - self.words.keys()
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
             if len(self.letters) > KEPT_STEMS:
                 self.letters.clear()
-            new = set().union(*(s[1:] for s in split))
+            new = set().union(*split)
         unsure = {w for w in new if not w or _UNSURE.match(w)}
         self._learn(list(new - unsure))
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special) or unsure and not unsure.isdisjoint(split[i][1:])}
-        heads = self._ids([s[0] for s in split])
+        heads = self._heads([s[0] for s in split])
         get = self.words.__getitem__
         alone = dict(zip(sorted(whole), self._ids([texts[i] for i in sorted(whole)]), strict=True))
         return [alone[i] if i in whole else heads[i] + b"".join(map(get, s[1:])) for i, s in enumerate(split)]
 
+    def _heads(self, words: list[str]) -> list[bytes]:
+        """The ids of first words, which no space leads."""
+        new = list(set(words) - self.first.keys())
+        if len(self.first) + len(new) > KEPT // 8:
+            self.first.clear()
+            new = list(set(words))
+        self.first.update(zip(new, self._ids(new), strict=True))
+        return [self.first[w] for w in words]
+
     def _learn(self, words: list[str]) -> None:
         rest, letters, packed, tokenize = [], self.letters, self.packed, self.tokenizer.model.tokenize
         space = self.byte_names[0x20]
@@ -169,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         shard, encode, out, at, name = TaskContext.get().partitionId(), None, None, 0, ""
         tail = b"" if end_id is None else struct.pack("<I", end_id)
         try:
-            for part, texts in pieces(batches):
+            for part, texts in pieces(batches, most=WORK_BYTES):
                 if out is None:
                     store, path = fs.FileSystem.from_uri(folder)
                     store.create_dir(path)
