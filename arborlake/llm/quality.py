@@ -6,8 +6,8 @@ document's label; forward-backward marginals, weighted by line length, give the
 share of good text, and a logistic curve fitted on the same sample turns it into a score.
 
 Defined results: a null or blank text scores 0; rows with a null doc_id or null label are not
-learned from; of several labels of one document the largest counts; repeated rows score
-alike; without any labelled document of both kinds every text scores by its own
+learned from; of several labels of one document the largest counts, of several texts the least is
+learned from; repeated rows score alike; without any labelled document of both kinds every text scores by its own
 symbols alone (see ``untrained``). Further columns are ignored.
 """
 
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text per document, however often its id stands
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, quality = [], []
