@@ -158,6 +158,16 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS m FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+hashed AS (SELECT page_id, url, payload, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY payload) AS first_id FROM payloads)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) << (4 - j))) AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first_id THEN first_id END AS refers_to, nullif(url, '') AS url
+FROM hashed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_jaccard_join": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_warc": OP9_SQL}

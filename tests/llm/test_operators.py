@@ -263,6 +263,8 @@ def test_quality_on_held_out_documents(spark):
     told = scored.where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
     assert sum(r.predicted == r.quality for r in told) / len(told) > 0.95
     odd = quality.score(frame(spark, [*ODD, (9, "x" * 200000), (9, "x" * 200000)]), field).collect()
+    twice = quality.fit(docs.unionByName(docs), labels)
+    assert np.array_equal(twice.weights, field.weights)
     assert len(odd) == 6 and all(0 <= r.score <= 1 for r in odd) and {r.score for r in odd if r.doc_id in (1, 2, 3)} == {0.0}
     none = quality.fit(docs.limit(0), labels)
     assert quality.score(docs.limit(0), none).count() == 0
@@ -297,6 +299,19 @@ def test_pieces_keep_order_and_nulls(spark):
     assert [t for _, own in pieces([batch.slice(1)], most=8) for t in own] == [b"", b"", b"b" * 10, b"c"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df, rel = queries.queries()[name](spark, SF), duck.sql(queries.oracle_sql()[name])
+    order = sorted(df.columns)
+    assert order == sorted(rel.columns)
+    assert sorted(map(tuple, df.select(order).collect()), key=repr) == sorted(rel.select(*order).fetchall(), key=repr)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
