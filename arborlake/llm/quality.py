@@ -30,6 +30,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BINS = 8
 EPOCHS, STEP, RIDGE = 60, 0.05, 1e-4
+#: Text scored at once, in bytes: some twenty arrays of eight bytes a byte stand beside it.
+SCORED_BYTES = 1 << 18
 
 _KINDS = np.zeros((256, 6), dtype=bool)  # upper, lower, digit, sentence mark, other symbol, beyond ASCII
 _KINDS[0x41:0x5B, 0] = _KINDS[0x61:0x7B, 1] = _KINDS[0x30:0x3A, 2] = _KINDS[0x80:, 5] = True
@@ -233,7 +235,7 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
+        for part, texts in pieces(batches, most=SCORED_BYTES):
             s = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -247,7 +249,7 @@ def accepted(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
+        for part, texts in pieces(batches, most=SCORED_BYTES):
             yield part.filter(pa.array(shared.value.scores(texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
