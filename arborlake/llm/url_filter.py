@@ -4,7 +4,8 @@ functions only.
 A list is a log of dated entries (list_name, pattern, action, effective): from
 ``effective`` on, 'block' puts the pattern on the list, 'allow' exempts it, and 'remove'
 takes it off. A pattern is a domain ("a.org" also covers "www.a.org") or a domain and a path
-prefix of whole segments ("a.org/x"). Entries become disjoint intervals per pattern with
+prefix of whole segments ("a.org/x"), however many: captures are probed as deep as the
+list's deepest pattern. Entries become disjoint intervals per pattern with
 the sums of all lists active in them, so a capture meets one interval per pattern at
 most, however many lists name it.
 
@@ -19,8 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that a pattern may have. A longer pattern matches nothing.
-SEGMENTS = 2
 #: Captures of one pattern are dealt out to so many parts, so that a host with a third of all captures spreads.
 SALTS = 16
 
@@ -35,12 +34,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?i:[a-z][a-z0-9+.\-]*:)?//[^/?#\\]*(/[^?#]*)", 1)
 
 
-def patterns_of(url: Column, segments: int = SEGMENTS) -> Column:
-    """All patterns that cover a URL: each domain suffix of its host, bare and with its first path segments."""
+def depth_of(entries: DataFrame) -> DataFrame:
+    """One row: ``__depth``, the most path segments that a pattern of the list has."""
+    slashes = F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))
+    return entries.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("__depth"))
+
+
+def patterns_of(url: Column, segments: Column) -> Column:
+    """The patterns of up to ``segments`` segments that cover a URL: each domain suffix of its host, bare and with its first path segments."""
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    depth = F.least(F.size(parts), F.lit(segments))
+    depth = F.least(F.size(parts), segments)
     paths = F.transform(F.sequence(F.lit(0), depth), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     every = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
     return F.when(F.length(host_of(url)) > 0, every).otherwise(F.array().cast("array<string>"))
@@ -73,7 +78,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """
     base = captures.select(F.col(id_col), F.col(url_col), F.col(time_col).cast("timestamp").alias("__t"))
     base = base.withColumns({"__row": F.struct(F.monotonically_increasing_id().alias("n"), F.xxhash64(F.col(id_col), F.col(url_col), "__t").alias("h")), "__salt": F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(salts))})
-    probes = base.select("__row", id_col, url_col, "__t", "__salt", F.explode_outer(patterns_of(F.col(url_col))).alias("__pattern"))
+    base = base.crossJoin(F.broadcast(depth_of(entries)))
+    probes = base.select("__row", id_col, url_col, "__t", "__salt", F.explode_outer(patterns_of(F.col(url_col), F.col("__depth"))).alias("__pattern"))
     spans = validity_intervals(entries).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     active = (F.col("__pattern") == F.col("pattern")) & (probes["__salt"] == spans["__salt"]) & (F.col("__t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__t") < F.col("valid_to")))
     met = probes.join(spans, active, "left")

@@ -68,6 +68,16 @@ def test_url_filter_intervals_and_odd_rows(spark):
     assert url_filter.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched string"), entries.limit(0)).where("NOT kept").count() == 0
 
 
+def test_url_filter_patterns_of_any_depth(spark):
+    day = "2024-01-01 00:00:00"
+    deep = "a.org/" + "/".join(f"s{i}" for i in range(12))
+    entries = spark.createDataFrame([("l", p, "block", day) for p in ("a.org/x/y/z", "a.org/x/y/w/v", deep)], "list_name string, pattern string, action string, effective string")
+    rows = [(1, "http://a.org/x/y/z"), (2, "http://www.a.org/x/y/z/more?q"), (3, "http://a.org/x/y"), (4, "http://a.org/x/y/zz"), (5, "http://a.org/x/y/w/v/u"), (6, "http://a.org/x/y/w"), (7, f"http://{deep}/t"), (8, "http://a.org/")]
+    captures = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", url_filter.F.lit(day))
+    got = {r.page_id: r.blocked_by for r in url_filter.filter_captures(captures, entries).collect()}
+    assert got == {1: "a.org/x/y/z", 2: "a.org/x/y/z", 3: None, 4: None, 5: "a.org/x/y/w/v", 6: None, 7: deep, 8: None}
+
+
 def brute_components(rows, k, percent):
     sets = []
     for doc_id, text, *_ in rows:
