@@ -56,16 +56,25 @@ def text_key(text: Column) -> Column:
 
 def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, anchor, lowest offset, highest offset) of the runs of windows with one anchor."""
-    span = length - GRAM + 1
-    owner, base, parts = [], [], []
+    out, held, size = [(np.zeros(0, dtype=np.int64),) * 4], [], 0
     for i, t in enumerate(texts):
         for a in range(0, len(t) - length + 1, PIECE):
-            owner.append(i)
-            base.append(a)
-            parts.append(t[a : a + PIECE + length - 1])
-    if not parts:
-        return (np.zeros(0, dtype=np.int64),) * 4
+            part = t[a : a + PIECE + length - 1]
+            if held and size + len(part) > int(_LOW) + 1:
+                out.append(_runs_of(*zip(*held, strict=True), length))
+                held, size = [], 0
+            held.append((i, a, part))
+            size += len(part)
+    if held:
+        out.append(_runs_of(*zip(*held, strict=True), length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _runs_of(owner: tuple[int, ...], base: tuple[int, ...], parts: tuple[bytes, ...], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of pieces of texts (text, begin, bytes) that have room for their positions in the lower bits of a hash."""
+    span = length - GRAM + 1
     data, at = joined(parts, b"")
+    assert len(data) <= int(_LOW) + 1, "positions do not fit into the lower bits"
     prefix = prefix_hashes(data)
     grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(prefix) - GRAM])
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)

@@ -188,6 +188,22 @@ def test_repeated_spans_match_brute_force(spark):
     assert repeated_spans.removal_digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_runs_of_a_text_beyond_the_position_bits(monkeypatch):
+    monkeypatch.setattr(repeated_spans, "PIECE", 100)
+    monkeypatch.setattr(repeated_spans, "_LOW", np.uint64((1 << 10) - 1))
+    rng, length = random.Random(12), 60
+    passage = rng.randbytes(300)
+    text = rng.randbytes(70) + passage + rng.randbytes(5000) + passage + rng.randbytes(50)
+    offset = {}
+    for i, anchor, low, high in zip(*(x.tolist() for x in repeated_spans._runs([passage, text], length)), strict=True):
+        for start in range(anchor - high, anchor - low + 1):
+            assert (i, start) not in offset
+            offset[i, start] = anchor - start
+    assert sorted(offset) == [(i, p) for i, t in enumerate([passage, text]) for p in range(len(t) - length + 1)]
+    for p in range(len(passage) - length + 1):
+        assert offset[0, p] == offset[1, 70 + p] == offset[1, 5370 + p]
+
+
 def test_unigram_viterbi_finds_the_best_path(spark):
     model = sentencepiece_unigram.loaded(queries.tokenizer_path("piece_bpe_32k.model"))
     by_text = {model.pieces[i].decode(): model.scores[i] for i in model.normal}
