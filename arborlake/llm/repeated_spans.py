@@ -17,6 +17,9 @@ the same repeated hull. The last round's core is the window itself, so the resul
 Ranks are 128-bit fingerprints: equal bytes have equal ranks in every task without a
 global sort, and Spark's shuffle by rank brings equal ones together.
 
+Windows may also be taken in words (of bytes other than white space): then a text is the
+sequence of its words' 64-bit hashes, and lengths, offsets and positions count words.
+
 Defined results: a null text is empty; texts shorter than LENGTH keep all bytes; repeated
 rows are separate documents, so a long enough text that stands twice is removed whole from
 both; null ids are kept as they are; other columns are not read.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,48 +39,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm.shared import written
-from arborlake.llm.text import joined, mixed, pieces, powers, prefix_hashes
+from arborlake.llm.text import joined, mixed, pieces, powers, prefix_hashes, prefix_sums, word_bounds, word_codes
 
 LENGTH, GRAM = 400, 32
 INTERVALS = (128, 16, 1)
+#: Words of a gram, and the intervals of each round, where windows are taken in words.
+WORD_GRAM, WORD_INTERVALS = 8, (22, 4, 1)
 #: Window starts of one piece of a text; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 #: The lower bits of a gram's hash give way to its position.
 _LOW = np.uint64((1 << 24) - 1)
 
+
+@dataclass(frozen=True)
+class Rule:
+    """Windows of ``length`` bytes (``width`` 1) or words (``width`` 8, the bytes of a word's hash)."""
+
+    length: int
+    intervals: tuple[int, ...]
+    gram: int = GRAM
+    width: int = 1
+
+    def units(self, texts: list[bytes]) -> list[bytes]:
+        return texts if self.width == 1 else word_codes(texts)
+
+    @property
+    def least_bytes(self) -> int:
+        return self.length if self.width == 1 else 2 * self.length - 1
+
+
 RUNS = "core binary, hull binary, n int, runs binary"
 _RUNS = pa.schema([("core", pa.binary()), ("hull", pa.binary()), ("n", pa.int32()), ("runs", pa.binary())])
-#: One run: its text, anchor, and lowest and highest offset.
-_RUN = np.dtype([("tkey", "V16"), ("at", "<i8"), ("low", "<i4"), ("high", "<i4")])
+#: One run: its text, anchor, lowest and highest offset, and the number of its rule.
+_RUN = np.dtype([("tkey", "V16"), ("at", "<i8"), ("low", "<i4"), ("high", "<i4"), ("rule", "<i4")])
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(texts: list[bytes], length: int, gram: int = GRAM, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, anchor, lowest offset, highest offset) of the runs of windows with one anchor."""
     out, held, size = [(np.zeros(0, dtype=np.int64),) * 4], [], 0
     for i, t in enumerate(texts):
-        for a in range(0, len(t) - length + 1, PIECE):
-            part = t[a : a + PIECE + length - 1]
-            if held and size + len(part) > int(_LOW) + 1:
-                out.append(_runs_of(*zip(*held, strict=True), length))
+        for a in range(0, len(t) // width - length + 1, PIECE):
+            part = t[a * width : (a + PIECE + length - 1) * width]
+            if held and size + len(part) // width > int(_LOW) + 1:
+                out.append(_runs_of(*zip(*held, strict=True), length, gram, width))
                 held, size = [], 0
             held.append((i, a, part))
-            size += len(part)
+            size += len(part) // width
     if held:
-        out.append(_runs_of(*zip(*held, strict=True), length))
+        out.append(_runs_of(*zip(*held, strict=True), length, gram, width))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _runs_of(owner: tuple[int, ...], base: tuple[int, ...], parts: tuple[bytes, ...], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs_of(owner: tuple[int, ...], base: tuple[int, ...], parts: tuple[bytes, ...], length: int, gram: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of pieces of texts (text, begin, bytes) that have room for their positions in the lower bits of a hash."""
-    span = length - GRAM + 1
+    span = length - gram + 1
     data, at = joined(parts, b"")
+    if width > 1:
+        data, at = data.view(np.uint64), at // width
     assert len(data) <= int(_LOW) + 1, "positions do not fit into the lower bits"
-    prefix = prefix_hashes(data)
-    grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(prefix) - GRAM])
+    prefix = prefix_hashes(data) if width == 1 else prefix_sums(data)
+    grams = mixed((prefix[gram:] - prefix[:-gram]) * powers(len(prefix))[1][: len(prefix) - gram])
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
@@ -107,7 +133,7 @@ def _split(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarr
     return text[row], anchor[row], np.maximum(low[row], cell * interval), np.minimum(high[row], cell * interval + interval - 1)
 
 
-def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, interval: int, length: int) -> pa.RecordBatch:
+def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, interval: int, length: int, rule: int = 0, width: int = 1) -> pa.RecordBatch:
     """The runs by the fingerprints of core and hull, those of one piece that agree in both in one row.
 
     So a passage that fills a text, or stands in many texts of a task, is one row of it.
@@ -117,23 +143,23 @@ def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.
     near = anchor - low // interval * interval  # where the window of the interval's lowest offset starts
     for row, (i, c, h, a, b) in enumerate(zip(text.tolist(), near.tolist(), (anchor - high).tolist(), low.tolist(), high.tolist(), strict=True)):
         t = texts[i]
-        core = fingerprint(t[c : c - interval + 1 + length], a // interval)
-        hull = fingerprint(t[h : h + b - a + length], a << 32 | b) if interval > 1 else core
+        core = fingerprint(t[c * width : (c - interval + 1 + length) * width], a // interval)
+        hull = fingerprint(t[h * width : (h + b - a + length) * width], a << 32 | b) if interval > 1 else core
         found.setdefault((core, hull), []).append(row)
     runs = np.zeros(len(text), dtype=_RUN)
     if len(text):
         runs["tkey"] = np.frombuffer(b"".join(keys), dtype="V16")[text]
-        runs["at"], runs["low"], runs["high"] = anchor, low, high
+        runs["at"], runs["low"], runs["high"], runs["rule"] = anchor, low, high, rule
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([h for _, h in found], pa.binary()), pa.array([len(rows) for rows in found.values()], pa.int32()), pa.array([runs[rows].tobytes() for rows in found.values()], pa.binary())], schema=_RUNS)
 
 
-def _judged(runs: DataFrame, interval: int) -> DataFrame:
+def _judged(runs: DataFrame, last: bool) -> DataFrame:
     """Runs whose core occurs twice: repeated (the hull occurs twice) and next (to be split again)."""
     by_core, by_hull = Window.partitionBy("core"), Window.partitionBy("core", "hull")
     # dealt by core once: the windows by core and hull need no other shuffle
     out = runs.repartition("core").withColumns({"n_hull": F.sum("n").over(by_hull), "nth": F.row_number().over(by_hull.orderBy("runs"))})
     out = out.withColumns({"n_core": F.sum("n").over(by_core), "open": F.max((F.col("n_hull") == 1).cast("int")).over(by_core)}).where("n_core > 1")
-    go = (F.col("n_hull") == 1) | ((F.col("nth") == 1) & (F.col("open") == 1)) if interval > 1 else F.lit(False)
+    go = (F.col("n_hull") == 1) | ((F.col("nth") == 1) & (F.col("open") == 1)) if not last else F.lit(False)
     told = out.select("runs", (F.col("n_hull") > 1).alias("repeated"), go.alias("next")).where("repeated OR next")
 
     def apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +173,18 @@ def _judged(runs: DataFrame, interval: int) -> DataFrame:
             first[np.cumsum(n) - n] = True  # one run stands for all of its row
             repeated, follow = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("repeated", "next"))
             keys = [x.tobytes() for x in rows["tkey"]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows["at"].copy()), pa.array(rows["low"].copy()), pa.array(rows["high"].copy()), pa.array(repeated), pa.array(follow & first)], names=["tkey", "at", "low", "high", "repeated", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows["at"].copy()), pa.array(rows["low"].copy()), pa.array(rows["high"].copy()), pa.array(rows["rule"].copy()), pa.array(repeated), pa.array(follow & first)], names=["tkey", "at", "low", "high", "rule", "repeated", "next"])
+
+    return told.mapInArrow(apart, "tkey binary, at long, low int, high int, rule int, repeated boolean, next boolean")
 
-    return told.mapInArrow(apart, "tkey binary, at long, low int, high int, repeated boolean, next boolean")
 
+def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...] = (Rule(LENGTH, INTERVALS),)) -> DataFrame:
+    """(tkey, rule, begin, end): ranges of window starts that are repeated, for texts (tkey, text).
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, intervals: tuple[int, ...] = INTERVALS) -> DataFrame:
-    """(tkey, begin, end): ranges of window starts that are repeated, for texts (tkey, text)."""
+    All rules go through the same rounds, so that the texts are shuffled once for all of them.
+    """
+    rounds = len(rules[0].intervals)
+    assert all(len(r.intervals) == rounds and r.intervals[-1] == 1 for r in rules)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()  # a third copy in one task tells nothing new
@@ -162,31 +193,36 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, intervals: tuple[in
             use = []
             for i, k in enumerate(keys):
                 seen[k] += 1
-                if seen[k] <= 2 and len(own[i]) >= length:
+                if seen[k] <= 2:
                     use.append(i)
             own, keys = [own[i] for i in use], [keys[i] for i in use]
-            runs = _split(*_runs(own, length), intervals[0])
-            yield _ranked(own, keys, *runs, intervals[0], length)
+            for n, r in enumerate(rules):
+                units = r.units(own)
+                runs = _split(*_runs(units, r.length, r.gram, r.width), r.intervals[0])
+                yield _ranked(units, keys, *runs, r.intervals[0], r.length, n, r.width)
 
-    judged = written(_judged(texts.mapInArrow(first, RUNS), intervals[0]))
+    judged = written(_judged(texts.mapInArrow(first, RUNS), rounds == 1))
     found = judged.where("repeated")
     single = texts.dropDuplicates(["tkey"])
-    for interval in intervals[1:]:
-        waiting = judged.where("next").groupBy("tkey").agg(F.collect_list(F.struct("at", "low", "high")).alias("runs"))
+    for step in range(1, rounds):
+        waiting = judged.where("next").groupBy("tkey").agg(F.collect_list(F.struct("rule", "at", "low", "high")).alias("runs"))
 
-        def again(batches: Iterable[pa.RecordBatch], interval: int = interval) -> Iterator[pa.RecordBatch]:
+        def again(batches: Iterable[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
             for part, own in pieces(batches):
                 keys, runs = part.column("tkey").to_pylist(), part.column("runs").to_pylist()
-                rows = np.array([(i, r["at"], r["low"], r["high"]) for i, known in enumerate(runs) for r in known], dtype=np.int64).reshape(-1, 4)
-                yield _ranked(own, keys, *_split(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], interval), interval, length)
+                rows = np.array([(i, r["at"], r["low"], r["high"], r["rule"]) for i, known in enumerate(runs) for r in known], dtype=np.int64).reshape(-1, 5)
+                for n, r in enumerate(rules):
+                    mine, interval = rows[rows[:, 4] == n], r.intervals[step]
+                    if len(mine):
+                        yield _ranked(r.units(own), keys, *_split(mine[:, 0], mine[:, 1], mine[:, 2], mine[:, 3], interval), interval, r.length, n, r.width)
 
-        judged = written(_judged(single.join(waiting, "tkey").mapInArrow(again, RUNS), interval))
+        judged = written(_judged(single.join(waiting, "tkey").mapInArrow(again, RUNS), step == rounds - 1))
         found = found.unionByName(judged.where("repeated"))
-    return found.select("tkey", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + 1).alias("end"))
+    return found.select("tkey", "rule", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + 1).alias("end"))
 
 
 def removed_runs(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by windows that start in the given ranges."""
+    """Maximal runs covered by windows that start in the given ranges."""
     out: list[list[int]] = []
     for begin, end in sorted((r["begin"], r["end"]) for r in ranges or ()):
         if out and begin <= out[-1][1]:
@@ -196,20 +232,33 @@ def removed_runs(ranges: list[dict] | None, length: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def _with_ranges(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+def removed_bytes(text: bytes, ranges: list[dict] | None, rules: tuple[Rule, ...]) -> list[tuple[int, int]]:
+    """Maximal byte runs that any of the rules removes; of words, with the white space between them."""
+    cuts = []
+    for n, rule in enumerate(rules):
+        own = removed_runs([r for r in ranges or () if r["rule"] == n], rule.length)
+        if own and rule.width > 1:
+            start, end = word_bounds(np.frombuffer(text, dtype=np.uint8))
+            own = [(int(start[a]), int(end[b - 1])) for a, b in own]
+        cuts += [{"begin": a, "end": b} for a, b in own]
+    return removed_runs(cuts, 1)
+
+
+def _with_ranges(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     keyed = docs.withColumn("__tkey", text_key(F.col(text_col)))
-    found = repeated_windows(keyed.select(F.col("__tkey").alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length), length)
+    found = repeated_windows(keyed.select(F.col("__tkey").alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min(r.least_bytes for r in rules)), rules)
     # Written first, so that the join below has plain shuffles on both sides and Spark can split a text that many rows share.
-    grouped = written(found.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_set(F.struct("begin", "end")).alias("__ranges")))
+    grouped = written(found.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges")))
     return keyed.join(grouped, "__tkey", "left").drop("__tkey")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    rules = (Rule(length, INTERVALS),)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
-            spans = [removed_runs(r, length) for r in part.column("__ranges").to_pylist()]
+            spans = [removed_bytes(t, r, rules) for t, r in zip(texts, part.column("__ranges").to_pylist(), strict=True)]
             digest = []
             for t, own in zip(texts, spans, strict=True):
                 h, at = hashlib.sha256(), 0
@@ -222,21 +271,24 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    return _with_ranges(rows, "text", length).mapInArrow(run, schema)
+    return _with_ranges(rows, "text", rules).mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = None, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = None, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, and ``length_col`` counting its characters anew.
 
+    With ``words``, passages of so many words or more that occur twice go too, however few bytes they have.
     A character of which a cut leaves some bytes only goes as a whole. A document stays even if nothing is left of it.
     """
 
+    rules = (Rule(length, INTERVALS), *([Rule(words, WORD_INTERVALS, WORD_GRAM, 8)] if words else []))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
             out = []
             for t, ranges, known in zip(texts, part.column("__ranges").to_pylist(), part.column(text_col).is_null().to_pylist(), strict=True):
                 kept, at = [], 0
-                for a, b in removed_runs(ranges, length):
+                for a, b in removed_bytes(t, ranges, rules):
                     kept.append(t[at:a])
                     at = b
                 kept.append(t[at:])
@@ -247,4 +299,4 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
             del columns["__ranges"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return _with_ranges(docs, text_col, length).mapInArrow(run, docs.schema)
+    return _with_ranges(docs, text_col, rules).mapInArrow(run, docs.schema)

@@ -70,6 +70,13 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """``prefix_hashes`` of a sequence of 64-bit values instead of bytes."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    return out
+
+
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte spans [start, end), equal for equal bytes wherever they stand."""
     return mixed((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
@@ -92,6 +99,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(at, start, side="right") - 1
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the white-space words begin and end."""
+    edge = np.diff(np.r_[True, WHITE[data], True].astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_codes(texts: list[bytes]) -> list[bytes]:
+    """Each text as the 64-bit hashes of its white-space words as they are written, 8 bytes a word."""
+    data, at = joined(texts)
+    start, end = word_bounds(data)
+    hashes, cut = span_hashes(prefix_hashes(data), start, end), np.searchsorted(start, at).tolist()
+    return [hashes[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of ``k``-word shingles of each text, and where each text's begin.
 

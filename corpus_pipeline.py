@@ -24,8 +24,8 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur twice in what the stages before kept."""
-    return repeated_spans.without_repeats(docs, length_col="n_chars")
+    """Texts without the passages of over 50 words, or of 400 bytes, that occur twice in what the stages before kept."""
+    return repeated_spans.without_repeats(docs, length_col="n_chars", words=51)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

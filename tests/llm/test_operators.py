@@ -188,6 +188,31 @@ def test_repeated_spans_match_brute_force(spark):
     assert repeated_spans.removal_digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_pipeline_removes_repeated_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    fresh = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    short, long = (" ".join("abcdefghij"[rng.randrange(10)] for _ in range(n)) for n in (50, 51))
+    texts = [f"A{i} {fresh(80)}\n{p}\nB{i} {fresh(20 + i)}" for i, p in enumerate([long, long, short, short, fresh(51), long])]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(200))) for _ in range(40)] + ["", None, texts[4], "日本" * 300, "日本" * 300]
+    seen, want = Counter(), []
+    split = [[(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    windows = [[tuple((t or "")[a:b] for a, b in w[p : p + 51]) for p in range(len(w) - 50)] for t, w in zip(texts, split, strict=True)]
+    for own in windows:
+        seen.update(own)
+    for t, w, own in zip(texts, split, windows, strict=True):
+        gone = np.zeros(len(t or ""), dtype=bool)
+        for p, key in enumerate(own):
+            if seen[key] > 1:
+                gone[w[p][0] : w[p + 50][1]] = True
+        want.append(None if t is None else "" if t[:2] == "日本" else "".join(c for c, g in zip(t, gone, strict=True) if not g))
+    got = corpus_pipeline.suffix_array_dedup(spark, frame(spark, list(enumerate(texts))), SF).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert long not in "".join(t or "" for t in want) and sum(short in (t or "") for t in want) == 2
+
+
 def test_runs_of_a_text_beyond_the_position_bits(monkeypatch):
     monkeypatch.setattr(repeated_spans, "PIECE", 100)
     monkeypatch.setattr(repeated_spans, "_LOW", np.uint64((1 << 10) - 1))
