@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees.
 
-The trees' planes are fitted on a bounded sample; every vector is put into one leaf of
-each tree. A query walks all trees through one shared priority queue, nearest planes
-first, until the leaves visited should hold ``search`` rows; the rows found there are
-ranked by exact cosine in double precision.
+The trees' first planes are fitted on a bounded sample; every vector is put into one leaf
+of each tree. Leaves of more than ``most`` rows are split further in rounds: a bounded draw of
+each one's rows gives it a subtree, until all are small or hold one repeated vector. A
+query walks all trees through one shared priority queue, nearest planes first, until it
+has its own leaf of every tree, ``least`` leaves, and leaves of ``search`` rows; the rows found
+there are ranked by exact cosine in double precision.
 
 Leaves with many rows (a vector that a third of the table repeats) are dealt out in parts
 of ``PART`` rows and each part keeps its best ``k``, so no task holds a whole leaf and
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from arborlake.llm.shared import sorted_groups, written
 
 SAMPLE, TREES, LEAF, SEARCH, PART = 20_000, 10, 100, 6_000, 4_096
+#: Rows above which a leaf is split further, rows drawn for that, and leaves that a query visits at least.
+MOST, DRAW, LEAST = 1_000, 256, 60
 #: Query rows of one broadcast block of the exact search.
 BLOCK = 20_000
 
@@ -38,7 +42,7 @@ class Tree:
     normals: np.ndarray
     offsets: np.ndarray
     children: np.ndarray  # nodes x 2; a child below 0 is leaf -1 - child
-    share: np.ndarray  # of the sample in each leaf
+    share: np.ndarray  # of the rows in each leaf
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         at = np.zeros(len(unit), dtype=np.int64) if len(self.children) else np.full(len(unit), -1, dtype=np.int64)
@@ -79,15 +83,35 @@ def grow(unit: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(normals).reshape(-1, d), np.array(offsets), np.array(children, dtype=np.int64).reshape(-1, 2), np.array(share))
 
 
-def visited(forest: list[Tree], unit: np.ndarray, wanted: float) -> list[list[tuple[int, int]]]:
-    """For each query the (tree, leaf) pairs that the shared queue reaches, until they hold ``wanted`` of the rows."""
+def grafted(tree: Tree, subtrees: dict[int, Tree]) -> Tree:
+    """The tree with subtrees in the place of leaves; each one's first leaf takes the old number."""
+    normals, offsets, children, leaves = [tree.normals], [tree.offsets], tree.children.copy(), len(tree.share)
+    nodes = len(children)
+    parts = [children]
+    for leaf, sub in subtrees.items():
+        numbers = np.r_[leaf, np.arange(leaves, leaves + len(sub.share) - 1)]
+        leaves += len(sub.share) - 1
+        own = sub.children
+        parts.append(np.where(own < 0, -1 - numbers[np.where(own < 0, -1 - own, 0)], own + nodes))
+        children[children == -1 - leaf] = nodes
+        normals.append(sub.normals)
+        offsets.append(sub.offsets)
+        nodes += len(own)
+    return Tree(np.concatenate(normals), np.concatenate(offsets), np.concatenate(parts), np.zeros(leaves))
+
+
+def visited(forest: list[Tree], unit: np.ndarray, wanted: float, least: int = LEAST) -> list[list[tuple[int, int]]]:
+    """For each query the (tree, leaf) pairs that the shared queue reaches, until they are ``least`` and hold ``wanted`` of the rows,
+    and those of its own leaves that it has not reached by then.
+    """
+    home = [t.leaves(unit) for t in forest]
     margins = [unit @ t.normals.T - t.offsets if len(t.children) else None for t in forest]
     size = [np.sqrt((t.normals**2).sum(axis=1)) for t in forest]
     out = []
     for q in range(len(unit)):
         queue = [(-np.inf, i, 0 if len(t.children) else -1) for i, t in enumerate(forest)]
         found, total = [], 0.0
-        while queue and total < wanted:
+        while queue and (total < wanted or len(found) < least):
             near, i, at = heapq.heappop(queue)
             if at < 0:
                 found.append((i, -1 - at))
@@ -97,7 +121,8 @@ def visited(forest: list[Tree], unit: np.ndarray, wanted: float) -> list[list[tu
             low, high = forest[i].children[at]
             heapq.heappush(queue, (max(near, m), i, int(low)))
             heapq.heappush(queue, (max(near, -m), i, int(high)))
-        out.append(found)
+        reached = set(found)
+        out.append(found + [x for i in range(len(forest)) if (x := (i, int(home[i][q]))) not in reached])
     return out
 
 
@@ -186,7 +211,56 @@ def exact(rows: DataFrame, queries: DataFrame, d: int, k: int) -> DataFrame:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, seed: int = 11) -> DataFrame:
+def _placed(rows: DataFrame, shared, d: int) -> DataFrame:
+    """Each row once for every tree, with its leaf."""
+
+    def to_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = _unit(_matrix(b.column("v"), d))
+                for i, t in enumerate(shared.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), i, dtype=np.int32)), pa.array(t.leaves(u).astype(np.int32)), b.column("vec_id"), b.column("v")], names=["tree", "leaf", "vec_id", "v"])
+
+    return rows.mapInArrow(to_leaves, "tree int, leaf int, vec_id long, v array<double>")
+
+
+def _refined(rows: DataFrame, forest: list[Tree], d: int, most: int, seed: int) -> tuple[list[Tree], dict[tuple[int, int], int]]:
+    """The forest with leaves of more than ``most`` rows split, and the rows of each leaf.
+
+    A draw of one distinct vector ends the splitting of its leaf.
+    """
+    spark, closed = rows.sparkSession, set()
+    while True:
+        placed = _placed(rows, spark.sparkContext.broadcast(forest), d)
+        counts = {(r.tree, r.leaf): r["count"] for r in placed.groupBy("tree", "leaf").count().toLocalIterator()}
+        large = {k: n for k, n in counts.items() if n > most and k not in closed}
+        if not large:
+            break
+        sizes = spark.createDataFrame([(t, f, n) for (t, f), n in large.items()], "tree int, leaf int, n long")
+        chance = F.pmod(F.xxhash64("vec_id", "tree", "leaf"), F.lit(1 << 30)) < F.lit(DRAW * (1 << 30)) / F.col("n")
+        drawn = placed.join(F.broadcast(sizes), ["tree", "leaf"]).where(chance)
+
+        def split(group: pa.Table) -> pa.Table:
+            tree, leaf, n = (group.column(c)[0].as_py() for c in ("tree", "leaf", "n"))
+            unit = np.unique(_unit(_matrix(group.column("v").combine_chunks(), d)), axis=0)
+            size = min(max(8, most // 2 * len(unit) // n), max(len(unit) - 1, 1))
+            sub = grow(unit, size, np.random.default_rng([seed, tree, leaf]))
+            return pa.table({"tree": pa.array([tree], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "normals": pa.array([sub.normals.tobytes()]), "offsets": pa.array([sub.offsets.tobytes()]), "children": pa.array([sub.children.tobytes()])})
+
+        subtrees: list[dict[int, Tree]] = [{} for _ in forest]
+        for r in drawn.groupBy("tree", "leaf").applyInArrow(split, "tree int, leaf int, normals binary, offsets binary, children binary").toLocalIterator():
+            children = np.frombuffer(r.children, dtype=np.int64).reshape(-1, 2)
+            if len(children):
+                subtrees[r.tree][r.leaf] = Tree(np.frombuffer(r.normals).reshape(-1, d), np.frombuffer(r.offsets), children, np.zeros(len(children) + 1))
+        closed |= {(t, f) for t, f in large if f not in subtrees[t]}
+        forest = [grafted(t, dict(sorted(sub.items()))) if sub else t for t, sub in zip(forest, subtrees, strict=True)]
+    total = max(sum(counts.values()) // max(len(forest), 1), 1)
+    for i, t in enumerate(forest):
+        t.share = np.array([counts.get((i, leaf), 0) / total for leaf in range(len(t.share))])
+    return forest, counts
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, seed: int = 11, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Per query row: its ``k`` nearest found as (query_id, rank, vec_id, score)."""
     spark = vectors.sparkSession
     rows, d = usable(vectors)
@@ -196,18 +270,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMP
     unit = _unit(_matrix(drawn.column("v").combine_chunks(), d)) if drawn.num_rows else np.zeros((0, d))
     in_leaf = max(8, leaf * len(unit) // max(total, 1))
     forest = [grow(unit, in_leaf, np.random.default_rng(seed + i)) for i in range(trees)]
+    forest, counts = _refined(rows, forest, d, most, seed)
     shared = spark.sparkContext.broadcast(forest)
-
-    def to_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                u = _unit(_matrix(b.column("v"), d))
-                for i, t in enumerate(shared.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), i, dtype=np.int32)), pa.array(t.leaves(u).astype(np.int32)), b.column("vec_id"), b.column("v")], names=["tree", "leaf", "vec_id", "v"])
-
-    placed = rows.mapInArrow(to_leaves, "tree int, leaf int, vec_id long, v array<double>")
-    # There are as many leaves as the sample allows, whatever the table's size.
-    large = {(r.tree, r.leaf): r.parts for r in placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1").collect()}
+    placed = _placed(rows, shared, d)
+    large = {k: -(-n // PART) for k, n in counts.items() if n > PART}
     parts_of = spark.sparkContext.broadcast(large)
 
     def to_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +288,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMP
                 continue
             u = _unit(_matrix(b.column("v"), d))
             at, keys = [], []
-            for i, leaves in enumerate(visited(shared.value, u, search / max(total, 1))):
+            for i, leaves in enumerate(visited(shared.value, u, search / max(total, 1), least)):
                 own = [f"{t}.{f}.{p}" for t, f in leaves for p in range(parts_of.value.get((t, f), 1))]
                 keys += own
                 at += [i] * len(own)

@@ -282,6 +282,35 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(vectors.limit(0), ask).count() == 0
 
 
+@pytest.mark.parametrize("n", [2000, 6000, 12000])
+def test_neighbours_recall_does_not_fall_with_size(spark, n):
+    rng = np.random.default_rng(9)
+    hot = np.ones(16, dtype="f4")
+    rows = [(i, (hot if i % 3 == 1 else rng.normal(size=16).astype("f4")).tolist()) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    ask = queries.F.col("vec_id") % 300 == 0
+    got = neighbours.nearest(vectors, ask, sample=100, search=600, most=100).collect()
+    usable, d = neighbours.usable(vectors)
+    want = neighbours.exact(usable, usable.where(ask), d, 5).collect()
+    assert len(got) == len(want)
+    recall = len({(r.query_id, r.vec_id) for r in got} & {(r.query_id, r.vec_id) for r in want}) / len(want)
+    print(f"recall over {n} vectors: {recall:.3f}")
+    assert recall >= 0.8
+
+
+def test_grafted_subtrees_keep_every_row_in_its_part():
+    rng = np.random.default_rng(3)
+    unit = neighbours._unit(rng.normal(size=(500, 8)))
+    tree = neighbours.grow(unit, 200, rng)
+    old = tree.leaves(unit)
+    subs = {leaf: neighbours.grow(unit[old == leaf], 20, rng) for leaf in range(len(tree.share)) if (old == leaf).sum() > 20}
+    new = neighbours.grafted(tree, subs).leaves(unit)
+    assert np.bincount(new).max() <= 20
+    assert all(len(set(old[new == leaf])) == 1 for leaf in set(new))
+    whole = neighbours.grow(unit, 1000, rng)
+    assert np.bincount(neighbours.grafted(whole, {0: neighbours.grow(unit, 50, rng)}).leaves(unit)).max() <= 50
+
+
 def test_html_text(spark):
     page = '<!DOCTYPE html><head><title>t</title><script>var x="<p>no</p>";</script></head><body><nav><a href=/>Home</a></nav><div class="ad">Buy now.</div><article><h1>Head &amp; tail</h1><p><b>One\n  two &eacute;.<br><p>So.</p></article><div class="comments"><p>I was there too and saw it all.</p></div><footer>&copy; me</footer>'
     rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p"), (1, "u", page), (5, "u", "<article><p>" + "word " * 50000 + "</article>"), (6, "u", "<!-- <p>x</p>")]
