@@ -1,18 +1,26 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-Text gets a leading space and its spaces become the marker U+2581; characters without a
-piece fall back to byte pieces. No piece has a marker after another character, so the best
-path of a text is that of its marker-led words one after the other; distinct words are encoded
-once, many at a time, by array operations over all of them.
+Text gets a leading space; spaces are written as the marker U+2581 in pieces, and characters
+without a piece fall back to byte pieces. A text is cut before every character that no piece
+joins to the byte before it: no path crosses such a place, so the best path of a text is that of
+its parts one after the other. Distinct parts are encoded once, many at a time, by array
+operations over all of them.
+
+Scores are natural logarithms of probabilities that sum to one over the pieces. The public model
+is no unigram model: its scores are the merge ranks r = 0, 1, 2, ... of byte-pair encoding. As
+tokenizers are not trained here, ``log_scores`` turns ranks into probabilities by Zipf's law,
+1 / (1 + r) over the sum of all. Sums are taken in 32 bits with the public library's order and tie
+rule (of equal paths the one with the longer last piece), so texts get the ids that the library
+gives them with these scores, but for exact ties that the library's rounding decides.
 
 Defined results: a null or empty text has no pieces and decodes to ""; a literal U+2581 in a
-text decodes to a space, as in the public library; repeated rows encode alike.
+text decodes to a space, as in the public library; repeated rows encode alike; a column that has
+a result's name already gives way to it; null ids decode to "", ids that no piece has raise.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -21,15 +29,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborlake.llm.text import pieces
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Score of a character without a piece below the lowest score of any piece.
+_MARK = MARK.encode()
+#: Score of a character without a piece below the lowest score of any piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a worker keeps; words longer than LONG bytes are walked one at a time.
-KEPT, LONG = 300_000, 256
+#: Parts whose ids a worker keeps; parts longer than LONG bytes are walked one at a time.
+KEPT, LONG = 250_000, 256
+#: Bytes of text encoded at once.
+WORK_BYTES = 2 << 20
 
 
 class DoubleArray:
@@ -81,6 +93,12 @@ class DoubleArray:
         return np.where((self.base[node] > 0) & (self.check[at] == node), at, -1)
 
 
+def log_scores(ranks: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces by their merge ranks (0 for the first merge), by Zipf's law."""
+    weight = 1.0 / (1.0 + ranks)
+    return np.log(weight / weight.sum())
+
+
 @dataclass
 class Unigram:
     pieces: list[bytes]
@@ -88,35 +106,42 @@ class Unigram:
     byte_ids: np.ndarray  # id of each byte's piece
     normal: np.ndarray  # ids that text can match
     trie: DoubleArray = field(init=False)
-    known: dict[str, bytes] = field(default_factory=dict)
+    slots: dict[bytes, int] = field(default_factory=dict)  # the parts seen; their ids are in ``kept``
 
     def __post_init__(self) -> None:
-        self.trie = DoubleArray([self.pieces[i] for i in self.normal])
-        self.unknown = float(self.scores[self.normal].min()) - UNKNOWN_PENALTY
-        self.is_byte = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self._forget()
+        shown = [p.replace(_MARK, b" ") for p in self.pieces]
+        self.scores = self.scores.astype(np.float32)
+        self.trie = DoubleArray([shown[i] for i in self.normal])
+        self.unknown = self.scores[self.normal].min() - np.float32(UNKNOWN_PENALTY)
+        self.joins = np.zeros(1 << 16, dtype=bool)  # pairs of bytes that stand side by side in a piece
+        for i in self.normal:
+            code = np.frombuffer(shown[i], dtype=np.uint8).astype(np.int64)
+            self.joins[code[:-1] << 8 | code[1:]] = True
+        for b, i in enumerate(self.byte_ids):
+            shown[i] = bytes([b])
+        self.shown = pa.array(shown, pa.binary())
 
     @classmethod
     def load(cls, path: str) -> Unigram:
-        """Pieces and scores of a .model file."""
+        """The pieces of a .model file of byte-pair encoding, with log scores by their ranks."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
-        scores = np.array([sp.get_score(i) for i in range(n)])
         normal = np.array([i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))])
-        if any(re.search(f"[^{MARK}]{MARK}", names[i]) for i in normal):
-            raise ValueError("a piece reaches over the start of a word")
+        scores = np.zeros(n)
+        scores[normal] = log_scores(-np.array([sp.get_score(int(i)) for i in normal]))
         return cls([x.encode() for x in names], scores, np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]), normal)
 
     def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id) of every piece found in ``data``, and of characters without a piece (id -1).
 
-        A word ends with a zero byte, which no piece has.
+        A part ends with a byte 0xFF, which no text has.
         """
-        char = (data & 0xC0) != 0x80
-        start = np.flatnonzero(char & (data != 0))
-        width = np.where(data[start] < 0x80, 1, np.where(data[start] < 0xE0, 2, np.where(data[start] < 0xF0, 3, 4)))
+        start = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0xFF))
+        width = _width(data[start])
         single = np.zeros(len(start), dtype=bool)
         out = []
         row, node = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
@@ -134,22 +159,22 @@ class Unigram:
         out.append((start[lost], width[lost], np.full(int(lost.sum()), -1)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def viterbi(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word's best path; of equal paths the one with the longer last piece."""
-        data = np.frombuffer(b"\0".join([*words, b""]), dtype=np.uint8)
+    def viterbi(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts' best paths, one after the other, and how many each has; of equal paths the one with the longer last piece."""
+        data = np.frombuffer(b"\xff".join([*parts, b""]), dtype=np.uint8)
         if not len(data):
-            return []
-        size = np.array([len(w) for w in words])
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        size = np.array([len(w) for w in parts])
         begin = np.r_[0, np.cumsum(size + 1)[:-1]]
         start, length, piece = self._edges(data)
         score = np.where(piece >= 0, self.scores[piece], self.unknown)
         end = start + length
-        word = np.searchsorted(begin, start, side="right") - 1
-        local = end - begin[word]
-        best = np.full(len(data) + 1, -np.inf)
+        part = np.searchsorted(begin, start, side="right") - 1
+        local = end - begin[part]
+        best = np.full(len(data) + 1, -np.inf, dtype=np.float32)
         best[begin] = 0.0
         came, by = np.zeros(len(data) + 1, dtype=np.int64), np.zeros(len(data) + 1, dtype=np.int64)
-        long = size[word] > LONG
+        long = size[part] > LONG
         order = np.lexsort((-length, local))
         short_order = order[~long[order]]
         cuts = np.flatnonzero(np.r_[True, (np.diff(local[short_order]) != 0) | (np.diff(length[short_order]) != 0)]) if len(short_order) else np.zeros(0, dtype=np.int64)
@@ -160,62 +185,94 @@ class Unigram:
             e, new = e[better], new[better]
             best[end[e]], came[end[e]], by[end[e]] = new, start[e], piece[e]
         if long.any():
-            for s, t, p, v in zip(*(x[order[long[order]]].tolist() for x in (start, end, piece, score)), strict=True):
+            for s, t, p, v in zip(*(x[order[long[order]]].tolist() for x in (start, end, piece)), score[order[long[order]]], strict=True):
                 if best[s] + v > best[t]:
                     best[t], came[t], by[t] = best[s] + v, s, p
-        out_word, out_at, out_piece = [], [], []
-        at, row = begin + size, np.arange(len(words))
+        out_part, out_at, out_piece = [], [], []
+        at, row = begin + size, np.arange(len(parts))
         while True:
             on = at > begin[row]
             at, row = at[on], row[on]
             if not len(at):
                 break
-            out_word.append(row)
+            out_part.append(row)
             out_at.append(came[at])
             out_piece.append(by[at])
             at = came[at]
-        if not out_word:
-            return [np.zeros(0, dtype=np.int64) for _ in words]
-        row, at, ids = (np.concatenate(x) for x in (out_word, out_at, out_piece))
+        if not out_part:
+            return np.zeros(0, dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
+        row, at, ids = (np.concatenate(x) for x in (out_part, out_at, out_piece))
         order = np.lexsort((at, row))
         row, at, ids = row[order], at[order], ids[order]
         if (ids < 0).any():  # byte fallback
-            lead = data[at]
-            times = np.where(ids >= 0, 1, np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))))
+            times = np.where(ids >= 0, 1, _width(data[at]))
             nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             row, at, ids = (np.repeat(x, times) for x in (row, at, ids))
             ids = np.where(ids >= 0, ids, self.byte_ids[data[at + nth]])
-        return np.split(ids, np.cumsum(np.bincount(row, minlength=len(words)))[:-1])
-
-    def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as 32-bit little-endian integers."""
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set().union(*split)
-        new = list(new)
-        zero = [w for w in new if "\0" in w]  # the zero byte ends a word below
-        plain = [w for w in new if "\0" not in w]
-        self.known.update(zip(plain, (i.astype("<u4").tobytes() for i in self.viterbi([w.encode() for w in plain])), strict=True))
-        for w in zero:
-            ids: list[int] = []
-            for n, part in enumerate(w.split("\0")):
-                ids += [int(self.byte_ids[0])] * (n > 0)
-                ids += self.viterbi([part.encode()])[0].tolist() if part else []
-            self.known[w] = np.array(ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return ids, np.bincount(row, minlength=len(parts))
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin, one more at the end."""
+        led = [b" " + t if t else t for t in texts]
+        raw = b"".join(led)
+        if _MARK in raw:
+            led = [t.replace(_MARK, b" ") for t in led]
+            raw = b"".join(led)
+        if not raw:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+        text_at = np.r_[0, np.cumsum([len(t) for t in led])]
+        data = np.frombuffer(raw, dtype=np.uint8)
+        cut = (data & 0xC0) != 0x80
+        cut[1:] &= ~self.joins[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]]
+        cut[text_at[:-1][np.diff(text_at) > 0]] = True
+        part_at = np.flatnonzero(cut)
+        spans = pa.Array.from_buffers(pa.binary(), len(part_at), [None, pa.py_buffer(np.r_[part_at, len(raw)].astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        slot = self._slots(spans.dictionary.to_pylist())[spans.indices.to_numpy()]
+        times = self.count[slot]
+        total = np.cumsum(times)
+        at = np.arange(int(total[-1])) + np.repeat(self.first[slot] - (total - times), times)
+        return self.kept[at], np.r_[0, total][np.searchsorted(part_at, text_at)]
+
+    def _forget(self) -> None:
+        self.slots.clear()
+        self.kept, self.first, self.count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _slots(self, parts: list[bytes]) -> np.ndarray:
+        """Where ``first`` and ``count`` have each part's ids."""
+        known = self.slots
+        if len(known) + len(parts) > KEPT:
+            new = [p for p in parts if p not in known]
+            if len(known) + len(new) > KEPT:
+                self._forget()
+        new = [p for p in parts if p not in known]
+        ids, n = self.viterbi(new)
+        known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+        self.first = np.r_[self.first, len(self.kept) + np.cumsum(n) - n]
+        self.count, self.kept = np.r_[self.count, n], np.r_[self.kept, ids.astype(np.int32)]
+        return np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The bytes of each id sequence, the leading space taken off."""
+        taken = self.shown.take(pa.array(ids))
+        offset = np.frombuffer(taken.buffers()[1], dtype=np.int32)[taken.offset : taken.offset + len(taken) + 1]
+        raw, edge = memoryview(taken.buffers()[2] or b""), offset[at].tolist()
+        return [bytes(raw[a + 1 if a < b and raw[a] == 0x20 else a : b]) for a, b in zip(edge, edge[1:], strict=False)]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed([text])[0], dtype="<u4").tolist()
+        return self.encode_all([text.encode()])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join([self.is_byte.get(i) or self.pieces[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return raw.removeprefix(" ")
+        ids = np.array(list(ids), dtype=np.int32)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        none = np.zeros(0, dtype=np.int64)
+        return self.__dict__ | {"slots": {}, "kept": none.astype(np.int32), "first": none, "count": none}
+
+
+def _width(lead: np.ndarray) -> np.ndarray:
+    """Bytes of the characters that begin with these bytes."""
+    return np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
 
 
 @lru_cache(maxsize=2)
@@ -223,39 +280,53 @@ def loaded(path: str) -> Unigram:
     return Unigram.load(path)
 
 
-def encoded(docs: DataFrame, model: Unigram, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
-    """``docs`` with the ids of each text as array<int>."""
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _put(batch: pa.RecordBatch, schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[n] if n in columns else batch.column(n) for n in schema], names=list(schema))
+
+
+def _with(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` with more columns at its end; of equal names the new one stays."""
+    new = {n.lower() for n in kinds}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new], *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()]).schema
+
+
+def encoded(docs: DataFrame, model: Unigram, text_col: str = "text", tokens_col: str = "tokens", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text as array<int>, and with ``decoded_col`` the text decoded from these in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = _with(docs, **{tokens_col: "array<int>"}, **({decoded_col: "string"} if decoded_col else {}))
+    names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, text_col):
-            packed = shared.value.encode_packed([t.decode() for t in texts])
-            ids = pa.array([np.frombuffer(p, dtype="<i4") for p in packed], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, tokens_col])
+        for part, texts in pieces(batches, text_col, WORK_BYTES):
+            ids, at = shared.value.encode_all(texts)
+            more = {tokens_col: _lists(ids, at)}
+            if decoded_col:
+                more[decoded_col] = pa.array([t.decode("utf-8", "replace") for t in shared.value.decode_all(ids, at)], pa.string())
+            yield _put(part, names, **more)
 
-    return docs.mapInArrow(run, _with(docs, tokens_col, "array<int>"))
+    return docs.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, model: Unigram, tokens_col: str = "tokens", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of each id sequence; null ids give ""."""
+    """``rows`` with the text of each id sequence."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = _with(rows, **{text_col: "string"})
+    names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):  # ids as numbers of Python take far more room than in the batch
-                b = batch.slice(a, 256)
-                texts = [shared.value.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()) for ids in b.column(tokens_col)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
-
-    return rows.mapInArrow(run, _with(rows, text_col, "string"))
+            for a in range(0, batch.num_rows, 1024):
+                b = batch.slice(a, 1024)
+                ids = b.column(tokens_col)
+                size = np.asarray(ids.value_lengths().fill_null(0))
+                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                yield _put(b, names, **{text_col: pa.array([t.decode("utf-8", "replace") for t in shared.value.decode_all(flat, np.r_[0, np.cumsum(size)])], pa.string())})
 
-
-def _with(df: DataFrame, name: str, kind: str):
-    from pyspark.sql import functions as F
-
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already; name another")
-    return df.select("*", F.lit(None).cast(kind).alias(name)).schema
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, model: Unigram) -> DataFrame:
@@ -265,13 +336,13 @@ def round_trip(docs: DataFrame, model: Unigram) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
+        for part, texts in pieces(batches, most=WORK_BYTES):
             m = shared.value
-            packed = m.encode_packed([t.decode() for t in texts])
-            ids = [np.frombuffer(p, dtype="<u4") for p in packed]
-            low, high = int(m.byte_ids.min()), int(m.byte_ids.max())
-            back = [m.decode(i.tolist()).encode() for i in ids]
-            columns = [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([int(((i >= low) & (i <= high)).sum()) for i in ids], pa.int64()), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts, strict=True)])]
+            ids, at = m.encode_all(texts)
+            packed, cut = memoryview(ids.astype("<u4").tobytes()), at.tolist()
+            is_byte = np.r_[0, np.cumsum((ids >= m.byte_ids.min()) & (ids <= m.byte_ids.max()))]
+            back = m.decode_all(ids, at)
+            columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(np.diff(is_byte[at]), pa.int64()), pa.array([zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(cut, cut[1:], strict=False)], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts, strict=True)])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "n_bytes", "ids_crc32", "decoded_sha256", "same"])
 
     rows = docs.select("doc_id", "text")

@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, and the text decoded from these."""
     model = sentencepiece_unigram.loaded(tokenizer_path("piece_bpe_32k.model"))
-    return sentencepiece_unigram.decoded(sentencepiece_unigram.encoded(docs, model), model)
+    return sentencepiece_unigram.encoded(docs, model, decoded_col="decoded")
 
 
 STAGES = [
