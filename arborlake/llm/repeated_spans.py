@@ -38,17 +38,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import written
+from arborlake.llm.shared import unused, written
 from arborlake.llm.text import joined, mixed, pieces, powers, prefix_hashes, prefix_sums, word_bounds, word_codes
 
 LENGTH, GRAM = 400, 32
 INTERVALS = (128, 16, 1)
 #: Words of a gram, and the intervals of each round, where windows are taken in words.
-WORD_GRAM, WORD_INTERVALS = 8, (22, 4, 1)
+WORDS, WORD_GRAM, WORD_INTERVALS = 51, 8, (22, 4, 1)
 #: Window starts of one piece of a text; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 #: The lower bits of a gram's hash give way to its position.
 _LOW = np.uint64((1 << 24) - 1)
+#: Hulls of which a task remembers that it has sent them on, a power of two.
+SEEN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -133,10 +135,26 @@ def _split(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarr
     return text[row], anchor[row], np.maximum(low[row], cell * interval), np.minimum(high[row], cell * interval + interval - 1)
 
 
-def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, interval: int, length: int, rule: int = 0, width: int = 1) -> pa.RecordBatch:
+def _told_apart(hull: list[bytes], n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which of a piece's groups are known to be repeated, as the task has sent their hull on twice already.
+
+    ``seen`` keeps hulls by a part of their fingerprint, once and twice sent; one that another hull puts out is sent again.
+    """
+    mark = np.frombuffer(b"".join(hull), dtype="<u8")[::2] | np.uint64(1)
+    slot = (mark >> np.uint64(40)).astype(np.int64) & (seen.shape[1] - 1)
+    known = seen[1, slot] == mark
+    again = (seen[0, slot] == mark) | (n > 1)
+    seen[0, slot] = mark
+    seen[1, slot[again]] = mark[again]
+    return known
+
+
+def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, interval: int, length: int, rule: int, width: int, seen: np.ndarray) -> pa.RecordBatch:
     """The runs by the fingerprints of core and hull, those of one piece that agree in both in one row.
 
-    So a passage that fills a text, or stands in many texts of a task, is one row of it.
+    So a passage that fills a text, or stands in many texts of a piece, is one row of it. Runs that the
+    task knows to be repeated go in one row under a fingerprint of their own, so that a passage of
+    all texts does not gather in one task of the next stage.
     """
     fingerprint = xxhash.xxh3_128_digest
     found: dict[tuple[bytes, bytes], list[int]] = {}
@@ -150,7 +168,16 @@ def _ranked(texts: list[bytes], keys: list[bytes], text: np.ndarray, anchor: np.
     if len(text):
         runs["tkey"] = np.frombuffer(b"".join(keys), dtype="V16")[text]
         runs["at"], runs["low"], runs["high"], runs["rule"] = anchor, low, high, rule
-    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([h for _, h in found], pa.binary()), pa.array([len(rows) for rows in found.values()], pa.int32()), pa.array([runs[rows].tobytes() for rows in found.values()], pa.binary())], schema=_RUNS)
+    core, hull, rows = [c for c, _ in found], [h for _, h in found], list(found.values())
+    n = np.array([len(x) for x in rows], dtype=np.int32)
+    known = _told_apart(hull, n, seen) if rows else np.zeros(0, dtype=bool)
+    packed = [runs[x].tobytes() for x, k in zip(rows, known.tolist(), strict=True) if not k]
+    if known.any():
+        sure = runs[[i for x, k in zip(rows, known.tolist(), strict=True) if k for i in x]].tobytes()
+        own = fingerprint(sure, 1 << 63)
+        core, hull = [*(c for c, k in zip(core, known, strict=True) if not k), own], [*(h for h, k in zip(hull, known, strict=True) if not k), own]
+        n, packed = np.r_[n[~known], np.int32(2)], [*packed, sure]
+    return pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), pa.array(hull, pa.binary()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], schema=_RUNS)
 
 
 def _judged(runs: DataFrame, last: bool) -> DataFrame:
@@ -181,13 +208,16 @@ def _judged(runs: DataFrame, last: bool) -> DataFrame:
 def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...] = (Rule(LENGTH, INTERVALS),)) -> DataFrame:
     """(tkey, rule, begin, end): ranges of window starts that are repeated, for texts (tkey, text).
 
-    All rules go through the same rounds, so that the texts are shuffled once for all of them.
+    All rules go through the same rounds, so that the texts are shuffled once for all of them. A
+    task that runs again must see its rows in the same order, as those of a table are: what a task has
+    sent before decides under which fingerprint it sends a run.
     """
-    rounds = len(rules[0].intervals)
+    rounds, nothing = len(rules[0].intervals), lambda: np.zeros((2, SEEN), dtype=np.uint64)
     assert all(len(r.intervals) == rounds and r.intervals[-1] == 1 for r in rules)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()  # a third copy in one task tells nothing new
+        sent = nothing()
         for part, own in pieces(batches):
             keys = part.column("tkey").to_pylist()
             use = []
@@ -199,7 +229,7 @@ def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...] = (Rule(LENGTH, I
             for n, r in enumerate(rules):
                 units = r.units(own)
                 runs = _split(*_runs(units, r.length, r.gram, r.width), r.intervals[0])
-                yield _ranked(units, keys, *runs, r.intervals[0], r.length, n, r.width)
+                yield _ranked(units, keys, *runs, r.intervals[0], r.length, n, r.width, sent)
 
     judged = written(_judged(texts.mapInArrow(first, RUNS), rounds == 1))
     found = judged.where("repeated")
@@ -208,15 +238,16 @@ def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...] = (Rule(LENGTH, I
         waiting = judged.where("next").groupBy("tkey").agg(F.collect_list(F.struct("rule", "at", "low", "high")).alias("runs"))
 
         def again(batches: Iterable[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            sent = nothing()
             for part, own in pieces(batches):
                 keys, runs = part.column("tkey").to_pylist(), part.column("runs").to_pylist()
                 rows = np.array([(i, r["at"], r["low"], r["high"], r["rule"]) for i, known in enumerate(runs) for r in known], dtype=np.int64).reshape(-1, 5)
                 for n, r in enumerate(rules):
                     mine, interval = rows[rows[:, 4] == n], r.intervals[step]
                     if len(mine):
-                        yield _ranked(r.units(own), keys, *_split(mine[:, 0], mine[:, 1], mine[:, 2], mine[:, 3], interval), interval, r.length, n, r.width)
+                        yield _ranked(r.units(own), keys, *_split(mine[:, 0], mine[:, 1], mine[:, 2], mine[:, 3], interval), interval, r.length, n, r.width, sent)
 
-        judged = written(_judged(single.join(waiting, "tkey").mapInArrow(again, RUNS), step == rounds - 1))
+        judged = written(_judged(single.join(waiting, "tkey").sortWithinPartitions("tkey").mapInArrow(again, RUNS), step == rounds - 1))
         found = found.unionByName(judged.where("repeated"))
     return found.select("tkey", "rule", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + 1).alias("end"))
 
@@ -244,21 +275,28 @@ def removed_bytes(text: bytes, ranges: list[dict] | None, rules: tuple[Rule, ...
     return removed_runs(cuts, 1)
 
 
-def _with_ranges(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
-    keyed = docs.withColumn("__tkey", text_key(F.col(text_col)))
-    found = repeated_windows(keyed.select(F.col("__tkey").alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min(r.least_bytes for r in rules)), rules)
+def _with_ranges(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, str]:
+    """``docs`` with the repeated ranges of each text in one more column, and the name of that column."""
+    key, ranges = unused(docs, "tkey"), unused(docs, "ranges")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    found = repeated_windows(keyed.select(F.col(key).alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min(r.least_bytes for r in rules)), rules)
     # Written first, so that the join below has plain shuffles on both sides and Spark can split a text that many rows share.
-    grouped = written(found.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_set(F.struct("rule", "begin", "end")).alias("__ranges")))
-    return keyed.join(grouped, "__tkey", "left").drop("__tkey")
+    grouped = written(found.groupBy(F.col("tkey").alias(key)).agg(F.collect_set(F.struct("rule", "begin", "end")).alias(ranges)))
+    return keyed.join(grouped, key, "left").drop(key), ranges
 
 
-def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rules = (Rule(length, INTERVALS),)
+def removal_digest(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 by the rule of ``length`` bytes, and
+    n_passage: bytes in passages of ``words`` words or more that also stand elsewhere, however few bytes these have.
+    """
+    rules = (Rule(length, INTERVALS), Rule(words, WORD_INTERVALS, WORD_GRAM, 8))
+    rows, ranges = _with_ranges(docs.select("doc_id", "text"), "text", rules)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
-            spans = [removed_bytes(t, r, rules) for t, r in zip(texts, part.column("__ranges").to_pylist(), strict=True)]
+            known = part.column(ranges).to_pylist()
+            spans = [removed_bytes(t, [x for x in r or () if x["rule"] == 0], rules) for t, r in zip(texts, known, strict=True)]
+            passages = [removed_bytes(t, [x for x in r or () if x["rule"] == 1], rules) for t, r in zip(texts, known, strict=True)]
             digest = []
             for t, own in zip(texts, spans, strict=True):
                 h, at = hashlib.sha256(), 0
@@ -267,11 +305,11 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = b
                 h.update(t[at:])
                 digest.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            total = lambda found: pa.array([sum(b - a for a, b in s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), total(spans), pa.array([len(s) for s in spans], pa.int64()), pa.array(digest, pa.string()), total(passages)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    rows = docs.select("doc_id", "text")
-    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    return _with_ranges(rows, "text", rules).mapInArrow(run, schema)
+    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passage", "long")
+    return rows.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = None, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -282,11 +320,12 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     """
 
     rules = (Rule(length, INTERVALS), *([Rule(words, WORD_INTERVALS, WORD_GRAM, 8)] if words else []))
+    rows, ranged = _with_ranges(docs, text_col, rules)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
             out = []
-            for t, ranges, known in zip(texts, part.column("__ranges").to_pylist(), part.column(text_col).is_null().to_pylist(), strict=True):
+            for t, ranges, known in zip(texts, part.column(ranged).to_pylist(), part.column(text_col).is_null().to_pylist(), strict=True):
                 kept, at = [], 0
                 for a, b in removed_bytes(t, ranges, rules):
                     kept.append(t[at:a])
@@ -296,7 +335,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
             columns = dict(zip(part.schema.names, part.columns, strict=True)) | {text_col: pa.array(out, pa.string())}
             if length_col:
                 columns[length_col] = pa.array([None if t is None else len(t) for t in out], part.schema.field(length_col).type)
-            del columns["__ranges"]
+            del columns[ranged]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return _with_ranges(docs, text_col, rules).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -10,17 +10,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only where it is unset (tests on one machine) a
-    temporary one is made and set.
+    The cluster names that folder; only on one machine, where it is unset, a temporary one
+    is made and set. Folders stay until ``clear``, as results are read from them.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/arborlake-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/arborlake-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the folders that this driver has made; results that read them are lost."""
+    while _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, into: str | None = None) -> DataFrame:
@@ -41,6 +54,14 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def rows_as(batch_columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(batch_columns[f.name], f.type) for f in schema], schema=schema)
 
