@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import platform
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions.paths import to_native
 from arborlake.operators import backup, content, groups, search, tree
-from arborlake.sources import filesystem, snapshots
+from arborlake.sources import filesystem, host, snapshots
+from arborlake.sources.single import exists
 
 
 class Hub:
@@ -24,14 +27,28 @@ class Hub:
 
     scans = snapshots
 
-    def scan(self, roots: list[str], skip: list[str] = (), save: str | None = None) -> tuple[DataFrame, DataFrame]:
-        dirs, entries = filesystem.as_tables(filesystem.scan(self.spark, roots, skip), f"snapshot_{int(time.time())}")
+    def scan(self, roots: list[str], skip: list[str] = (), save: bool = False, os_name: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """A walk of the roots as a table below ``data_path``; saved, it is a snapshot file that ``snapshots`` lists and ``load`` takes."""
+        began, system = int(time.time()), os_name or platform.system()
+        walked = filesystem.scan(self.spark, roots, skip)
+        if len(roots) > 1 and system == "Windows":
+            walked = filesystem.under_top(walked, roots)
+        rows = filesystem.numbered(walked, f"{self.data_path}/scans/{began}-{uuid.uuid4().hex}")
+        name = f"snapshot_{began}_{rows.count()}"
+        dirs, entries = filesystem.as_tables(rows, name, system)
         if save:
-            snapshots.write_snapshot(dirs, entries, f"{self.data_path}/snapshots/{save}")
+            device = host.system_info(self.spark).first().asDict()
+            meta = device | {"device_id": device["thumbprint"], "cpu_name": device["cpu_model"], "os_name": system, "start_scan_time": began, "finish_scan_time": int(time.time())}
+            snapshots.write_snapshot(dirs, entries, f"{self.data_path}/snapshots/{name}.jsonl.gz", meta)
         return dirs, entries
 
     def load(self, name: str) -> None:
-        lines = snapshots.read_lines(self.spark, f"{self.data_path}/snapshots/{name}.jsonl.gz").cache()
+        path = f"{self.data_path}/snapshots/{name}.jsonl.gz"
+        if not exists(self.spark, path):
+            raise KeyError(f"there is no snapshot {name}")
+        lines = snapshots.read_lines(self.spark, path).cache()
+        if lines.isEmpty():
+            raise ValueError(f"snapshot {name} has no lines")
         dirs, entries = tree.last_of_path(snapshots.dirs_of(lines)), snapshots.entries_of(lines)
         self.loaded[name] = {"lines": lines, "dirs": dirs, "entries": entries, "totals": tree.rollup(dirs, entries).cache()}
         for kind in ("dirs", "entries", "totals"):
@@ -79,11 +96,15 @@ class Hub:
     def list_path(self, name: str, path: str | None = None, index: int | None = None, filter_in: list[str] = (), filter_out: list[str] = (), recursive: bool = False) -> dict[str, DataFrame]:
         """The page of a directory: own totals, files and subdirectories."""
         held = self._of(name)
-        if index is not None:
-            path = tree.lookup(held["dirs"], index=index).first().path
-        else:
+        if (path is None) == (index is None):
+            raise ValueError("give either a path or an index")
+        if path is not None:
             system = held["dirs"].first().os_name
             path = self.spark.range(1).select(to_native(F.lit(path), F.lit(system)).alias("p")).first().p
+        found = tree.lookup(held["dirs"], path=path, index=index).first()
+        if found is None:
+            raise LookupError(f"snapshot {name} has no directory {path if index is None else f'number {index}'}")
+        path = found.path
         entries, totals = held["entries"].where(F.col("parent") == path), held["totals"]
         if filter_in or filter_out:
             entries = groups.filter_listing(entries, self.groups(name), filter_in, filter_out)
@@ -94,7 +115,7 @@ class Hub:
     def info(self, name: str) -> DataFrame:
         return tree.info(self._of(name)["dirs"])
 
-    def search(self, query: str, names: list[str]) -> DataFrame:
+    def search(self, query: str, names: list[str], by: str | None = None, descending: bool = False) -> DataFrame:
         missing = [n for n in names if n not in self.loaded]
         if missing:
             raise KeyError("not loaded: " + ", ".join(missing))
@@ -102,7 +123,7 @@ class Hub:
         for n in names:
             hits = search.search(self.loaded[n]["entries"], query)
             out = hits if out is None else out.unionByName(hits)
-        return out
+        return search.in_order(out, by, descending) if by else out
 
     def select(self, name: str, filter_in: list[str] = (), filter_out: list[str] = (), mode: str = "strict") -> DataFrame:
         held = self._of(name)
@@ -116,11 +137,24 @@ class Hub:
         return content.duplicates(self.hashes(name).join(files, F.col("file_path") == F.col("full_path")))
 
     def plan_backup(self, name: str, target: str, filter_in: list[str] = (), filter_out: list[str] = (), max_bytes: int = backup.VOLUME_BYTES) -> DataFrame:
-        return backup.manifest(backup.pack(self.select(name, filter_in, filter_out), ["snapshot"], ["seq", "pos"], max_bytes), target)
+        """The volumes by the snapshot's sizes, and whether each source is there; when the backup runs, missing ones add no bytes."""
+        packed = backup.pack(self.select(name, filter_in, filter_out), ["snapshot"], ["seq", "pos"], max_bytes)
+        return backup.manifest(backup.with_sources(packed), target)
 
     def run_backup(self, name: str, target: str, kind: str = "zip", filter_in: list[str] = (), filter_out: list[str] = (), max_bytes: int = backup.VOLUME_BYTES) -> DataFrame:
-        files = self.select(name, filter_in, filter_out)
-        return backup.copy_folder(files, target) if kind == "folder" else backup.write_zip(backup.pack(files, ["snapshot"], ["seq", "pos"], max_bytes), target)
+        """Writes the backup and its log; returns the log's lines. What the tasks did is written first, so it is done once."""
+        files, began = self.select(name, filter_in, filter_out), int(time.time())
+        if kind == "folder":
+            done = backup.copy_folder(files, target)
+        else:
+            done = backup.write_zip(backup.pack(backup.with_sources(files), ["snapshot"], ["seq", "pos"], max_bytes), target)
+        at = f"{self.data_path}/backups/{began}-{uuid.uuid4().hex}"
+        done.write.parquet(at)
+        done = self.spark.read.parquet(at)
+        label = target.rstrip("/").rpartition("/")[2]
+        head = backup.header(self.spark, label, name, name, kind, target, filter_in, filter_out)
+        backup.write_log(head, done, f"{self.data_path}/backups/{label}_{name}_{done.count()}_{began}.jl")
+        return done
 
     def devices(self) -> DataFrame:
         return snapshots.read_devices(self.spark, f"{self.data_path}/devices")

@@ -13,32 +13,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions.paths import member_name, volume_name
+from arborlake.sources.single import write_lines
 
 VOLUME_BYTES = 100 * 1024 * 1024
 LEVEL = 6
 MANIFEST = "timestamp long, src_path string, dest_path string, filesize long, action string, result string"
 
 
+def with_sources(files: DataFrame) -> DataFrame:
+    """``files`` with source_exists, as the machines that run the tasks see it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there = [p is not None and os.path.exists(p) for p in b.column("full_path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(there, pa.bool_())], names=[*b.schema.names, "source_exists"])
+
+    return files.mapInArrow(run, files.select("*", F.lit(True).alias("source_exists")).schema)
+
+
 def pack(files: DataFrame, keys: list[str], order: list[str], max_bytes: int = VOLUME_BYTES) -> DataFrame:
     """``files`` with zip_index: in order, a new volume starts when the current one holds bytes and the next file does not fit.
 
+    A file whose source_exists, if there is that column, is false adds no bytes to its volume.
+
     Where a volume ends depends on all files before it, so each key is read in order; the
     state is one number and one sum, whatever the key's size, and keys run side by side.
     """
     at = [files.columns.index(k) for k in keys]
-    size_at = files.columns.index("size")
+    size_at, there_at = files.columns.index("size"), files.columns.index("source_exists") if "source_exists" in files.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index, held = None, 0, 0
         for b in batches:
             out = []
-            for key, size in zip(zip(*(b.column(i).to_pylist() for i in at), strict=True) if at else [()] * b.num_rows, b.column(size_at).to_pylist(), strict=True):
+            there = [True] * b.num_rows if there_at is None else b.column(there_at).to_pylist()
+            for key, size, found in zip(zip(*(b.column(i).to_pylist() for i in at), strict=True) if at else [()] * b.num_rows, b.column(size_at).to_pylist(), there, strict=True):
                 if key != last:
                     last, index, held = key, 0, 0
                 size = size or 0
                 if held > 0 and held + size > max_bytes:
                     index, held = index + 1, 0
-                held += size
+                held += size if found else 0
                 out.append(index)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "zip_index"])
 
@@ -48,7 +63,7 @@ def pack(files: DataFrame, keys: list[str], order: list[str], max_bytes: int = V
 
 def manifest(packed: DataFrame, target: str) -> DataFrame:
     """The plan of a zip backup: source, volume, member and size; what a dry run returns."""
-    return packed.select(F.col("full_path").alias("src_path"), F.concat(F.lit(target.rstrip("/") + "/"), volume_name(F.col("zip_index"))).alias("dest_path"), member_name(F.col("full_path")).alias("member"), F.col("size").alias("filesize"), F.lit("zip").alias("action"))
+    return packed.select(F.col("full_path").alias("src_path"), F.concat(F.lit(target.rstrip("/") + "/"), volume_name(F.col("zip_index"))).alias("dest_path"), member_name(F.col("full_path")).alias("member"), F.col("size").alias("filesize"), F.lit("zip").alias("action"), *(["source_exists"] if "source_exists" in packed.columns else []))
 
 
 def header(spark, target_name: str, name: str, snapshot: str, backup_type: str, target: str, filter_in: list[str], filter_out: list[str]) -> DataFrame:
@@ -56,6 +71,13 @@ def header(spark, target_name: str, name: str, snapshot: str, backup_type: str,
     return spark.createDataFrame([row], "timestamp long, backup_target_name string, backup_name string, snapshot string, backup_type string, target_path string, filter_in array<string>, filter_out array<string>")
 
 
+def write_log(head: DataFrame, done: DataFrame, path: str) -> None:
+    """The backup's log as JSON Lines: the header, then a line for each file, in order of volumes and sources."""
+    first = head.select(F.lit(0).alias("n"), F.lit("").alias("dest_path"), F.lit("").alias("src_path"), F.to_json(F.struct(*head.columns)).alias("value"))
+    lines = done.select(F.lit(1).alias("n"), "dest_path", "src_path", F.to_json(F.struct(*done.columns)).alias("value"))
+    write_lines(first.unionByName(lines).orderBy("n", "dest_path", "src_path"), path)
+
+
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     names = ["timestamp", "src_path", "dest_path", "filesize", "action", "result"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]

@@ -24,8 +24,12 @@ def search(entries: DataFrame, query: str, snapshots: list[str] | None = None) -
     return hits.select(F.when(file, "file").otherwise("directory").alias("type"), "name", F.col("parent").alias("path"), "full_path", F.when(file, F.coalesce("size", F.lit(0))).cast("long").alias("size"), "snapshot", *[F.when(file, F.col(c)).alias(c) for c in ("created", "modified", "accessed")])
 
 
-def in_order(hits: DataFrame) -> DataFrame:
-    return hits.orderBy("snapshot", "path", F.desc("type"), "name")
+def in_order(hits: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:
+    """Hits or files by a column, nulls last; ties by snapshot, full path and name."""
+    if by not in hits.columns:
+        raise ValueError(f"no column {by} to sort by")
+    first = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    return hits.orderBy(first, *[c for c in ("snapshot", "full_path", "name") if c in hits.columns and c != by])
 
 
 def missing_snapshots(requested: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import paths
 from arborlake.operators import backup, content, groups, search, tree
+from arborlake.sources import filesystem, snapshots
 from arborlake.plans.testviews import document_dirs, document_files, document_tree, event_log, label_groups, table
 from arborlake.sources.filesystem import without_prefixes
 from arborlake.streaming.replay import current, start
@@ -247,17 +250,20 @@ def _held(spark, d):
     return held, table(spark, d, "supplier").select(F.col("s_suppkey").alias("device_id"), F.when(F.col("s_nationkey") < 10, "mobile").otherwise("server").alias("device_type"))
 
 
-_REPLICAS = "SELECT l_partkey AS hash, count(DISTINCT l_suppkey) AS replicas, bool_and(s_nationkey IS NOT NULL AND s_nationkey < 10) AS mobile_only FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey"
+def _replicas(key: str) -> str:
+    return f"SELECT {key} AS hash, count(DISTINCT l_suppkey) AS replicas, bool_and(s_nationkey IS NOT NULL AND s_nationkey < 10) AS mobile_only FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"
 
 
-@query(_REPLICAS)
+@query(_replicas("l_partkey"))
 def q_replicas(spark, d):
     return content.replicas(*_held(spark, d))
 
 
-@query(f"SELECT * FROM ({_REPLICAS}) WHERE replicas = 1 OR mobile_only")
+@query(f"SELECT * FROM ({_replicas("l_partkey || ':' || l_linenumber")}) WHERE replicas = 1 OR mobile_only")
 def q_at_risk(spark, d):
-    return content.at_risk(*_held(spark, d))
+    held, devices = _held(spark, d)
+    named = table(spark, d, "lineitem").select(F.concat_ws(":", "l_partkey", "l_linenumber").alias("hash"), F.col("l_suppkey").alias("device_id"))
+    return content.at_risk(named, devices)
 
 
 @query(f"WITH {FILES} SELECT full_path, size FROM files ORDER BY size DESC, full_path LIMIT 20 OFFSET 20")
@@ -329,18 +335,133 @@ def q_short_path(spark, d):
     return table(spark, d, "events").select("event_id", paths.shortened(long, 40).alias("short"))
 
 
+def _fresh(spark) -> str:
+    """A new folder below the one that all machines share; on one machine, where none is set, below its own temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/arborlake-{uuid.uuid4().hex}"
+
+
 @query()
 def q_stream_replay(spark, d):
     """The log read as a stream; equal to q_group_replay."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-checkpoints"
-    name = f"replay_{uuid.uuid4().hex}"
+    folder = _fresh(spark)
     schema = table(spark, d, "events").schema
     files = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
     log = files.select(F.lit("events").alias("snapshot"), F.col("event_id").alias("seq"), F.concat(F.lit("/u/"), F.col("user_id")).alias("path"), F.lit("f").alias("kind"), F.concat(F.lit("g"), F.pmod(k, F.lit(5))).alias("group"), F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
-    stream = start(log, name, f"{base}/{name}")
+    stream = start(log, f"{folder}/state", f"{folder}/checkpoint")
     stream.processAllAvailable()
+    done = stream.lastProgress
     stream.stop()
-    return current(spark, name).select(F.col("group").alias("grp"), "path")
+    last = max([p["batchId"] for p in stream.recentProgress if p["numInputRows"]], default=-1) if done else -1
+    return current(spark, f"{folder}/state", last).select(F.col("group").alias("grp"), "path")
+
+
+ORACLES["q_stream_replay"] = ORACLES["q_group_replay"]
+
+
+@query(ORACLES["q_group_replay"])
+def q_log_append(spark, d):
+    """The log appended in three batches, the smallest last, and read back."""
+    path, log = f"{_fresh(spark)}/x_groups.jl", event_log(spark, d)
+    ends = log.agg(F.max("seq")).first()[0] or 0
+    for low, high in ((-1, ends // 2), (ends // 2, ends - 5), (ends - 5, ends)):
+        snapshots.append_group_actions(log.where((F.col("seq") > low) & (F.col("seq") <= high)).orderBy("seq"), path)
+    return groups.replay(snapshots.read_group_log(spark, path, "events")).select(F.col("group").alias("grp"), "path")
+
+
+@query(f"""WITH {FILES}, ds AS (SELECT DISTINCT '/' AS parent, source AS name FROM files UNION SELECT DISTINCT '/' || source, lang FROM files)
+SELECT 'snapshot_1_1' AS snapshot, 'f' AS kind, parent, name, full_path, size FROM files UNION ALL
+SELECT 'snapshot_1_1', 'd', parent, name, CASE WHEN parent = '/' THEN '/' || name ELSE parent || '/' || name END, NULL FROM ds""")
+def q_snapshot_reload(spark, d):
+    """The document tree written as a snapshot file, metadata in its first line, and read back."""
+    dirs, entries = document_tree(spark, d)
+    numbered = dirs.select("path", F.row_number().over(Window.partitionBy("snapshot").orderBy("path")).alias("n"))  # few directories
+    line = lambda df, on: df.drop("seq").join(numbered.select(F.col("path").alias(on), (F.col("n") - 1).cast("long").alias("seq")), on)
+    rows = line(entries, "parent").withColumn("pos", F.row_number().over(Window.partitionBy("parent", "kind").orderBy("name")))
+    path = f"{_fresh(spark)}/snapshot_1_1.jsonl.gz"
+    snapshots.write_snapshot(line(dirs, "path"), rows, path, {"os_name": "Linux", "device_name": "d"})
+    read = snapshots.read_lines(spark, path)
+    return snapshots.entries_of(read).select("snapshot", "kind", "parent", "name", "full_path", "size")
+
+
+@query("SELECT 'snapshot_1_1' AS snapshot, '/' AS root, 'dev' AS device_name, 'Linux' AS os_name, CAST(7 AS BIGINT) AS start_scan_time, CAST(NULL AS BIGINT) AS finish_scan_time")
+def q_snapshot_metadata(spark, d):
+    dirs, entries = document_tree(spark, d)
+    dirs = dirs.withColumn("seq", F.length("path").cast("long"))
+    path = f"{_fresh(spark)}/snapshot_1_1.jsonl.gz"
+    snapshots.write_snapshot(dirs, entries.drop("seq").join(dirs.select(F.col("path").alias("parent"), "seq"), "parent"), path, {"os_name": "Linux", "device_name": "dev", "start_scan_time": 7, "unknown": 1})
+    return snapshots.metadata(snapshots.read_lines(spark, path)).select("snapshot", "root", "device_name", "os_name", "start_scan_time", "finish_scan_time")
+
+
+@query(f"WITH {FILES}, l AS (SELECT parent AS path, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM files GROUP BY parent) SELECT CAST(sum(n) AS BIGINT) AS scanned_count, CAST(sum(s) AS BIGINT) AS scanned_size, CAST(count(*) FILTER (n % 2 = 0) AS BIGINT) AS n_errors FROM l")
+def q_scan_counters(spark, d):
+    """Each directory of documents as a row of a scan; one with an even number of files has an error."""
+    files = document_files(spark, d)
+    rows = files.groupBy(F.lit("/").alias("root"), F.col("parent").alias("path")).agg(F.collect_list("name").alias("files"), F.collect_list("size").alias("sizes"))
+    failed = F.when(F.size("files") % 2 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>"))
+    return filesystem.counters(rows.withColumns({"dirs": F.array().cast("array<string>"), "errors": failed}))
+
+
+@query("SELECT 'snapshot_' || event_id || '_' || user_id || '.jsonl.gz' AS filename, event_id AS size, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS modified, CAST(floor(epoch(ts)) AS BIGINT) AS mtime, event_id AS timestamp FROM events")
+def q_snapshot_catalogue(spark, d):
+    files = table(spark, d, "events").select(F.concat(F.lit("snapshot_"), "event_id", F.lit("_"), "user_id", F.lit(".jsonl.gz")).alias("filename"), F.col("event_id").alias("size"), F.col("ts").alias("modificationTime"))
+    return snapshots.listed(files)
+
+
+@query("SELECT event_type AS path, user_id AS snapshot, max(event_id) AS seq, arg_max(value, event_id) AS direct_size FROM events GROUP BY ALL")
+def q_last_of_path(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("snapshot"), F.col("event_type").alias("path"), F.col("event_id").alias("seq"), F.col("value").alias("direct_size"))
+    return tree.last_of_path(rows)
+
+
+@query("SELECT s_name AS device_name, 'host' || (s_suppkey % 3) AS host_name, s_nationkey AS memory_size FROM supplier")
+def q_devices(spark, d):
+    """Suppliers as devices of three hosts, appended to the hosts' files and read back."""
+    folder = _fresh(spark)
+    devices = table(spark, d, "supplier").select(F.col("s_name").alias("device_name"), F.concat(F.lit("host"), F.col("s_suppkey") % 3).alias("host_name"), F.col("s_nationkey").cast("long").alias("memory_size"))
+    for name in ("host0", "host1", "host2"):
+        snapshots.append_device(devices.where(F.col("host_name") == name), folder, name)
+    return snapshots.read_devices(spark, folder).select("device_name", "host_name", "memory_size")
+
+
+@query("SELECT p_name AS name, p_brand AS device_id, CAST(p_size AS BIGINT) AS size, CAST(NULL AS BIGINT) AS created FROM part")
+def q_media(spark, d):
+    """Parts as the media of a host, written twice, the second time in place of the first."""
+    folder = _fresh(spark)
+    media = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("device_id"), F.col("p_size").cast("long").alias("size"), F.lit(None).cast("long").alias("created"))
+    snapshots.write_media(media.where("size > 10"), folder, "h")
+    snapshots.write_media(media, folder, "h")
+    return snapshots.read_media(spark, folder, "h")
+
+
+@query(f"WITH {FILES} SELECT full_path, size FROM files ORDER BY size, full_path LIMIT 50")
+def q_sorted_listing(spark, d):
+    return search.in_order(search.search(document_files(spark, d), ""), "size").limit(50).select("full_path", "size")
+
+
+@query(f"{_KEPT.replace('SELECT full_path, size', 'SELECT count(*) AS selected, CAST(sum(size) AS BIGINT) AS bytes')})")
+def q_selected_count(spark, d):
+    return _selected(spark, d, "strict").agg(F.count("*").alias("selected"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {FILES}, h AS (SELECT f.*, sha256(text) AS hash FROM files f JOIN documents ON seq = doc_id) SELECT full_path, hash FROM h WHERE hash IN (SELECT hash FROM h GROUP BY hash HAVING count(*) > 1)")
+def q_duplicate_members(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), "doc_id", F.lit(".txt"))
+    return content.duplicate_members(docs.select(path.alias("full_path"), content.content_hash(F.col("text")).alias("hash")))
+
+
+@query(f"""WITH {FILES}, ds AS (SELECT DISTINCT '/' AS path, source AS name FROM files UNION SELECT DISTINCT '/' || source, lang FROM files),
+f AS (SELECT parent AS path, to_json(list(name ORDER BY name)) AS names, to_json(list(size ORDER BY name)) AS sizes, '[' || array_to_string(list('[null,null,null]'), ',') || ']' AS times FROM files GROUP BY parent),
+g AS (SELECT path, to_json(list(name ORDER BY name)) AS names, '[' || array_to_string(list('[null,null,null]'), ',') || ']' AS times FROM ds GROUP BY path)
+SELECT path AS p, CAST(length('{{"p":"","f":,"d":,"t":,"T":,"s":}}') + length(path) + length(coalesce(CAST(f.names AS VARCHAR), '[]')) + length(coalesce(CAST(g.names AS VARCHAR), '[]')) + length(coalesce(f.times, '[]')) + length(coalesce(g.times, '[]')) + length(coalesce(CAST(sizes AS VARCHAR), '[]')) AS BIGINT) AS compressed_length
+FROM f FULL JOIN g USING (path)""")
+def q_index_projection(spark, d):
+    dirs, entries = document_tree(spark, d)
+    rows = entries.drop("seq").join(dirs.select(F.col("path").alias("parent"), "seq"), "parent")
+    return snapshots.index_projection(dirs, rows).select("p", "compressed_length")

@@ -94,13 +94,38 @@ def scan(spark: SparkSession, roots: list[str], skip: list[str] = ()) -> DataFra
     return spark.read.format("files").option("roots", json.dumps(list(roots))).option("skip", json.dumps(list(skip))).load()
 
 
+def under_top(scanned: DataFrame, roots: list[str]) -> DataFrame:
+    """The scan of several drives below one root "/", whose row lists the drives."""
+    from pyspark.sql import functions as F
+
+    names = [r.rstrip("\\/") or r for r in roots]
+    top = scanned.sparkSession.createDataFrame([("/", "/", [], [], [], [n.lstrip("/") for n in names], [[0, 0, 0]] * len(names), [])], SCHEMA)
+    return top.unionByName(scanned.withColumn("root", F.lit("/")))
+
+
+def numbered(scanned: DataFrame, folder: str) -> DataFrame:
+    """The scan as a table in ``folder``, with ``seq`` from 0 on by root and path. Only the row counts of partitions pass through the driver."""
+    from pyspark.sql import functions as F
+
+    spark = scanned.sparkSession
+    scanned.repartitionByRange("root", "path").sortWithinPartitions("root", "path").withColumn("id", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder).withColumn("part", F.shiftright("id", 33))
+    counts = rows.groupBy("part").count().orderBy("part").collect()
+    offsets, total = [], 0
+    for r in counts:
+        offsets.append((r.part, total - (r.part << 33)))
+        total += r["count"]
+    moved = rows.join(F.broadcast(spark.createDataFrame(offsets, "part long, moved long")), "part")
+    return moved.withColumn("seq", F.col("id") + F.col("moved")).drop("id", "part", "moved")
+
+
 def as_tables(scanned: DataFrame, snapshot: str, os_name: str = "Linux") -> tuple[DataFrame, DataFrame]:
-    """``dirs`` and ``entries`` of a scan; directories are numbered by root and path."""
+    """``dirs`` and ``entries`` of a scan; directories that have no number take a hash of root and path."""
     from pyspark.sql import functions as F
 
     from arborlake.functions.paths import join_path
 
-    seq = F.xxhash64("root", "path")
+    seq = F.col("seq") if "seq" in scanned.columns else F.xxhash64("root", "path")
     base = scanned.select(F.lit(snapshot).alias("snapshot"), seq.alias("seq"), "root", "path", "files", "sizes", "file_times", "dirs", "dir_times", F.lit(os_name).alias("os_name"))
     dirs = base.select("snapshot", "seq", "path", "root", "os_name", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("direct_size"), F.size("files").alias("n_files"), F.size("dirs").alias("n_subdirs"))
     out = None
@@ -123,7 +148,14 @@ def without_prefixes(entries: DataFrame, prefixes: list[str], column: str = "ful
 
 
 def counters(scanned: DataFrame) -> DataFrame:
-    """scanned_count, scanned_size and the errors of a scan, over all its roots."""
+    """scanned_count, scanned_size and n_errors of a scan, over all its roots."""
+    from pyspark.sql import functions as F
+
+    return scanned.agg(F.sum(F.size("files") + F.size("dirs")).alias("scanned_count"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("scanned_size"), F.sum(F.size("errors")).alias("n_errors"))
+
+
+def errors(scanned: DataFrame) -> DataFrame:
+    """(root, path, error), one row an error."""
     from pyspark.sql import functions as F
 
-    return scanned.agg(F.sum(F.size("files") + F.size("dirs")).alias("scanned_count"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("scanned_size"), F.flatten(F.collect_list("errors")).alias("errors"))
+    return scanned.select("root", "path", F.explode("errors").alias("error"))

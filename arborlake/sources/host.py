@@ -41,13 +41,14 @@ def storage_space(path: str = "/") -> int | None:
 def system_info(spark: SparkSession) -> DataFrame:
     """One device row of this machine."""
     release = Path("/etc/os-release")
-    row = {"device_name": socket.gethostname(), "host_name": socket.gethostname(), "cpu_model": platform.processor(), "os_name": platform.system(), "os_version": platform.version(), "os_release": platform.release(), "device_model": platform.machine(), "memory_size": memory_size(), "storage_space": storage_space(), "freedesktop_os_release": os_release(release.read_text()) if release.exists() else {}}
+    row = {"device_name": socket.gethostname(), "device_type": "PC", "host_name": socket.gethostname(), "cpu_model": platform.processor(), "os_name": platform.system(), "os_version": platform.version(), "os_release": platform.release(), "device_model": platform.machine(), "memory_size": memory_size(), "storage_space": storage_space(), "freedesktop_os_release": os_release(release.read_text()) if release.exists() else {}}
     try:
         row["ip_addr"] = socket.gethostbyname(row["host_name"])
     except OSError:
         row["ip_addr"] = None
     df = spark.createDataFrame([row], DEVICE).withColumn("mac_addr", mac_address(F.lit(uuid.getnode())))
-    return df.withColumn("thumbprint", thumbprint(*[F.col(c) for c in ("host_name", "device_model", "cpu_model", "os_name", "os_release", "mac_addr")]))
+    parts = [F.col(c) for c in ("host_name", "device_model", "cpu_model", "os_name", "os_release")]
+    return df.withColumn("thumbprint", thumbprint(*parts, F.lit(uuid.getnode())))  # the address as a decimal number
 
 
 @dataclass

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.functions.paths import join_path
+from arborlake.sources.single import exists, write_lines
 
 META = {"device_name": "string", "device_id": "string", "cpu_model": "string", "cpu_name": "string", "memory_size": "bigint", "host_name": "string", "ip_addr": "string", "mac_addr": "string", "os_name": "string", "start_scan_time": "bigint", "finish_scan_time": "bigint"}
 LINE = {"p": "string", "f": "array<string>", "d": "array<string>", "t": "array<array<bigint>>", "T": "array<array<bigint>>", "s": "array<bigint>"}
 NAME = r"snapshot_(\d+)_(\d+)\.jsonl\.gz$"
 DEVICE = "device_name string, device_type string, device_model string, host_name string, cpu_model string, ip_addr string, mac_addr string, os_name string, os_version string, os_release string, thumbprint string, memory_size bigint, storage_space bigint, freedesktop_os_release map<string,string>"
+LOG = "snapshot string, seq struct<file:string,block:bigint,line:bigint>, path string, kind string, group string, action string, ts bigint"
 MEDIA = "name string, device_id string, size bigint, created bigint"
 
 
@@ -72,9 +77,14 @@ def _quoted(text):
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', 1)
 
 
-def write_snapshot(dirs: DataFrame, entries: DataFrame, path: str) -> None:
-    """A snapshot as gzip JSON Lines, in line order; one file, as readers of that format want."""
-    to_lines(dirs, entries).orderBy("snapshot", "seq").coalesce(1).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+def write_snapshot(dirs: DataFrame, entries: DataFrame, path: str, meta: dict | None = None) -> None:
+    """One snapshot as a gzip JSON Lines file in line order; ``meta`` goes into its first line."""
+    lines = to_lines(dirs, entries)
+    if meta:
+        more = json.dumps({k: meta[k] for k in META if meta.get(k) is not None})[1:]
+        first = F.concat(F.left("value", F.length("value") - 1), F.lit(", " + more))
+        lines = lines.withColumn("value", F.when(F.col("seq") == dirs.agg(F.min("seq")).first()[0], first).otherwise(F.col("value")))
+    write_lines(lines.orderBy("seq"), path, "gzip")
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -90,22 +100,33 @@ def index_projection(dirs: DataFrame, entries: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot files of a folder, newest first: filename, size, modified, timestamp (0 if the name has none)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "snapshot_*.jsonl.gz").load(folder).select("path", "length", "modificationTime")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    stamp = F.coalesce(F.regexp_extract(name, r"^snapshot_(\d+)_", 1).try_cast("bigint"), F.lit(0))
-    return files.select(name.alias("filename"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), F.unix_timestamp("modificationTime").alias("mtime"), stamp.alias("timestamp")).orderBy(F.desc("timestamp"), "filename")
+    return listed(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size"), "modificationTime")).orderBy(F.desc("timestamp"), "filename")
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """The catalogue's columns of files (filename, size, modificationTime)."""
+    stamp = F.coalesce(F.regexp_extract("filename", r"^snapshot_(\d+)_", 1).try_cast("bigint"), F.lit(0))
+    return files.select("filename", "size", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), F.unix_timestamp("modificationTime").alias("mtime"), stamp.alias("timestamp"))
 
 
 def read_group_log(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
-    """(snapshot, seq, path, kind, group, action, ts) of one log, one JSON array a line."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value").where(F.trim("value") != "")
+    """(snapshot, seq, path, kind, group, action, ts) of one log, one JSON array a line; none if there is no log.
+
+    ``seq`` orders the lines: those of the file ``path``, then the appended batches one after the other.
+    """
+    found = [p for p, at in ((path, path), (f"{path}.d/*", f"{path}.d")) if exists(spark, at)]
+    if not found:
+        return spark.createDataFrame([], LOG)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(found).select(place.alias("seq"), "value").where(F.trim("value") != "")
     item = F.from_json("value", T.ArrayType(T.StringType()))
     return lines.select(F.lit(snapshot).alias("snapshot"), "seq", *[F.get(item, F.lit(i)).alias(n) for i, n in enumerate(("path", "kind", "group", "action"))], F.get(item, F.lit(4)).try_cast("bigint").alias("ts"))
 
 
 def append_group_actions(actions: DataFrame, path: str) -> None:
-    """Appends (path, kind, group, action, ts) as JSON arrays."""
+    """Appends (path, kind, group, action, ts) as JSON arrays: each call adds a batch beside the log file, named by the time in nanoseconds."""
     parts = [*[_quoted(F.col(c)) for c in ("path", "kind", "group", "action")], F.col("ts").cast("string")]
-    actions.select(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("value")).write.mode("append").text(path)
+    actions.select(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("value")).coalesce(1).write.text(f"{path}.d/{time.time_ns():020d}")
 
 
 def read_devices(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,9 +142,7 @@ def append_device(device: DataFrame, folder: str, host: str) -> None:
 def read_media(spark: SparkSession, folder: str, host: str) -> DataFrame:
     """A host's media; none if the host has no file."""
     path = f"{folder}/media_{host}.jl"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], MEDIA)
     return spark.read.schema(MEDIA).json(path)
 

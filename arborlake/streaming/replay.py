@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arborlake.sources.single import exists, remove
+
+STATE = "snapshot string, group string, kind string, path string, action string, seq bigint"
+
 
 def last_actions(log: DataFrame) -> DataFrame:
-    """Streaming or batch: the last action of each member by line order; read with output mode complete or update."""
+    """The last action of each member by line order; a streamed log is merged batch by batch (``start``)."""
     known = log.where(F.col("action").isin("add", "del"))
     return known.groupBy("snapshot", "group", "kind", "path").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
 
 
-def start(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps ``table`` (an in-memory table) at the log's state and returns the query."""
-    return last_actions(log).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
+def _version(folder: str, batch: int) -> str:
+    return f"{folder}/version={batch}"
+
+
+def start(log: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the state table in ``folder`` at the log's state and returns the query.
+
+    A batch's actions are reduced, merged with the version before and written as the next version, all
+    in the tasks; a batch that runs again writes its version anew from the same one before it.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, last_actions(batch)
+        if exists(spark, _version(folder, number - 1)):
+            new = last_actions(new.unionByName(spark.read.schema(STATE).parquet(_version(folder, number - 1))))
+        new.write.mode("overwrite").parquet(_version(folder, number))
+        remove(spark, _version(folder, number - 2))  # no batch reads it again
+
+    return log.writeStream.foreachBatch(merge).outputMode("append").option("checkpointLocation", checkpoint).start()
 
 
-def current(spark, table: str) -> DataFrame:
-    return spark.table(table).where("action = 'add'").select("snapshot", "group", "kind", "path")
+def current(spark: SparkSession, folder: str, last: int) -> DataFrame:
+    """The members after batch ``last``."""
+    if last < 0:
+        return spark.createDataFrame([], STATE).select("snapshot", "group", "kind", "path")
+    return spark.read.schema(STATE).parquet(_version(folder, last)).where("action = 'add'").select("snapshot", "group", "kind", "path")

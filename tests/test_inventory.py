@@ -149,12 +149,10 @@ def test_scan_write_read_and_back_up(spark, tmp_path):
     dirs, entries = filesystem.as_tables(scanned, "s")
     assert names(entries.where("kind = 'f'")) == [".hidden", "empty", "x.txt", "x.txt"]
     assert names(entries.where("kind = 'd'")) == ["a", "b", "c", "link"]
-    assert len(filesystem.counters(scanned).first().errors) == 1
+    assert filesystem.counters(scanned).first().n_errors == 1 and filesystem.errors(scanned).count() == 1
     total = tree.rollup(dirs, entries).where(F.col("path") == str(top)).first()
     assert (total.S, total.C) == (9, 4)
-    snapshots.write_snapshot(dirs, entries, str(tmp_path / "out"))
-    part = next(p for p in os.listdir(tmp_path / "out") if p.endswith(".gz"))
-    os.rename(tmp_path / "out" / part, tmp_path / "snapshot_1_4.jsonl.gz")
+    snapshots.write_snapshot(dirs, entries, str(tmp_path / "snapshot_1_4.jsonl.gz"))
     again = snapshots.entries_of(snapshots.read_lines(spark, str(tmp_path / "snapshot_1_4.jsonl.gz")))
     key = ["kind", "full_path", "size", "created", "modified"]
     assert sorted(map(tuple, again.select(key).collect()), key=repr) == sorted(map(tuple, entries.select(key).collect()), key=repr)
@@ -189,6 +187,90 @@ def test_group_append(spark, hub):
     assert [r.path for r in hub.groups(S + "_new").collect()] == ['/r/"q"']
 
 
+def test_appended_batches_are_replayed_in_order(spark, tmp_path):
+    h = Hub(spark, str(tmp_path))
+    assert h.groups("s").count() == 0 and h.group_counts("s").count() == 0  # no log, no groups
+    os.makedirs(tmp_path / "snapshots", exist_ok=True)
+    (tmp_path / "snapshots/s_groups.jl").write_text('["/old", "f", "g", "add", 1]\n["/a", "f", "g", "del", 2]\n')
+    h.group_add("s", ["/a"], "f", "g")
+    h.group_remove("s", ["/a", *[f"/{i}" for i in range(50)]], "f", "g")  # a larger file than the one before
+    h.group_add("s", ["/b"], "f", "g")
+    assert sorted(r.path for r in h.groups("s").collect()) == ["/b", "/old"]
+
+
+@pytest.mark.parametrize("system", ["Linux", "Windows"])
+def test_saved_scan_is_listed_and_loads_again(spark, tmp_path, system):
+    for name in ("b/x", "a/y", "a/c/z"):
+        os.makedirs((tmp_path / "t" / name).parent, exist_ok=True)
+        (tmp_path / "t" / name).write_text(name)
+    h = Hub(spark, str(tmp_path / "data"))
+    dirs, entries = h.scan([str(tmp_path / "t")], save=True, os_name=system)
+    assert sorted(r.seq for r in dirs.collect()) == [0, 1, 2, 3]
+    listed = h.snapshots().collect()
+    assert len(listed) == 1 and listed[0].timestamp > 0 and not listed[0].loaded
+    name = listed[0].filename.removesuffix(".jsonl.gz")
+    h.load(name)
+    held = h.loaded[name]
+    first = snapshots.metadata(held["lines"]).first()
+    assert (first.snapshot, first.root, first.os_name) == (name, str(tmp_path / "t"), system) and first.host_name and first.start_scan_time
+    assert held["dirs"].select("os_name").distinct().first().os_name == system and h.snapshots().first().loaded
+    assert {(r.seq, r.path) for r in held["dirs"].collect()} == {(r.seq, r.path) for r in dirs.collect()}
+    assert {r.kind for r in held["entries"].collect()} == {"f", "d"}
+
+
+def test_look_up_errors(spark, hub, tmp_path):
+    for wrong, error in (({"index": 99}, LookupError), ({"path": "/nowhere"}, LookupError), ({}, ValueError), ({"path": "/r", "index": 0}, ValueError)):
+        with pytest.raises(error):
+            hub.list_path(S, **wrong)
+    with pytest.raises(KeyError):
+        hub.load("snapshot_0_0")
+    os.makedirs(tmp_path / "snapshots")
+    with gzip.open(tmp_path / "snapshots/snapshot_1_0.jsonl.gz", "wt") as f:
+        f.write("\n\n")
+    with pytest.raises(ValueError, match="no lines"):
+        Hub(spark, str(tmp_path)).load("snapshot_1_0")
+
+
+def test_backup_log_and_missing_sources(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        os.makedirs(tmp_path / "t", exist_ok=True)
+        (tmp_path / "t" / name).write_text(name * 4)
+    h = Hub(spark, str(tmp_path / "data"))
+    h.scan([str(tmp_path / "t")], save=True)
+    name = h.snapshots().first().filename.removesuffix(".jsonl.gz")
+    h.load(name)
+    os.remove(tmp_path / "t/b")
+    plan = sorted((r.src_path[-1], r.dest_path[-7:], r.source_exists) for r in h.plan_backup(name, "/x", max_bytes=8).collect())
+    assert plan == [("a", "000.zip", True), ("b", "000.zip", False), ("c", "001.zip", True)]
+    done = h.run_backup(name, str(tmp_path / "zips"), max_bytes=8).collect()
+    assert {r.dest_path[-7:] for r in done} == {"000.zip"}  # b adds no bytes
+    assert sorted(r.action for r in done) == ["failed", "zip", "zip"]
+    log = next(p for p in os.listdir(tmp_path / "data/backups") if p.endswith(".jl"))
+    assert log.startswith(f"zips_{name}_3_")
+    lines = [json.loads(x) for x in (tmp_path / "data/backups" / log).read_text().splitlines()]
+    assert lines[0]["backup_type"] == "zip" and lines[0]["snapshot"] == name and len(lines) == 4 and {x["action"] for x in lines[1:]} == {"zip", "failed"}
+
+
+def test_sorting_and_the_top_of_several_drives(spark, hub):
+    by_size = [r.size for r in hub.search("", [S], by="size", descending=True).collect() if r.size is not None]
+    assert by_size == sorted(by_size, reverse=True)
+    with pytest.raises(ValueError, match="no column"):
+        hub.search("", [S], by="colour")
+    rows = spark.createDataFrame([("C:\\", "C:\\", ["f"], [5], [[1, 1, 1]], ["d"], [[1, 1, 1]], []), ("C:\\", "C:\\d", ["g"], [7], [[1, 1, 1]], [], [], []), ("D:\\", "D:\\", [], [], [], [], [], [])], filesystem.SCHEMA)
+    dirs, entries = filesystem.as_tables(filesystem.under_top(rows, ["C:\\", "D:\\"]), "s", "Windows")
+    assert {r.path: (r.S, r.C) for r in tree.rollup(dirs, entries).collect()} == {"/": (12, 2), "C:\\": (12, 2), "C:\\d": (7, 1), "D:\\": (0, 0)}
+
+
+def test_thumbprint_takes_the_decimal_address(spark):
+    import hashlib
+    import platform
+    import uuid
+
+    row = host.system_info(spark).first()
+    parts = [platform.node(), platform.machine(), platform.processor(), platform.system(), platform.release(), str(uuid.getnode())]
+    assert row.thumbprint == hashlib.sha256("".join(parts).encode()).hexdigest() and row.device_type == "PC"
+
+
 def test_windows_ancestors(spark):
     got = spark.range(1).select(paths.ancestors(F.lit("C:\\a\\b"), F.lit("/"), F.lit("Windows")).alias("a"), paths.ancestors(F.lit("/r"), F.lit("/r"), F.lit("Linux")).alias("b"), paths.ancestors(F.lit("/r/x"), F.lit("/r"), F.lit("Linux")).alias("c")).first()
     assert (got.a, got.b, got.c) == (["C:\\", "C:\\a", "C:\\a\\b"], [], ["/r/x"])
