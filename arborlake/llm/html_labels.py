@@ -11,6 +11,12 @@ _LONG = "The river rose for three days before anyone in the valley thought of le
 _MID = "Nobody had measured it since the war."
 _BODY = [("<h1>{}</h1>", "The flood", 1), ("<p>{}</p>", _LONG, 1), ("<p>{}</p>", "Rain.", 1), ('<p>{} <a href="/x">see the map</a></p>', _MID, 1), ("<p>{}</p>", _MID, 1), ("<ul><li>{}</li></ul>", "two boats", 1)]
 _SHORT = [("<h1>{}</h1>", "A note", 1), ("<p>{}</p>", "To the point.", 1)]
+#: A menu and a list of links that no container or class gives away; plain labels stand among the links.
+_LINKS = [('<div><a href="/1">{}</a></div>', "Weather", 0), ('<div><a href="/2">{}</a></div>', "Sport and games", 0), ("<div>{}</div>", "Sections", 0), ('<div><a href="/3">{}</a></div>', "Letters to the editor", 0), ("<div>{}</div>", "Follow the paper", 0), ('<div><a href="/4">{}</a></div>', "Archive", 0)]
+_PROSE = [("<h2>{}</h2>", "After the flood", 1), ("<p>{}</p>", _LONG, 1), ("<p>{}</p>", "Rain.", 1), ("<p>{}</p>", _LONG, 1), ("<p>{}</p>", _MID, 1), ('<p>{} <a href="/x">see the map</a></p>', _LONG, 1), ("<p>{}</p>", "Nothing.", 1), ("<p>{}</p>", _LONG, 1)]
+_LINKED = [('<p><a href="/m">{}</a></p>', "Map", 1), ("<p>{}</p>", "Rain.", 1), ('<p><a href="/f">{}</a></p>', "Photographs of the bridge as it stood before the water came", 1), ("<p>{}</p>", _LONG, 1), ('<p><a href="/g">{}</a></p>', "Gauges along the river", 1), ("<p>{}</p>", _MID, 1), ('<p><a href="/h">{}</a></p>', "Help", 1)]
+_STORIES = [('<div><a href="/8">{}</a></div>', "The bridge that went before anyone in the valley thought of leaving", 0), ("<div>{}</div>", "More stories of the week for you", 0), ('<div><a href="/9">{}</a></div>', "Nobody had measured the river since the war and now it is too late", 0)]
+_FEW = [("<p>{}</p>", "To the point.", 1), ("<p>{}</p>", "Yes.", 1), ("<p>{}</p>", "No one came.", 1)]
 
 PAGES = [
     [*_MENU, *_ADVERT, ("<article>", None, 0), *_BODY, ("</article>", None, 0), *_FOOT],
@@ -24,6 +30,22 @@ PAGES = [
     [("<div>", None, 0), ("<p>{}</p>", _LONG, 1), ("<p>{}</p>", _MID, 1), ("<p>{}</p>", _LONG, 1), ("</div>", None, 0), *_FOOT],
     [("<p>{}</p>", _LONG, 1), ('<p><a href="/m">{}</a></p>', "Archive of all numbers", 0), ("<p>{}</p>", _LONG, 1)],
     [*_MENU, ('<div class="banner">{}</div>', _LONG, 0), ("<article>", None, 0), ("<header><h1>{}</h1></header>", "A small flood", 1), ('<p><a href="/p">{}</a></p>', "The whole paragraph is a link to the map of the valley.", 1), ("<p>{}</p>", _MID, 1), ("</article>", None, 0), ("<aside><p>{}</p></aside>", _LONG, 0), *_FOOT],
+    [*_LINKS, ("<div>", None, 0), *_PROSE, ("</div>", None, 0), *_LINKS],
+    [('<div class="layout-with-sidebar page-header-fixed">', None, 0), *_LINKS, *_PROSE, *_LINKS, ("</div>", None, 0)],
+    [('<div class="post has-comments no-ads">', None, 0), *_PROSE, ("</div>", None, 0), ('<div class="comment-list">', None, 0), ("<p>{}</p>", _LONG, 0), ("<p>{}</p>", "I was there.", 0), ("</div>", None, 0), *_LINKS],
+    [("<div>", None, 0), *_FEW, ("</div>", None, 0)],
+    [*_LINKS, ("<article>", None, 0), *_LINKED, ("</article>", None, 0), *_STORIES, *_LINKS],
+    [*_STORIES, ("<main>", None, 0), *_LINKED, *_LINKED, ("</main>", None, 0), *_LINKS],
+    [*_LINKS, *_STORIES, *_PROSE, *_STORIES, *_LINKS],
+    [("<header><p>{}</p>", _LONG, 0), ("<p>{}</p></header>", _MID, 0), *_PROSE, *_FOOT],
+    [("<header><h1>{}</h1></header>", "The Valley Paper", 0), ("<main>", None, 0), *_FEW, ("</main>", None, 0), *_FOOT],
+    [("<header>{}</header>", _LONG, 0), *_PROSE, *_LINKS],
+    [("<div>{}</div>", "The Paper", 0), *_LINKS, *_PROSE, *_LINKS, ("<div>{}</div>", "Imprint", 0), *_STORIES],
+    [("<header>{}</header>", "The Paper", 0), *_LINKS, *_PROSE, *_STORIES],
+    [*_MENU, ("<article>", None, 0), *_LINKED, ('<div class="share-buttons"><a href="/sh">{}</a></div>', "Share", 0), *_LINKED, ('<ul class="related-posts"><li><a href="/r1">{}</a></li>', "The drought of that year and what came after it", 0), ('<li><a href="/r2">{}</a></li></ul>', "Dams", 0), ("</article>", None, 0), *_FOOT],
+    [("<h1>{}</h1>", "A note", 1), *_FEW, *_LINKS],
+    [*_LINKS, *_PROSE, ('<div>{} <a href="/t">terms</a> <a href="/p">privacy</a></div>', "2020", 0), *_LINKS],
+    [*_MENU, ('<article class="post sidebar-left">', None, 0), *_BODY, ('<ul><li><a href="/s">{}</a></li></ul>', "the survey of the valley", 1), ("</article>", None, 0), ('<article class="comment">', None, 0), ("<p>{}</p>", _LONG, 0), ("</article>", None, 0), *_FOOT],
     [*_MENU, ("<article>", None, 0), ("<p>{}</p>", "7", 1), ("<p>{}</p>", "Yes.", 1), ("<p>{}</p>", _LONG, 1), ("<footer><p>{}</p></footer>", "Written by the desk.", 0), ("</article>", None, 0), *_FOOT],
 ]
 

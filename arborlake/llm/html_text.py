@@ -3,19 +3,27 @@
 A block is the text between two block-level tags. Its features are word count and link
 density, the same of the blocks before and after it, and the containers it stands in; the
 tree is trained by Spark on the labelled table of ``html_labels`` and applied in one pass
-over the pages, without a shuffle.
+over the pages, without a shuffle. Markup is read in one pass of linear time: containers hand
+their flags down when they open, and no place of a page is searched twice.
+
+A container counts as set aside if a whole word of its class, id or role names what is not main text,
+alone or with words such as "site" or "list" ("cookie-notice", "site-footer"; not "no-sidebar" or
+"layout-with-sidebar"); body and html never count, article and main only as a reader's comment.
 
 Defined results: a null or empty page, or one without main blocks, has the text ""; broken
-markup never raises (an unfinished tag is text, an unfinished comment or script runs to the
-end); repeated rows each get a result; other columns are not read.
+markup never raises: a tag without an end is dropped, as browsers do, an unclosed comment, script, style,
+textarea or title runs to the end of the page, other unclosed elements to the end of what they stand
+in, a "<" that begins no tag is text; references are decoded in each piece of text between two tags;
+repeated rows each get a result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +32,40 @@ from pyspark.sql import DataFrame, SparkSession
 from arborlake.llm.html_labels import labelled_pages
 from arborlake.llm.text import pieces
 
-_RAW = "script|style|noscript|template|textarea|select|iframe|svg|math|object|canvas|title|button"
-_MARKUP = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>|<[/!?a-z][^<>]*>""", re.S | re.I)
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TAG = re.compile(r"""<(/?)([a-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>""", re.I)
+#: Where quotes do not add up, a tag ends at the first ">".
+_PLAIN_TAG = re.compile(r"<(/?)([a-z][^\s/>]*)([^>]*)>", re.I)
+_HINT = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HREF = re.compile(r"(?<![^\s\"'])href\s*=", re.I)
+#: Elements whose content is no markup, and elements whose content is not shown as text.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title")}
+_HIDDEN = frozenset("noscript template select iframe svg object canvas video audio button".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_VOID = frozenset("hr".split())
 _BOILER = frozenset("nav footer aside form dialog menu".split())
 _MAIN = frozenset("article main".split())
-#: Words in class, id or role that mark what is not main text.
-_AWAY = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element that opens ends those of these names right above it.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_COMMENT = frozenset("comment comments commentlist disqus".split())
+#: Words of class, id or role that name what is not main text, and words that may stand beside them.
+_AWAY = _COMMENT | frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary contentinfo consent cookie cookies dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+_BESIDE = frozenset("area bar block bottom box buttons container content footer global inner item items left link links list main page panel post posts primary right row section secondary site slot text thread top unit wrap wrapper".split())
 _WORD = re.compile(r"\S+")
-_SPLIT = re.compile(r"[^a-z]+")
+_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|\d+")
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_away", "in_header", "heading"]
-MAX_DEPTH = 6
+MAX_DEPTH = 7
 
 
-def _away(attrs: str) -> bool:
-    return any(not _AWAY.isdisjoint(_SPLIT.split("".join(x).lower())) for x in _HINT.findall(attrs)) if "=" in attrs else False
+def _away(name: str, attrs: str) -> bool:
+    if "=" not in attrs or name in ("body", "html"):
+        return False
+    named = _COMMENT if name in _MAIN else _AWAY
+    for value in _HINT.findall(attrs):
+        for token in "".join(value).split():
+            parts = {p.lower() for p in _PARTS.split(token) if p}
+            if not parts.isdisjoint(named) and parts <= _AWAY | _BESIDE:
+                return True
+    return False
 
 
 class _Page:
@@ -48,60 +73,89 @@ class _Page:
 
     def __init__(self) -> None:
         self.blocks: list[tuple[str, list[float]]] = []
-        self.open: list[tuple[str, bool]] = []
+        #: Open elements: name, then in_main, in_boiler, in_away, in_header, heading, hidden.
+        self.open: list[tuple] = [("", False, False, False, False, False, False)]
+        self.names: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.linked, self.in_link = 0, 0
+        self.linked, self.link = 0, 0  # link: how many elements were open when the link began
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.open[-1][6]:
+            raw = unescape(raw) if "&" in raw else raw
             self.parts.append(raw)
-            if self.in_link:
+            if self.link:
                 self.linked += len(_WORD.findall(raw))
 
     def end_block(self) -> None:
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            if text:
-                names = {n for n, _ in self.open}
-                n = text.count(" ") + 1
-                inside = max((i for i, (t, _) in enumerate(self.open) if t in _MAIN), default=-1)
-                boiler = any(t in _BOILER for t, _ in self.open)
-                away = any(a for _, a in self.open)
-                header = "header" in names and not any(t == "header" for t, _ in self.open[inside + 1 :] if inside >= 0)
-                heading = any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in names)
-                self.blocks.append((text, [n, min(1.0, self.linked / n), 0, 0, 0, 0, inside >= 0, boiler, away, header, heading]))
+            words = "".join(self.parts).split()
+            if words:
+                self.blocks.append((" ".join(words), [len(words), min(1.0, self.linked / len(words)), 0, 0, 0, 0, *self.open[-1][1:6]]))
             self.parts = []
         self.linked = 0
 
+    def push(self, name: str, attrs: str) -> None:
+        _, main, boiler, away, header, heading, hidden = self.open[-1]
+        main = main or name in _MAIN
+        self.open.append((name, main, boiler or name in _BOILER, away or _away(name, attrs), header or name == "header" and not main, heading or name in _HEADING, hidden or name in _HIDDEN))
+        self.names[name] += 1
+
+    def pop(self) -> str:
+        name = self.open.pop()[0]
+        self.names[name] -= 1
+        if self.link > len(self.open):
+            self.link = 0
+        return name
+
     def tag(self, name: str, close: bool, attrs: str) -> None:
         if name == "a":
-            self.in_link = 0 if close else 1
+            self.link = 0 if close or not _HREF.search(attrs) else len(self.open)
         elif name == "br":
-            self.parts.append(" ")
-        elif name in _BLOCK:
-            self.end_block()
+            self.text(" ")
+        elif name in _BLOCK or name in _HIDDEN:
+            if name in _BLOCK:
+                self.end_block()
             if close:
-                for i in range(len(self.open) - 1, -1, -1):
-                    if self.open[i][0] == name:
-                        del self.open[i:]
-                        break
-            elif name not in _VOID:
-                if self.open and self.open[-1][0] == "p":  # a block ends the paragraph before it
-                    self.open.pop()
-                if name in ("li", "dt", "dd", "tr", "td", "th") and self.open and self.open[-1][0] == name:
-                    self.open.pop()
-                self.open.append((name, _away(attrs)))
+                while self.names[name] and self.pop() != name:
+                    pass
+            elif name != "hr" and not (name in _HIDDEN and attrs.endswith("/")):
+                if name in _BLOCK and self.open[-1][0] == "p":  # a block ends the paragraph before it
+                    self.pop()
+                while self.open[-1][0] in _ENDS.get(name, ()):
+                    self.pop()
+                self.push(name, attrs)
 
 
 def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
     """The text blocks of a page and their features."""
-    walk, at = _Page(), 0
-    for m in _MARKUP.finditer(page):
-        walk.text(page[at : m.start()])
-        at = m.end()
-        if m["tag"]:
-            walk.tag(m["tag"].lower(), bool(m["close"]), m["attrs"])
-    walk.text(page[at:])
+    walk, at, last, pattern = _Page(), 0, page.rfind(">"), _TAG
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            walk.text(page[at:])
+            break
+        walk.text(page[at:begin])
+        kind = page[begin + 1 : begin + 2]
+        if not (kind.isascii() and kind.isalpha()) and kind not in ("/", "!", "?"):
+            walk.text("<")
+            at = begin + 1
+        elif page.startswith("<!--", begin):
+            end = page.find("-->", begin + 2)
+            at = end + 3 if end >= 0 else len(page)
+        elif begin > last:
+            break
+        elif m := pattern.match(page, begin) or _PLAIN_TAG.match(page, begin):
+            if m.re is not pattern:  # the quotes of the rest do not add up
+                pattern = _PLAIN_TAG
+            at, name = m.end(), m[2].lower()
+            if name in _RAW and not m[1]:
+                if not m[3].endswith("/"):
+                    end = _RAW[name].search(page, at)
+                    at = end.start() if end else len(page)
+            else:
+                walk.tag(name, bool(m[1]), m[3])
+        else:
+            at = page.find(">", begin) + 1
     walk.end_block()
     x = np.array([f for _, f in walk.blocks], dtype=float).reshape(-1, len(FEATURES))
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, 0:2], x[1:, 0:2]
