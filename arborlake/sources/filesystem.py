@@ -1,7 +1,7 @@
 """A data source that walks file systems: ``spark.read.format("files")``.
 
-Each directory below a root is a partition, so large trees are walked by many tasks; the
-root's own files are one more. Options: ``roots`` and ``skip``, both as JSON lists.
+The driver lists the uppermost directories, level by level, until there are ``PARTS`` to go on from; each
+of these is a partition that a task walks, and the listed ones are a row each. Options: ``roots`` and ``skip``, both as JSON lists.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Directories from which tasks go on, at least, if the tree has so many.
+PARTS = 256
 SCHEMA = "root string, path string, files array<string>, sizes array<bigint>, file_times array<array<bigint>>, dirs array<string>, dir_times array<array<bigint>>, errors array<string>"
 
 
@@ -56,12 +58,11 @@ class _Reader(DataSourceReader):
         self.skip = [os.path.normcase(os.path.abspath(p)) for p in json.loads(options.get("skip", "[]")) if p]
 
     def partitions(self):
-        parts = []
-        for root in self.roots:
-            if skipped(root, self.skip):
-                continue
-            parts.append(InputPartition((root, root, False)))
-            parts += [InputPartition((root, p, True)) for p in one_directory(root, root, self.skip)[1]]
+        alone, level = [], [(root, root) for root in self.roots if not skipped(root, self.skip)]
+        while level and len(level) < PARTS:
+            alone += level
+            level = [(root, down) for root, path in level for down in one_directory(root, path, self.skip)[1]]
+        parts = [InputPartition((*p, False)) for p in alone] + [InputPartition((*p, True)) for p in level]
         return parts or [InputPartition(None)]
 
     def read(self, partition) -> Iterator[tuple]:
