@@ -25,8 +25,8 @@ from arborlake.llm.shared import rows_as, written
 from arborlake.llm.text import pieces
 
 WINDOW = 10
-#: Benchmark text of one broadcast block, in bytes.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text of one broadcast block, and training text of one shard, in bytes.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 
 #: Everything but 0-9, a-z and bytes of non-ASCII characters ends a word; A-Z are lower-cased.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -130,9 +130,26 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
     yield held
 
 
-def _mark(texts: list[bytes], block: BenchmarkBlock) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+def _maximal(shard: Shard, block: BenchmarkBlock, window: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, its first word, text, position, words) of the matches that can be extended on neither side."""
+    n = block.owner_at[window + 1] - block.owner_at[window]
+    own = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.owner_at[window], n)
+    item, offset, pos, size = block.owners[own, 0], block.owners[own, 1], np.repeat(position, n), np.repeat(block.lengths[window], n)
+    doc = np.searchsorted(shard.at, pos, side="right") - 1
+    order = np.lexsort((pos, pos - offset, item))
+    item, offset, pos, size, doc = (x[order] for x in (item, offset, pos, size, doc))
+    head = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(pos - offset) != 0) | (np.diff(pos) != 1) | (np.diff(doc) != 0)][: len(pos)])
+    tail = np.r_[head[1:], len(item)][: len(head)] - 1
+    return item[head], offset[head], doc[head], pos[head], pos[tail] - pos[head] + size[tail]
+
+
+def _mark(texts: list[bytes], block: BenchmarkBlock) -> tuple[list[int], list[np.ndarray], list[set[str]], np.ndarray]:
+    """Words, hit words, items and words of the longest match of each text."""
     shard = Shard(texts, block)
     window, position = shard.search(block)
+    longest = np.zeros(len(texts), dtype=np.int64)
+    _, _, at, _, words = _maximal(shard, block, window, position)
+    np.maximum.at(longest, at, words)
     cover = np.zeros(int(shard.at[-1]) + 1, dtype=np.int64)
     np.add.at(cover, position, 1)
     np.add.at(cover, position + block.lengths[window], -1)
@@ -144,11 +161,11 @@ def _mark(texts: list[bytes], block: BenchmarkBlock) -> tuple[list[int], list[np
         for d, w in seen.tolist():
             items[d].update(str(block.names[o]) for o in block.owners[block.owner_at[w] : block.owner_at[w + 1], 0])
     spans = [hit[a:b] for a, b in zip(shard.at, shard.at[1:], strict=False)]
-    return np.diff(shard.at).tolist(), spans, items
+    return np.diff(shard.at).tolist(), spans, items, longest
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of its longest verbatim match).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item;
     a document word inside any occurrence of a window is hit. More than ``block_bytes``
@@ -157,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     out = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>")})
+    out = out.withColumns({"n_words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>"), "longest": F.lit(0).cast("long")})
     first = True
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         if not first:
@@ -166,27 +183,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(BenchmarkBlock(items, window))
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part, texts in pieces(batches, "__text"):
-                n, spans, items = _mark(texts, shared.value)
+            for part, texts in pieces(batches, "__text", SHARD_BYTES):
+                n, spans, items, longest = _mark(texts, shared.value)
                 hit, names = [], []
                 for i, (before, known) in enumerate(zip(part.column("__hit").to_pylist(), part.column("__items").to_pylist(), strict=True)):
                     bits = np.packbits(spans[i])
                     hit.append((bits if before is None else bits | np.frombuffer(before, dtype=np.uint8)).tobytes())
                     names.append(sorted(items[i].union(known)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("__text"), pa.array(n, pa.int64()), pa.array(hit, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column("__text"), pa.array(n, pa.int64()), pa.array(hit, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(np.maximum(longest, part.column("longest").to_numpy()), pa.int64())], names=part.schema.names)
 
         out = out.mapInArrow(search, out.schema)
 
-    schema = out.select(id_col, "n_words").schema.add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    schema = out.select(id_col, "n_words").schema.add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("longest", "long")
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_hit = [int(np.unpackbits(np.frombuffer(h or b"", dtype=np.uint8)).sum()) for h in b.column("__hit").to_pylist()]
             names = b.column("__items").to_pylist()
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), b.column("longest")], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
 
-    return out.select(id_col, "n_words", "__hit", "__items").mapInArrow(told, schema)
+    return out.select(id_col, "n_words", "__hit", "__items", "longest").mapInArrow(told, schema)
 
 
 MATCH_SCHEMA = pa.schema([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_id", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
@@ -204,22 +221,14 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            for part, texts in pieces(batches):
+            for part, texts in pieces(batches, most=SHARD_BYTES):
                 shard = Shard(texts, block)
                 win, position = shard.search(block)
                 if not len(win):
                     continue
-                n = block.owner_at[win + 1] - block.owner_at[win]
-                own = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.owner_at[win], n)
-                item, offset, pos, size = block.owners[own, 0], block.owners[own, 1], np.repeat(position, n), np.repeat(block.lengths[win], n)
-                doc = np.searchsorted(shard.at, pos, side="right") - 1
-                order = np.lexsort((pos, pos - offset, item))
-                item, offset, pos, size, doc = (x[order] for x in (item, offset, pos, size, doc))
-                begins = np.r_[True, (np.diff(item) != 0) | (np.diff(pos - offset) != 0) | (np.diff(pos) != 1) | (np.diff(doc) != 0)]
-                head = np.flatnonzero(begins)
-                tail = np.r_[head[1:], len(item)] - 1
+                item, offset, doc, pos, n = _maximal(shard, block, win, position)
                 ids = part.column("id").to_pylist()
-                yield rows_as({"item_id": [str(block.names[i]) for i in item[head]], "item_start": offset[head], "doc_id": [ids[d] for d in doc[head]], "doc_start": pos[head] - shard.at[doc[head]], "n_words": pos[tail] - pos[head] + size[tail]}, MATCH_SCHEMA)
+                yield rows_as({"item_id": [str(block.names[i]) for i in item], "item_start": offset, "doc_id": [ids[d] for d in doc], "doc_start": pos - shard.at[doc], "n_words": n}, MATCH_SCHEMA)
 
         one = texts_of.mapInArrow(search, "item_id string, item_start long, doc_id long, doc_start long, n_words long")
         found = one if found is None else found.unionByName(one)
@@ -233,8 +242,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         shared = spark.sparkContext.broadcast(BenchmarkBlock(items, window))
 
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part, texts in pieces(batches, text_col):
-                _, spans, _ = _mark(texts, shared.value)
+            for part, texts in pieces(batches, text_col, SHARD_BYTES):
+                _, spans, _, _ = _mark(texts, shared.value)
                 yield part.filter(pa.array([not s.any() for s in spans], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -99,9 +99,10 @@ WITH words AS MATERIALIZED (
 item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-windows AS (
-  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS win
+placed AS (
+  SELECT item_id, i AS j, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS win
   FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM item_words WHERE len(ws) > 0)),
+windows AS (SELECT DISTINCT item_id, n, win FROM placed),
 sizes AS (SELECT DISTINCT n FROM windows),
 doc_lists AS (SELECT doc_id, list(w ORDER BY i) AS ws FROM words GROUP BY doc_id),
 doc_windows AS (
@@ -109,10 +110,13 @@ doc_windows AS (
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc_lists, sizes WHERE len(ws) >= n)),
 hits AS (SELECT d.doc_id, d.i, d.n, w.item_id FROM doc_windows d JOIN windows w ON d.win = w.win AND d.n = w.n),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+matches AS (SELECT d.doc_id, p.item_id, d.i, d.i - p.j AS slant, d.n FROM doc_windows d JOIN placed p ON d.win = p.win AND d.n = p.n),
+islands AS (SELECT doc_id, max(i) - min(i) + max(n) AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, slant ORDER BY i) AS g FROM matches) GROUP BY doc_id, item_id, slant, g),
+longest AS (SELECT doc_id, max(size) AS longest FROM islands GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(l.ws), 0) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM documents d LEFT JOIN doc_lists l USING (doc_id) LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
+  CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(m.longest, 0) AS BIGINT) AS longest
+FROM documents d LEFT JOIN doc_lists l USING (doc_id) LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id) LEFT JOIN longest m USING (doc_id)
 """
 
 _HOST = r"lower(regexp_replace(regexp_replace(regexp_extract(url, '^(?i:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^.*@', ''), ':\d*$', ''))"
@@ -164,7 +168,7 @@ hashed AS (SELECT page_id, url, payload, CAST(CAST(unhex(sha1(payload)) AS BIT)
 SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) << (4 - j))) AS BIGINT) + 1, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first_id THEN first_id END AS refers_to, nullif(url, '') AS url
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first_id THEN first_id END AS refers_to, url
 FROM hashed
 """
 

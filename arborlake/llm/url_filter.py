@@ -4,13 +4,13 @@ functions only.
 A list is a log of dated entries (list_name, pattern, action, effective): from
 ``effective`` on, 'block' puts the pattern on the list, 'allow' exempts it, and 'remove'
 takes it off. A pattern is a domain ("a.org" also covers "www.a.org") or a domain and a path
-prefix of whole segments ("a.org/x"), however many: captures are probed as deep as the
-list's deepest pattern. Entries become disjoint intervals per pattern with
+prefix of whole segments ("a.org/x"), however many and in the path's own case: captures are
+probed as deep as the list's deepest pattern. Entries become disjoint intervals per pattern with
 the sums of all lists active in them, so a capture meets one interval per pattern at
 most, however many lists name it.
 
 Defined results: a capture with a null or hostless URL, or a null time, matches nothing and
-is kept; entries with a null pattern, action or date are ignored; entries of one list and
+is kept; entries with a null pattern, action or date, or without a domain, are ignored; entries of one list and
 pattern at one time: 'remove' loses to 'block', which loses to 'allow'; repeated captures
 each get their own row; an empty list keeps all.
 """
@@ -34,10 +34,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?i:[a-z][a-z0-9+.\-]*:)?//[^/?#\\]*(/[^?#]*)", 1)
 
 
-def depth_of(entries: DataFrame) -> DataFrame:
-    """One row: ``__depth``, the most path segments that a pattern of the list has."""
+def pattern_of(text: Column) -> Column:
+    """A list's pattern written as the captures' ones are: without scheme, user, port, final dot, query and empty segments, the
+    domain in lower case, the path in its own case; null without a domain.
+    """
+    url = F.concat(F.lit("//"), F.regexp_replace(F.trim(text), r"^(?i:[a-z][a-z0-9+.\-]*:)?//", ""))
+    parts = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
+    return F.nullif(F.array_join(F.concat(F.array(host_of(url)), parts), "/"), F.lit(""))
+
+
+def depth_of(spans: DataFrame) -> DataFrame:
+    """One row: ``__depth``, the most path segments that a pattern has."""
     slashes = F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))
-    return entries.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("__depth"))
+    return spans.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("__depth"))
 
 
 def patterns_of(url: Column, segments: Column) -> Column:
@@ -57,8 +66,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     Both windows are over the entries of one pattern; the list is small beside the captures.
     """
     action = F.lower("action")
-    dated = entries.select("list_name", F.lower("pattern").alias("pattern"), F.when(action == "allow", 2).when(action == "block", 1).when(action == "remove", 0).alias("state"), F.col("effective").cast("timestamp").alias("at"))
-    dated = dated.where("pattern IS NOT NULL AND state IS NOT NULL AND at IS NOT NULL").groupBy("list_name", "pattern", "at").agg(F.max("state").alias("state"))
+    dated = entries.select("list_name", pattern_of(F.col("pattern")).alias("pattern"), F.when(action == "allow", 2).when(action == "block", 1).when(action == "remove", 0).alias("state"), F.col("effective").cast("timestamp").alias("at"))
+    dated = dated.where("pattern IS NOT NULL AND NOT startswith(pattern, '/') AND state IS NOT NULL AND at IS NOT NULL").groupBy("list_name", "pattern", "at").agg(F.max("state").alias("state"))
     log = Window.partitionBy("pattern", "list_name").orderBy("at")
     was = F.coalesce(F.lag("state").over(log), F.lit(0))
     steps = dated.select("pattern", "at", ((F.col("state") == 1).cast("int") - (was == 1).cast("int")).alias("block"), ((F.col("state") == 2).cast("int") - (was == 2).cast("int")).alias("allow"))
@@ -78,7 +87,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """
     base = captures.select(F.col(id_col), F.col(url_col), F.col(time_col).cast("timestamp").alias("__t"))
     base = base.withColumns({"__row": F.struct(F.monotonically_increasing_id().alias("n"), F.xxhash64(F.col(id_col), F.col(url_col), "__t").alias("h")), "__salt": F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(salts))})
-    base = base.crossJoin(F.broadcast(depth_of(entries)))
+    base = base.crossJoin(F.broadcast(depth_of(entries.select(pattern_of(F.col("pattern")).alias("pattern")))))
     probes = base.select("__row", id_col, url_col, "__t", "__salt", F.explode_outer(patterns_of(F.col(url_col), F.col("__depth"))).alias("__pattern"))
     spans = validity_intervals(entries).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     active = (F.col("__pattern") == F.col("pattern")) & (probes["__salt"] == spans["__salt"]) & (F.col("__t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__t") < F.col("valid_to")))

@@ -4,8 +4,8 @@ reads of chosen records by sorted, coalesced byte ranges.
 The index holds file, offset, length, URL and digest of every record, so a selection
 (by URL, digest or page) touches no archive bytes but its own.
 
-Defined results: a null payload is an empty one; a null URL is written as an empty target
-and reads back as null; of equal payloads the record with the smallest page_id is the response
+Defined results: a null payload is an empty one; a null URL has no target header and reads back as
+null, one with line breaks or blanks at its ends is also written percent-encoded and reads back as it was; of equal payloads the record with the smallest page_id is the response
 (repeated rows of that page_id are responses too); rows with a null page_id refer to a
 page that has one, or are responses if none has; an empty table gives an empty index.
 """
@@ -17,6 +17,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -40,7 +41,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One WARC/1.1 record; a revisit has the headers of the full payload but no body."""
     body = b"" if refers_to is not None else payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
-    lines.append("WARC-Target-URI: " + "".join((url or "").splitlines()))
+    if url is not None:
+        plain = "".join(url.splitlines()).strip()
+        lines.append("WARC-Target-URI: " + plain)
+        if plain != url:
+            lines.append("X-Target-URI: " + quote(url, safe=""))
     lines.append(f"WARC-Payload-Digest: sha1:{digest_of(payload)}")
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -58,7 +63,7 @@ def parsed(raw: bytes) -> dict:
     size = int(fields["x-payload-length"])
     if not lines[0].startswith("WARC/") or kind == "response" and (len(body) != size or digest_of(body) != digest):
         raise ValueError("damaged record")
-    return {"page_id": page(fields["warc-record-id"]), "url": fields["warc-target-uri"] or None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(fields.get("warc-refers-to")), "payload": body if kind == "response" else None}
+    return {"page_id": page(fields["warc-record-id"]), "url": unquote(fields["x-target-uri"]) if "x-target-uri" in fields else fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(fields.get("warc-refers-to")), "payload": body if kind == "response" else None}
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
