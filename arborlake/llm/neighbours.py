@@ -4,8 +4,13 @@ The trees' first planes are fitted on a bounded sample; every vector is put into
 of each tree. Leaves of more than ``most`` rows are split further in rounds: a bounded draw of
 each one's rows gives it a subtree, until all are small or hold one repeated vector. A
 query walks all trees through one shared priority queue, nearest planes first, until it
-has its own leaf of every tree, ``least`` leaves, and leaves of ``search`` rows; the rows found
-there are ranked by exact cosine in double precision.
+has its own leaf of every tree, ``least`` leaves, and leaves of a certain share of the rows; the rows
+found there are ranked by exact cosine in double precision.
+
+That share is measured, as it depends on the vectors: ``PROBES`` query rows are searched by
+brute force, and the share is the least that reaches ``TARGET`` of their true neighbours. So vectors
+without any structure are found as well, from large shares. A tree has some ``LEAVES`` leaves at most, which
+bounds what is broadcast.
 
 Leaves with many rows (a vector that a third of the table repeats) are dealt out in parts
 of ``PART`` rows and each part keeps its best ``k``, so no task holds a whole leaf and
@@ -30,11 +35,15 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.shared import sorted_groups, written
 
-SAMPLE, TREES, LEAF, SEARCH, PART = 20_000, 10, 100, 6_000, 4_096
+SAMPLE, TREES, LEAF, PART = 20_000, 5, 400, 4_096
 #: Rows above which a leaf is split further, rows drawn for that, and leaves that a query visits at least.
 MOST, DRAW, LEAST = 1_000, 256, 60
-#: Query rows of one broadcast block of the exact search.
-BLOCK = 20_000
+#: Queries that the share is measured with, the share of their neighbours to reach, and leaves of a tree.
+PROBES, TARGET, LEAVES = 200, 0.96, 1 << 14
+#: Query rows of one broadcast block of the exact search, and of one product with a part's vectors.
+BLOCK, PRODUCT = 20_000, 256
+#: Two cosines of a fast product may differ by less than this from those summed one by one.
+SLACK = 1e-9
 
 
 @dataclass
@@ -100,32 +109,60 @@ def grafted(tree: Tree, subtrees: dict[int, Tree]) -> Tree:
     return Tree(np.concatenate(normals), np.concatenate(offsets), np.concatenate(parts), np.zeros(leaves))
 
 
+class Queue:
+    """The shared priority queue of some queries over all trees."""
+
+    def __init__(self, forest: list[Tree], unit: np.ndarray):
+        self.forest = forest
+        self.margins = [(unit @ t.normals.T - t.offsets) / np.sqrt((t.normals**2).sum(axis=1)) if len(t.children) else None for t in forest]
+
+    def leaves(self, q: int) -> Iterator[tuple[int, int]]:
+        """The (tree, leaf) pairs of query number ``q``, nearest first."""
+        queue = [(-np.inf, i, 0 if len(t.children) else -1) for i, t in enumerate(self.forest)]
+        while queue:
+            near, i, at = heapq.heappop(queue)
+            if at < 0:
+                yield i, -1 - at
+                continue
+            m = float(self.margins[i][q, at])
+            low, high = self.forest[i].children[at]
+            heapq.heappush(queue, (max(near, m), i, int(low)))
+            heapq.heappush(queue, (max(near, -m), i, int(high)))
+
+
 def visited(forest: list[Tree], unit: np.ndarray, wanted: float, least: int = LEAST) -> list[list[tuple[int, int]]]:
     """For each query the (tree, leaf) pairs that the shared queue reaches, until they are ``least`` and hold ``wanted`` of the rows,
     and those of its own leaves that it has not reached by then.
     """
-    home = [t.leaves(unit) for t in forest]
-    margins = [unit @ t.normals.T - t.offsets if len(t.children) else None for t in forest]
-    size = [np.sqrt((t.normals**2).sum(axis=1)) for t in forest]
-    out = []
+    home, queue, out = [t.leaves(unit) for t in forest], Queue(forest, unit), []
     for q in range(len(unit)):
-        queue = [(-np.inf, i, 0 if len(t.children) else -1) for i, t in enumerate(forest)]
         found, total = [], 0.0
-        while queue and (total < wanted or len(found) < least):
-            near, i, at = heapq.heappop(queue)
-            if at < 0:
-                found.append((i, -1 - at))
-                total += forest[i].share[-1 - at]
-                continue
-            m = margins[i][q, at] / size[i][at]
-            low, high = forest[i].children[at]
-            heapq.heappush(queue, (max(near, m), i, int(low)))
-            heapq.heappush(queue, (max(near, -m), i, int(high)))
+        for i, leaf in queue.leaves(q):
+            found.append((i, leaf))
+            total += forest[i].share[leaf]
+            if total >= wanted and len(found) >= least:
+                break
         reached = set(found)
         out.append(found + [x for i in range(len(forest)) if (x := (i, int(home[i][q]))) not in reached])
     return out
 
 
+def shares_needed(forest: list[Tree], unit: np.ndarray, near: np.ndarray) -> list[float]:
+    """The share of the rows in the leaves that a query visits until it has met each vector of ``near``."""
+    waiting: dict[tuple[int, int], list[int]] = {}
+    for i, t in enumerate(forest):
+        for n, leaf in enumerate(t.leaves(near).tolist()):
+            waiting.setdefault((i, leaf), []).append(n)
+    needed, total = {}, 0.0
+    for i, leaf in Queue(forest, unit[None]).leaves(0):
+        total += forest[i].share[leaf]
+        for n in waiting.get((i, leaf), ()):
+            needed.setdefault(n, total)
+        if len(needed) == len(near):
+            break
+    return list(needed.values())
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
 
@@ -135,8 +172,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v as array<double>) of the rows that take part, and their length."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v as array<float> if they are, else array<double>) of the rows that take part, and their length."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(sound, F.lit(False)))
@@ -161,15 +199,25 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q) / (norm * np.sqrt(np.einsum("i,i->", q, q)))
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
 def _ranked(q_ids, q, ids, x, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for i, qid in enumerate(q_ids):
-        score = _cosines(q[i], x)
-        own = ids != qid
-        at = _best(ids[own], score[own], k)
-        yield qid, ids[own][at], score[own][at]
+    """Each query's best k. A fast product leaves those that could be among them, and their cosines are summed exactly."""
+    unit, wide = _unit(x), np.asarray(q_ids)
+    for a in range(0, len(wide), PRODUCT):
+        near = _unit(q[a : a + PRODUCT]) @ unit.T
+        near[wide[a : a + PRODUCT, None] == ids[None]] = -np.inf
+        edge = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(near), -2.0)
+        for i, row in enumerate(near):
+            at = np.flatnonzero(row >= max(edge[i], -2.0) - SLACK)
+            score = _cosines(q[a + i], x[at])
+            best = _best(ids[at], score, k)
+            yield q_ids[a + i], ids[at][best], score[best]
 
 
 def _batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -221,7 +269,7 @@ def _placed(rows: DataFrame, shared, d: int) -> DataFrame:
                 for i, t in enumerate(shared.value):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), i, dtype=np.int32)), pa.array(t.leaves(u).astype(np.int32)), b.column("vec_id"), b.column("v")], names=["tree", "leaf", "vec_id", "v"])
 
-    return rows.mapInArrow(to_leaves, "tree int, leaf int, vec_id long, v array<double>")
+    return rows.mapInArrow(to_leaves, f"tree int, leaf int, vec_id long, v {_kind(rows)}")
 
 
 def _refined(rows: DataFrame, forest: list[Tree], d: int, most: int, seed: int) -> tuple[list[Tree], dict[tuple[int, int], int]]:
@@ -260,17 +308,44 @@ def _refined(rows: DataFrame, forest: list[Tree], d: int, most: int, seed: int)
     return forest, counts
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, seed: int = 11, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """Per query row: its ``k`` nearest found as (query_id, rank, vec_id, score)."""
+def _share(rows: DataFrame, queries: DataFrame, forest: list[Tree], d: int, k: int, probes: int, target: float) -> float:
+    """The share of the rows that a query has to visit, so that ``target`` of the true neighbours of ``probes`` queries are found."""
+    drawn = written(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes))
+    truth = exact(rows, drawn, d, k).select("query_id", "vec_id").join(rows, "vec_id")
+    near = truth.groupBy("query_id").agg(F.flatten(F.collect_list("v")).alias("near"))  # k vectors
+    both = drawn.join(near, F.col("vec_id") == F.col("query_id")).select("v", "near").repartition(max(1, probes // 8))
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u, flat = _unit(_matrix(b.column("v"), d)), _matrix(b.column("near"), d)
+                of = np.repeat(np.arange(b.num_rows), b.column("near").value_lengths().to_numpy(zero_copy_only=False) // d)
+                needed = [x for i in range(len(u)) for x in shares_needed(shared.value, u[i], _unit(flat[of == i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(needed, pa.float64())], names=["needed"])
+
+    needed = [r.needed for r in both.mapInArrow(measure, "needed double").collect()]
+    shared.destroy()
+    return float(np.quantile(needed, target, method="higher")) if needed else 1.0
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int | None = None, seed: int = 11, most: int = MOST, least: int = LEAST, probes: int = PROBES, target: float = TARGET) -> DataFrame:
+    """Per query row: its ``k`` nearest found as (query_id, rank, vec_id, score).
+
+    ``search`` fixes the rows that a query visits, instead of the measured share.
+    """
     spark = vectors.sparkSession
     rows, d = usable(vectors)
     rows = written(rows)
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     unit = _unit(_matrix(drawn.column("v").combine_chunks(), d)) if drawn.num_rows else np.zeros((0, d))
+    leaf, most = max(leaf, -(-total // LEAVES)), max(most, -(-2 * total // LEAVES))
     in_leaf = max(8, leaf * len(unit) // max(total, 1))
     forest = [grow(unit, in_leaf, np.random.default_rng(seed + i)) for i in range(trees)]
     forest, counts = _refined(rows, forest, d, most, seed)
+    queries = rows.where(is_query)
+    share = search / max(total, 1) if search else _share(rows, queries, forest, d, k, probes, target)
     shared = spark.sparkContext.broadcast(forest)
     placed = _placed(rows, shared, d)
     large = {k: -(-n // PART) for k, n in counts.items() if n > PART}
@@ -288,15 +363,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMP
                 continue
             u = _unit(_matrix(b.column("v"), d))
             at, keys = [], []
-            for i, leaves in enumerate(visited(shared.value, u, search / max(total, 1), least)):
+            for i, leaves in enumerate(visited(shared.value, u, share, least)):
                 own = [f"{t}.{f}.{p}" for t, f in leaves for p in range(parts_of.value.get((t, f), 1))]
                 keys += own
                 at += [i] * len(own)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([True] * len(keys)), b.column("vec_id").take(take), b.column("v").take(take)], names=["part", "query", "vec_id", "v"])
 
-    shape = "part string, query boolean, vec_id long, v array<double>"
-    queries = rows.where(is_query)
+    shape = f"part string, query boolean, vec_id long, v {_kind(rows)}"
     both = placed.mapInArrow(to_parts, shape).unionByName(queries.mapInArrow(asked, shape))
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
