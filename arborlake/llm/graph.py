@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from arborlake.llm.shared import written
 
 
+#: Edges that one task contracts at most, instead of further rounds over all tasks.
+FEW = 100_000
+
+
 class Forest:
     """Union-find; the root of a tree is its smallest member."""
 
@@ -55,7 +59,7 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
 
     Large-star and small-star rounds until nothing changes; each round is written to the
     shared folder. A node's neighbours are never gathered: its least one is aggregated
-    with map-side minima and joined back.
+    with map-side minima and joined back. Once ``FEW`` edges or less are left, one task contracts them.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v")
     e = written(_contracted(e).distinct())
@@ -64,6 +68,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         told = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if told == before or not told[0]:
             return e
+        if told[0] <= FEW:
+            return written(_contracted(e.repartition(1)))
         before = told
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -4,7 +4,8 @@ Each document is the set of its k-word shingles in one global order, rare ones f
 sets similar enough share a shingle among the first n - ceil(t n) + 1 of both. Chains of sets that
 share such a shingle form candidate clusters; the sets of a cluster, in blocks of bounded size,
 are stored in a trie, and each set is looked up in it: overlaps of common beginnings are
-counted once, and a subtree is left when the lengths that remain cannot reach the bound.
+counted once, and a subtree is left when the lengths that remain cannot reach the bound. In large
+clusters blocks are compared with themselves and one other first; sets that are connected then do not meet again.
 
 Equal sets are one node throughout, so copies never meet pairwise, and a pair that is
 already connected within a block is not compared. Document frequencies come from a
@@ -23,19 +24,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.llm.graph import Forest, components
 from arborlake.llm.repeated_spans import text_key
-from arborlake.llm.shared import sorted_groups, written
+from arborlake.llm.shared import sorted_groups, unused, written
 from arborlake.llm.text import pieces, shingle_sets
 
 #: Counters of the frequency sketch, in blocks that are summed apart.
 WIDTH, SKETCH_BLOCK = 1 << 23, 1 << 16
-#: Sets in one block of a cluster.
-BLOCK = 1000
+#: Sets in one block of a cluster, blocks up to which every two of a cluster meet at once, and bytes of sets in one batch.
+BLOCK, PAIRED, BATCH_BYTES = 1000, 8, 4 << 20
 
 
 def frequency_sketch(texts: DataFrame, k: int, width: int = WIDTH) -> np.ndarray:
@@ -101,7 +102,18 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = [sets[i] for i in self.order]
-        self.roots = self._children(0, len(self.sets), 0)
+        self.roots: list[tuple] = []
+        open_ = [(0, len(self.sets), 0, self.roots)]
+        while open_:  # no recursion: a chain of nested sets makes a deep trie
+            low, high, depth, out = open_.pop()
+            while low < high:
+                token, up = self.sets[low][depth], low + 1
+                while up < high and self.sets[up][depth] == token:
+                    up += 1
+                node = self._node(low, up, depth)
+                out.append(node)
+                open_.append((node[6].stop, up, node[1], node[7]))
+                low = up
 
     def _node(self, low: int, high: int, depth: int) -> tuple:
         a, b = self.sets[low], self.sets[high - 1]
@@ -112,17 +124,7 @@ class Trie:
         ends = low
         while ends < high and len(self.sets[ends]) == end:
             ends += 1
-        return a[depth:end], end, min(sizes), max(sizes), low, high, range(low, ends), self._children(ends, high, end)
-
-    def _children(self, low: int, high: int, depth: int) -> list[tuple]:
-        out = []
-        while low < high:
-            token, up = self.sets[low][depth], low + 1
-            while up < high and self.sets[up][depth] == token:
-                up += 1
-            out.append(self._node(low, up, depth))
-            low = up
-        return out
+        return a[depth:end], end, min(sizes), max(sizes), low, high, range(low, ends), []
 
     def links(self, x: np.ndarray, percent: int, before: int, joined) -> Iterator[int]:
         """Sequences below ``before`` that link with x; ``joined(i)`` tells which need no comparison."""
@@ -144,9 +146,11 @@ class Trie:
             stack += [(c, common) for c in children]
 
 
-def block_links(own: list[tuple[bytes, np.ndarray]], other: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect all sets that links connect, within ``own`` or between ``own`` and ``other``."""
+def block_links(own: list[tuple[bytes, np.ndarray]], other: list[tuple[bytes, np.ndarray]] | None, percent: int, known: Iterable[tuple[bytes, bytes]] = ()) -> list[tuple[bytes, bytes]]:
+    """Links that connect all sets that links connect, within ``own`` or between ``own`` and ``other``, besides the ``known`` ones."""
     forest, out = Forest(), []
+    for a, b in known:
+        forest.union(a, b)
     trie = Trie([s for _, s in (other if other is not None else own)])
     name = [(other if other is not None else own)[i][0] for i in trie.order]
     asked = list(zip(name, trie.sets, strict=True)) if other is None else own
@@ -173,52 +177,108 @@ def _signed(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """(u, v) short node numbers: neighbours, by size, among the sets that share a prefix shingle.
 
-    Sets of sizes too far apart break a chain, as no set before the gap can link with one after it.
+    Sets of sizes too far apart break a chain, as no set before the gap can link with one after it. The rows
+    are sorted by shingle, size and number over all tasks, so a shingle that many sets share is dealt to
+    many tasks; only the first and the last row of each task pass through the driver.
     """
-    rows = nodes.select(F.explode("prefix").alias("token"), F.xxhash64("node").alias("id"), "n")
-    chain = Window.partitionBy("token").orderBy("n", "id")
-    pairs = rows.select("id", "n", F.lag("id").over(chain).alias("u"), F.lag("n").over(chain).alias("m"))
-    near = pairs.where(F.col("u").isNotNull() & (F.col("m") * 100 >= F.col("n") * percent))
-    return near.select(F.greatest("id", "u").alias("u"), F.least("id", "u").alias("v")).distinct()
+    rows = nodes.select(F.explode("prefix").alias("token"), F.col("n"), F.xxhash64("node").alias("id"))
+    dealt = rows.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
+    names = ["u", "v", "part", "token", "n", "id"]
 
+    def near(token: np.ndarray, n: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero((token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * percent))
+        return np.maximum(id_[at], id_[at + 1]), np.minimum(id_[at], id_[at + 1])
 
-def set_links(docs: DataFrame, k: int, percent: int, sketch, nodes: DataFrame) -> DataFrame:
-    """(u, v) nodes: links enough to connect all that links connect; docs has tkey and text."""
-    cluster = components(_candidates(nodes, percent))
-    numbered = nodes.select("node", "tkey", F.xxhash64("node").alias("u"))
-    inside = numbered.join(cluster.withColumnRenamed("v", "root"), "u").select("node", "tkey", "root").unionByName(numbered.join(cluster.select(F.col("v").alias("u")).distinct(), "u").select("node", "tkey", F.col("u").alias("root")))
-    inside = written(inside)
-    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    placed = inside.join(blocks, "root").withColumn("mine", mine)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    placed = placed.select("tkey", "node", F.col("root").cast("string").alias("root"), "mine", F.explode(pairs).alias("p"))
-    wanted = placed.groupBy("tkey").agg(F.collect_set(F.struct("node", "mine", F.concat_ws("/", "root", "p.i", "p.j").alias("task"), (F.col("p.i") == F.col("p.j")).alias("same"), (F.col("mine") == F.col("p.i")).alias("left"))).alias("to"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, first, last = TaskContext.get().partitionId(), None, None
+        for b in batches:
+            if b.num_rows:
+                own = [b.column(c).to_numpy() for c in ("token", "n", "id")]
+                first = [x[:1].copy() for x in own] if first is None else first
+                u, v = near(*(own if last is None else [np.r_[x, y] for x, y in zip(last, own, strict=True)]))
+                last = [x[-1:].copy() for x in own]
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none.cast(pa.int32()), none, none, none], names=names)
+        if last is not None:
+            none = pa.nulls(2, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([part] * 2, pa.int32()), *[pa.array(np.r_[x, y]) for x, y in zip(first, last, strict=True)]], names=names)
+
+    found = written(dealt.mapInArrow(run, "u long, v long, part int, token long, n long, id long"))
+    edge = found.where("part IS NOT NULL").orderBy("part", "token", "n", "id").select("token", "n", "id").toArrow()
+    across = near(*(edge.column(c).to_numpy() for c in ("token", "n", "id")))
+    spark = nodes.sparkSession
+    return found.where("part IS NULL").select("u", "v").distinct().unionByName(spark.createDataFrame(list(zip(*(x.tolist() for x in across), strict=True)), "u long, v long"))
+
+
+def _matched(tasks: DataFrame, docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
+    """(u, v) links found by tasks of rows (task, tkey, node, part, side, within): within side 'a' or between 'a' and 'b'.
+
+    ``part`` names a node that the row's is connected with. The sets are made where the texts are joined with their tasks.
+    """
+    names = ["task", "node", "part", "side", "within"]
+    wanted = tasks.groupBy("tkey").agg(F.collect_list(F.struct(*names)).alias("to"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # copies of one text
         for part, own in pieces(batches):
-            keys, to = part.column("tkey").to_pylist(), part.column("to").to_pylist()
-            rows = []
-            for i, s in enumerate(ordered_sets(own, k, sketch.value)):
-                packed = s.astype("<u8").tobytes()
-                rows += [(t["task"], t["node"], t["same"], t["left"], packed) for t in to[i]]
-            for a in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[a : a + 2000]], kind) for j, kind in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()))], names=["task", "node", "same", "left", "items"])
+            for to, s in zip(part.column("to"), ordered_sets(own, k, sketch.value), strict=True):
+                packed, to = s.astype("<u8").tobytes(), to.values
+                for a in range(0, len(to), max(1, BATCH_BYTES // len(packed))):
+                    some = to.slice(a, max(1, BATCH_BYTES // len(packed)))
+                    yield pa.RecordBatch.from_arrays([*some.flatten(), pa.array([packed] * len(some), pa.binary())], names=[*names, "items"])
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in sorted_groups(batches, "task"):
             own, other = {}, {}
-            same = group.column("same")[0].as_py()
-            for node, left, items in zip(group.column("node").to_pylist(), group.column("left").to_pylist(), group.column("items").to_pylist(), strict=True):
-                (own if same or left else other)[node] = np.frombuffer(items, dtype="<u8").astype(np.uint64)
-            found = block_links(list(own.items()), None if same else list(other.items()), percent) if own and (same or other) else []
+            for node, side, items in zip(group.column("node").to_pylist(), group.column("side").to_pylist(), group.column("items").to_pylist(), strict=True):
+                (own if side == "a" else other)[node] = np.frombuffer(items, dtype="<u8").astype(np.uint64)
+            within = group.column("within")[0].as_py()
+            known = zip(group.column("node").to_pylist(), group.column("part").to_pylist(), strict=True)
+            found = block_links(list(own.items()), None if within else list(other.items()), percent, known) if own and (within or other) else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["u", "v"])
 
-    shape = "task string, node binary, same boolean, left boolean, items binary"
-    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(wanted, "tkey").mapInArrow(sets, shape)
-    return texts.repartition("task").sortWithinPartitions("task").mapInArrow(match, "u binary, v binary")
+    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(wanted, "tkey")
+    dealt = texts.mapInArrow(sets, "task string, node binary, part binary, side string, within boolean, items binary")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(match, "u binary, v binary")
+
+
+def set_links(docs: DataFrame, k: int, percent: int, sketch, nodes: DataFrame) -> DataFrame:
+    """(u, v) nodes: links enough to connect all that links connect; docs has tkey and text.
+
+    In a cluster of up to ``PAIRED`` blocks every two blocks meet. In a larger one each block is compared with
+    itself and with the cluster's first block; sets of one component need no more comparison with each
+    other, so then only the sets outside the cluster's largest component are compared with all of it: near
+    copies of one text cost in proportion to their number.
+    """
+    cluster = components(_candidates(nodes, percent))
+    numbered = nodes.select("node", "tkey", F.xxhash64("node").alias("u"))
+    inside = numbered.join(cluster.withColumnRenamed("v", "root"), "u").select("node", "tkey", "root").unionByName(numbered.join(cluster.select(F.col("v").alias("u")).distinct(), "u").select("node", "tkey", F.col("u").alias("root")))
+    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = written(inside.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    task = lambda i, j, side, within=False: F.struct(F.concat_ws("/", F.col("root").cast("string"), i.cast("string"), j.cast("string")).alias("task"), lit(side).alias("side"), lit(within).alias("within"))
+    zero, mine = F.lit(0), F.col("mine")
+    every = F.transform(upto(F.col("blocks")), lambda j: task(F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, "a").otherwise("b"), mine == j))
+    with_first = F.when(mine == 0, F.transform(F.filter(upto(F.col("blocks")), lambda j: j > 0), lambda j: task(zero, j, "a"))).otherwise(F.array(task(zero, mine, "b")))
+    meets = F.when(F.col("blocks") <= PAIRED, every).otherwise(F.concat(F.array(task(mine, mine, "a", True)), with_first))
+    tasks = placed.select("node", F.explode(meets).alias("t"), "tkey").select("node", F.col("node").alias("part"), "tkey", "t.*")
+    links = written(_matched(tasks, docs, k, percent, sketch))
+    large = placed.where(F.col("blocks") > PAIRED)
+    if large.isEmpty():
+        return links
+    stars = components(links)
+    joined = stars.select(F.col("u").alias("node"), F.col("v").alias("part"))
+    parts = written(large.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))
+    rest = sizes.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("rests")).where("rests > 0")
+    left = parts.join(rest, "root")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rests")).cast("int")
+    asks = F.when(F.col("part") != F.col("largest"), F.transform(upto(F.col("blocks")), lambda j: task(own, j, "a"))).otherwise(F.array().cast("array<struct<task:string,side:string,within:boolean>>"))
+    tasks = left.select("node", "part", F.explode(F.concat(F.transform(upto(F.col("rests")), lambda i: task(i, mine, "b")), asks)).alias("t"), "tkey").select("node", "part", "tkey", "t.*")
+    return stars.unionByName(_matched(tasks, docs, k, percent, sketch))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -241,5 +301,6 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     A row without an id stays; rows that repeat the id and text of a kept document are that document and stay.
     """
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where("component_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
-    return docs.join(gone, (docs[id_col] == gone["__id"]) & (text_key(docs[text_col]) == gone["__key"]), "left_anti")
+    key, other = unused(docs, "key"), unused(docs, "id")
+    gone = found.where("component_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias(other), F.col("tkey").alias(key)).distinct()
+    return docs.join(gone, (docs[id_col] == gone[other]) & (text_key(docs[text_col]) == gone[key]), "left_anti")
