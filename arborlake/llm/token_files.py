@@ -32,10 +32,10 @@ from arborlake.llm.text import pieces
 #: Added to a checksum after turning it by 15 bits, so that a checksum of data that hold checksums stays sound.
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
-#: Encoded words that a worker keeps, and words without their final punctuation.
-KEPT, KEPT_STEMS = 1_200_000, 1_200_000
+#: Encoded words that a worker keeps.
+KEPT = 1_000_000
 #: Bytes of text encoded at once; each distinct word of them is looked up once.
-WORK_BYTES = 6 << 20
+WORK_BYTES = 4 << 20
 #: Bytes of one coalesced read.
 READ_BYTES = 8 << 20
 
@@ -60,11 +60,13 @@ def unframed(record: memoryview | bytes) -> bytes:
     return body
 
 
-#: A byte-level BPE splits before a single space that a visible character follows, so the
-#: words between such places can be encoded one by one, and equal words once.
+#: A byte-level BPE splits before a single space that a visible character follows, and between an ASCII letter
+#: and any other ASCII character, so the words between such places can be encoded one by one, and equal words once.
 _UNSURE = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-#: It also splits between letters and ASCII punctuation.
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_OTHER = ~_LETTER
+_OTHER[0x80:] = False
 
 
 @lru_cache(maxsize=2)
@@ -83,17 +85,21 @@ def part_encoder(path: str) -> PartEncoder:
 class PartEncoder:
     """Encodes texts word by word and keeps the ids of words seen.
 
-    A text with a special token, or with a space before other white space, is encoded whole.
+    A word begins at the text's start, at a space, or where an ASCII letter meets another ASCII character. A
+    text with a special token, or with a space before other white space, is encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_names = self._byte_names()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.words: dict[str, bytes] = {}  # ids of " " + word
-        self.first: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}  # the same, of words without their final punctuation
+        self.slots: dict[bytes, int] = {}  # words with the space before them
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots.clear()
+        self.ids, self.first, self.count, self.unsure = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _byte_names(self) -> dict[int, str]:
         """The character by which the vocabulary writes each byte, asked from the library."""
@@ -106,52 +112,63 @@ class PartEncoder:
             out.update(zip(chr(c).encode(), name(chr(c))[0][0], strict=True))
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as 32-bit little-endian integers."""
-        split = [t.split(" ") for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if len(self.words) + len(new) > KEPT:
-            self.words.clear()
-            if len(self.letters) > KEPT_STEMS:
-                self.letters.clear()
-            new = set().union(*split)
-        unsure = {w for w in new if not w or _UNSURE.match(w)}
-        self._learn(list(new - unsure))
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special) or unsure and not unsure.isdisjoint(split[i][1:])}
-        heads = self._heads([s[0] for s in split])
-        get = self.words.__getitem__
-        alone = dict(zip(sorted(whole), self._ids([texts[i] for i in sorted(whole)]), strict=True))
-        return [alone[i] if i in whole else heads[i] + b"".join(map(get, s[1:])) for i, s in enumerate(split)]
-
-    def _heads(self, words: list[str]) -> list[bytes]:
-        """The ids of first words, which no space leads."""
-        new = list(set(words) - self.first.keys())
-        if len(self.first) + len(new) > KEPT // 8:
-            self.first.clear()
-            new = list(set(words))
-        self.first.update(zip(new, self._ids(new), strict=True))
-        return [self.first[w] for w in words]
-
-    def _learn(self, words: list[str]) -> None:
-        rest, letters, packed, tokenize = [], self.letters, self.packed, self.tokenizer.model.tokenize
-        space = self.byte_names[0x20]
-        for w in words:
-            stem = w.rstrip(_PUNCTUATION)
-            if not stem.isalpha():
-                rest.append(w)
-                continue
-            ids = letters.get(stem)
-            if ids is None:
-                name = space + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.byte_names))
-                ids = letters[stem] = b"".join([packed[t.id] for t in tokenize(name)])
-            if len(stem) < len(w):
-                tail = w[len(stem) :]
-                end = letters.get("'" + tail)
-                if end is None:
-                    end = letters["'" + tail] = self._ids([tail])[0]
-                ids += end
-            self.words[w] = ids
-        self.words.update(zip(rest, self._ids([" " + w for w in rest]), strict=True))
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin, one more at the end."""
+        raw = b"".join(texts)
+        text_at = np.r_[0, np.cumsum([len(t) for t in texts])]
+        if not raw:
+            return np.zeros(0, "<u4"), text_at
+        data = np.frombuffer(raw, dtype=np.uint8)
+        cut = data == 0x20
+        cut[1:] |= _LETTER[data[:-1]] & _OTHER[data[1:]]
+        cut[text_at[:-1][np.diff(text_at) > 0]] = True
+        word_at = np.flatnonzero(cut)
+        spans = pa.Array.from_buffers(pa.binary(), len(word_at), [None, pa.py_buffer(np.r_[word_at, len(raw)].astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        slot = self._slots(spans.dictionary.to_pylist())[spans.indices.to_numpy()]
+        edge = np.searchsorted(word_at, text_at)
+        whole = set(np.flatnonzero(np.diff(np.r_[0, np.cumsum(self.unsure[slot])][edge])).tolist())
+        if any(x in raw for x in self.special):
+            whole |= {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        times = self.count[slot]
+        total = np.cumsum(times)
+        flat = self.ids[np.arange(int(total[-1])) + np.repeat(self.first[slot] - (total - times), times)]
+        at = np.r_[0, total][edge]
+        if not whole:
+            return flat, at
+        parts = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        order = sorted(whole)
+        for i, code in zip(order, self._ids([texts[i].decode() for i in order]), strict=True):
+            parts[i] = np.frombuffer(code, dtype="<u4")
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        """Where ``first`` and ``count`` have each word's ids."""
+        known = self.slots
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KEPT:
+            self._forget()
+            new = words
+        codes, unsure, rest = [b""] * len(new), np.zeros(len(new), dtype=bool), []
+        tokenize, packed, space = self.tokenizer.model.tokenize, self.packed, self.byte_names[0x20]
+        for i, w in enumerate(new):
+            text = w.decode()
+            if text[0] != " ":
+                rest.append((i, text))
+            elif len(text) == 1 or _UNSURE.match(text, 1):
+                unsure[i] = True
+            elif text[1:].isalpha():
+                name = space + (text[1:] if text.isascii() else w[1:].decode("latin-1").translate(self.byte_names))
+                codes[i] = b"".join([packed[t.id] for t in tokenize(name)])
+            else:
+                rest.append((i, text))
+        for (i, _), ids in zip(rest, self._ids([t for _, t in rest]), strict=True):
+            codes[i] = ids
+        n = np.array([len(c) // 4 for c in codes], dtype=np.int64)
+        known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(n) - n]
+        self.count, self.unsure = np.r_[self.count, n], np.r_[self.unsure, unsure]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(codes), dtype="<u4")]
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -179,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard, encode, out, at, name = TaskContext.get().partitionId(), None, None, 0, ""
-        tail = b"" if end_id is None else struct.pack("<I", end_id)
+        tail = b"" if end_id is None else struct.pack("<I" if wide else "<H", end_id)
         try:
             for part, texts in pieces(batches, most=WORK_BYTES):
                 if out is None:
@@ -187,12 +204,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
                     store.create_dir(path)
                     name = f"{path}/tokens-{shard:05d}-{uuid.uuid4().hex}.rec"
                     out, encode = store.open_output_stream(name), part_encoder(tokenizer_path)
-                ids, offsets, sizes, counts = part.column("doc_id").to_pylist(), [], [], []
-                for doc_id, code in zip(ids, encode([t.decode() for t in texts]), strict=True):
-                    code += tail
-                    counts.append(len(code) // 4)
-                    code = code if wide else np.frombuffer(code, dtype="<u4").astype("<u2").tobytes()
-                    record = framed(struct.pack("<q", NO_ID if doc_id is None else doc_id) + code)
+                ids, offsets, sizes = part.column("doc_id").to_pylist(), [], []
+                flat, begin = encode(texts)
+                width, counts = (4 if wide else 2), np.diff(begin) + (end_id is not None)
+                codes, begin = memoryview((flat if wide else flat.astype("<u2")).tobytes()), (begin * width).tolist()
+                for i, doc_id in enumerate(ids):
+                    record = framed(b"".join((struct.pack("<q", NO_ID if doc_id is None else doc_id), codes[begin[i] : begin[i + 1]], tail)))
                     out.write(record)
                     offsets.append(at)
                     sizes.append(len(record))
