@@ -1,4 +1,11 @@
-"""Five stages that turn raw documents into tokens; each is written as Parquet and read again by the next."""
+"""Five stages that turn raw documents into tokens; each is written as Parquet and read again by the next.
+
+Defined results: a document with a null, empty or blank text scores 0 and leaves in the first stage; a null doc_id takes
+part in all stages and stays where its text does; rows that repeat an id and a text stay together, those that repeat
+a text under another id leave in the second stage; ties of groups go to the least doc_id; very long texts are
+taken whole; an empty table stays empty; further columns are carried along, but for "tokens" and "decoded", which give
+way to the last stage's results.
+"""
 
 from __future__ import annotations
 
