@@ -26,7 +26,7 @@ from arborlake.llm.text import pieces
 
 WINDOW = 10
 #: Benchmark text of one broadcast block, and training text of one shard, in bytes.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
 
 #: Everything but 0-9, a-z and bytes of non-ASCII characters ends a word; A-Z are lower-cased.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))

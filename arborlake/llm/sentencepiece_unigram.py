@@ -39,9 +39,9 @@ _MARK = MARK.encode()
 #: Score of a character without a piece below the lowest score of any piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
 #: Parts whose ids a worker keeps; parts longer than LONG bytes are walked one at a time.
-KEPT, LONG = 250_000, 256
+KEPT, LONG = 150_000, 256
 #: Bytes of text encoded at once.
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 20
 
 
 class DoubleArray:
