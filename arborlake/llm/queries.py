@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontamination, html_text, jaccard_join, neighbours, quality, repeated_spans, sentencepiece_unigram, token_files, url_filter, warc
+from arborlake.llm import decontamination, html_text, jaccard_join, merkle, neighbours, prefix_trie, quality, repeated_spans, sentencepiece_unigram, token_files, url_filter, warc
 
 END_ID = 2
 
@@ -87,8 +87,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_jaccard_join, op4_token_files, op5_repeated_spans, op6_sentencepiece, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_jaccard_join, op4_token_files, op5_repeated_spans, op6_sentencepiece, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality, op11_prefix_trie, op12_merkle_manifest)}
 
 
 OP1_SQL = r"""
@@ -173,5 +181,74 @@ FROM hashed
 """
 
 
+def _crc32(value: str) -> str:
+    """SQL of the unsigned CRC-32 of a decimal number, bit by bit."""
+    return f"xor(list_reduce(list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+mixed AS (
+  SELECT h.conv_id, 0 AS half, t.place, t.key, t.words FROM heads h JOIN turns t ON t.conv_id = h.base AND t.place <= h.h
+  UNION ALL SELECT h.conv_id, 1, t.place, t.key, t.words FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.place > h.h),
+built AS MATERIALIZED (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY half, place) AS depth FROM mixed),
+sizes AS (SELECT h.conv_id, count(b.depth) AS n FROM heads h LEFT JOIN built b USING (conv_id) GROUP BY h.conv_id),
+walk(conv_id, depth, prefix, words) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), sha256(''), CAST(0 AS BIGINT) FROM sizes
+  UNION ALL SELECT w.conv_id, b.depth, sha256(w.prefix || b.key), b.words FROM walk w JOIN built b ON b.conv_id = w.conv_id AND b.depth = w.depth + 1),
+pos AS MATERIALIZED (SELECT w.*, n FROM walk w JOIN sizes USING (conv_id)),
+nodes AS MATERIALIZED (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM pos GROUP BY depth, prefix),
+up AS (SELECT c.depth, c.prefix, p.prefix AS parent, q.conv_id AS parent_conv_id FROM nodes c JOIN pos p ON p.conv_id = c.conv_id AND p.depth = c.depth - 1 JOIN nodes q ON q.depth = p.depth AND q.prefix = p.prefix),
+children AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n_children FROM up GROUP BY ALL),
+rolled AS (
+  SELECT a.depth, a.prefix, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved
+  FROM nodes m JOIN pos a ON a.conv_id = m.conv_id AND a.depth <= m.depth LEFT JOIN children k ON k.depth = m.depth AND k.prefix = m.prefix GROUP BY a.depth, a.prefix)
+SELECT m.conv_id, m.depth, u.parent_conv_id, m.n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, CAST(r.n_leaves AS BIGINT) AS n_leaves, CAST(r.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM nodes m JOIN rolled r USING (depth, prefix) LEFT JOIN up u USING (depth, prefix) LEFT JOIN children k USING (depth, prefix)
+"""
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")) + ")"
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN coalesce({_crc32("doc_id")} % 5 = 0, false) THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF.format(text="text")} END AS folded FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM leaves),
+tree(grp, lv, pos, n, h) AS (
+  SELECT grp, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT grp, lv + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY grp, lv, n, pos // 16),
+low AS MATERIALIZED (SELECT * FROM tree),
+tops AS (SELECT grp AS pos, h, count(*) OVER () AS n FROM low WHERE n = 1),
+rise(lv, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM tops UNION ALL SELECT lv + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM rise WHERE n > 1 GROUP BY lv, n, pos // 16),
+high AS MATERIALIZED (SELECT * FROM rise),
+-- The groups' tree goes on above each group's own: its levels are counted from that group's top.
+heights AS (SELECT grp, max(lv) AS top FROM low GROUP BY grp),
+near AS MATERIALIZED (
+  SELECT a.grp, a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM low a JOIN low b ON a.grp = b.grp AND a.lv = b.lv AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL),
+far AS MATERIALIZED (
+  SELECT a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM high a JOIN high b ON a.lv = b.lv AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER () AS k FROM placed),
+fold(k, grp, lv, pos, h, proof) AS (
+  SELECT k, grp, 0, pos, folded, '' FROM numbered
+  UNION ALL SELECT f.k, f.grp, f.lv + 1, f.pos // 16, sha256(s.l || f.h || s.r), f.proof || s.l || s.r FROM fold f JOIN near s ON s.grp = f.grp AND s.lv = f.lv AND s.pos = f.pos),
+below AS (SELECT f.* FROM fold f JOIN heights t ON t.grp = f.grp AND t.top = f.lv),
+climb(k, grp, lv, pos, h, proof) AS (
+  SELECT k, grp, 0, grp, h, proof FROM below
+  UNION ALL SELECT c.k, c.grp, c.lv + 1, c.pos // 16, sha256(s.l || c.h || s.r), c.proof || s.l || s.r FROM climb c JOIN far s ON s.lv = c.lv AND s.pos = c.pos),
+done AS (SELECT c.* FROM climb c WHERE c.lv = (SELECT max(lv) FROM high))
+SELECT p.doc_id, p.leaf, t.h AS subroot, r.h AS root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = r.h AS verified
+FROM numbered p JOIN done d USING (k) JOIN tops t ON t.pos = p.grp JOIN high r ON r.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_warc": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
