@@ -139,7 +139,7 @@ class Hub:
     def plan_backup(self, name: str, target: str, filter_in: list[str] = (), filter_out: list[str] = (), max_bytes: int = backup.VOLUME_BYTES) -> DataFrame:
         """The volumes by the snapshot's sizes, and whether each source is there; when the backup runs, missing ones add no bytes."""
         packed = backup.pack(self.select(name, filter_in, filter_out), ["snapshot"], ["seq", "pos"], max_bytes)
-        return backup.manifest(backup.with_sources(packed), target)
+        return backup.manifest(backup.with_sources(backup.volumes(packed, ["snapshot"])), target)
 
     def run_backup(self, name: str, target: str, kind: str = "zip", filter_in: list[str] = (), filter_out: list[str] = (), max_bytes: int = backup.VOLUME_BYTES) -> DataFrame:
         """Writes the backup and its log; returns the log's lines. What the tasks did is written first, so it is done once."""
@@ -147,7 +147,8 @@ class Hub:
         if kind == "folder":
             done = backup.copy_folder(files, target)
         else:
-            done = backup.write_zip(backup.pack(backup.with_sources(files), ["snapshot"], ["seq", "pos"], max_bytes), target)
+            packed = backup.pack(backup.with_sources(files), ["snapshot"], ["seq", "pos"], max_bytes)
+            done = backup.write_zip(backup.volumes(packed, ["snapshot"]), target)
         at = f"{self.data_path}/backups/{began}-{uuid.uuid4().hex}"
         done.write.parquet(at)
         done = self.spark.read.parquet(at)

@@ -103,3 +103,22 @@ def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: d
     met = table.join(F.broadcast(offsets), PART, "left")
     more = lambda n: F.when(F.col(OPEN) & F.col(f"__add_{n}").isNotNull(), F.greatest(n, f"__add_{n}") if n in highs else F.col(n) + F.col(f"__add_{n}")).otherwise(F.col(n))
     return met.select(*columns, PART, ROW, *[more(n).alias(n) for n in names])
+
+
+def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows of one ``key`` after another, from batches sorted by it; holds one group at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cuts = np.flatnonzero(new_runs([b.column(key)], last)).tolist()
+        for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if a in cuts and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if z > a:
+                held.append(b.slice(a, z - a))
+        last = (b.column(key)[b.num_rows - 1].as_py(),)
+    if held:
+        yield pa.Table.from_batches(held)

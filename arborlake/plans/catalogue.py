@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import paths
 from arborlake.operators import backup, content, groups, search, tree
-from arborlake.sources import filesystem, snapshots
+from arborlake.sources import filesystem, indexed, snapshots
 from arborlake.plans.testviews import document_dirs, document_files, document_tree, event_log, label_groups, table
 from arborlake.sources.filesystem import without_prefixes
+from arborlake.sources.scratch import fresh
 from arborlake.streaming.replay import current, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,9 +284,25 @@ def q_pack(spark, d):
     return _packed(spark, d).select("source", "seq", "size", "zip_index")
 
 
-@query(f"{_PACK} SELECT full_path AS src_path, '/backup/' || printf('backup_%03d.zip', zip_index) AS dest_path, ltrim(full_path, '/') AS member, size AS filesize, 'zip' AS action FROM pk JOIN n USING (source, r)")
+@query(f"""{_PACK}, used AS (SELECT source, max(zip_index) + 1 AS n FROM pk GROUP BY source),
+offsets AS (SELECT source, CAST(coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM used)
+SELECT full_path AS src_path, '/backup/' || printf('backup_%03d.zip', first + zip_index) AS dest_path, ltrim(full_path, '/') AS member, size AS filesize, 'zip' AS action FROM pk JOIN n USING (source, r) JOIN offsets USING (source)""")
 def q_backup_manifest(spark, d):
-    return backup.manifest(_packed(spark, d), "/backup/")
+    """Each source is packed by itself; volumes are numbered over all of them."""
+    return backup.manifest(backup.volumes(_packed(spark, d), ["snapshot"]), "/backup/")
+
+
+_PACK_ALL = f"""WITH RECURSIVE {FILES}, n AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM files),
+pk(r, zip_index, held) AS (SELECT r, CAST(0 AS BIGINT), CASE WHEN seq % 7 = 3 THEN 0 ELSE size END FROM n WHERE r = 1 UNION ALL
+  SELECT n.r, CASE WHEN held > 0 AND held + size > 20000 THEN zip_index + 1 ELSE zip_index END,
+    CASE WHEN held > 0 AND held + size > 20000 THEN 0 ELSE held END + CASE WHEN seq % 7 = 3 THEN 0 ELSE size END FROM pk JOIN n ON n.r = pk.r + 1)"""
+
+
+@query(f"{_PACK_ALL} SELECT seq, size, zip_index FROM pk JOIN n USING (r)")
+def q_pack_whole(spark, d):
+    """All documents as one key in small blocks; every seventh file's source is missing, so it adds no bytes."""
+    files = document_files(spark, d).withColumn("source_exists", F.col("seq") % 7 != 3)
+    return backup.pack(files, [], ["seq"], 20000, block=256).select("seq", "size", "zip_index")
 
 
 @query(f"WITH {FILES} SELECT source, seq, CAST(floor(row_number() OVER (PARTITION BY source ORDER BY seq) * 100 / count(*) OVER (PARTITION BY source)) AS BIGINT) AS percent FROM files")
@@ -335,20 +350,10 @@ def q_short_path(spark, d):
     return table(spark, d, "events").select("event_id", paths.shortened(long, 40).alias("short"))
 
 
-def _fresh(spark) -> str:
-    """A new folder below the one that all machines share; on one machine, where none is set, below its own temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/arborlake-{uuid.uuid4().hex}"
-
-
 @query()
 def q_stream_replay(spark, d):
     """The log read as a stream; equal to q_group_replay."""
-    folder = _fresh(spark)
+    folder = fresh(spark)
     schema = table(spark, d, "events").schema
     files = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -367,7 +372,7 @@ ORACLES["q_stream_replay"] = ORACLES["q_group_replay"]
 @query(ORACLES["q_group_replay"])
 def q_log_append(spark, d):
     """The log appended in three batches, the smallest last, and read back."""
-    path, log = f"{_fresh(spark)}/x_groups.jl", event_log(spark, d)
+    path, log = f"{fresh(spark)}/x_groups.jl", event_log(spark, d)
     ends = log.agg(F.max("seq")).first()[0] or 0
     for low, high in ((-1, ends // 2), (ends // 2, ends - 5), (ends - 5, ends)):
         snapshots.append_group_actions(log.where((F.col("seq") > low) & (F.col("seq") <= high)).orderBy("seq"), path)
@@ -383,7 +388,7 @@ def q_snapshot_reload(spark, d):
     numbered = dirs.select("path", F.row_number().over(Window.partitionBy("snapshot").orderBy("path")).alias("n"))  # few directories
     line = lambda df, on: df.drop("seq").join(numbered.select(F.col("path").alias(on), (F.col("n") - 1).cast("long").alias("seq")), on)
     rows = line(entries, "parent").withColumn("pos", F.row_number().over(Window.partitionBy("parent", "kind").orderBy("name")))
-    path = f"{_fresh(spark)}/snapshot_1_1.jsonl.gz"
+    path = f"{fresh(spark)}/snapshot_1_1.jsonl.gz"
     snapshots.write_snapshot(line(dirs, "path"), rows, path, {"os_name": "Linux", "device_name": "d"})
     read = snapshots.read_lines(spark, path)
     return snapshots.entries_of(read).select("snapshot", "kind", "parent", "name", "full_path", "size")
@@ -393,7 +398,7 @@ def q_snapshot_reload(spark, d):
 def q_snapshot_metadata(spark, d):
     dirs, entries = document_tree(spark, d)
     dirs = dirs.withColumn("seq", F.length("path").cast("long"))
-    path = f"{_fresh(spark)}/snapshot_1_1.jsonl.gz"
+    path = f"{fresh(spark)}/snapshot_1_1.jsonl.gz"
     snapshots.write_snapshot(dirs, entries.drop("seq").join(dirs.select(F.col("path").alias("parent"), "seq"), "parent"), path, {"os_name": "Linux", "device_name": "dev", "start_scan_time": 7, "unknown": 1})
     return snapshots.metadata(snapshots.read_lines(spark, path)).select("snapshot", "root", "device_name", "os_name", "start_scan_time", "finish_scan_time")
 
@@ -422,7 +427,7 @@ def q_last_of_path(spark, d):
 @query("SELECT s_name AS device_name, 'host' || (s_suppkey % 3) AS host_name, s_nationkey AS memory_size FROM supplier")
 def q_devices(spark, d):
     """Suppliers as devices of three hosts, appended to the hosts' files and read back."""
-    folder = _fresh(spark)
+    folder = fresh(spark)
     devices = table(spark, d, "supplier").select(F.col("s_name").alias("device_name"), F.concat(F.lit("host"), F.col("s_suppkey") % 3).alias("host_name"), F.col("s_nationkey").cast("long").alias("memory_size"))
     for name in ("host0", "host1", "host2"):
         snapshots.append_device(devices.where(F.col("host_name") == name), folder, name)
@@ -432,7 +437,7 @@ def q_devices(spark, d):
 @query("SELECT p_name AS name, p_brand AS device_id, CAST(p_size AS BIGINT) AS size, CAST(NULL AS BIGINT) AS created FROM part")
 def q_media(spark, d):
     """Parts as the media of a host, written twice, the second time in place of the first."""
-    folder = _fresh(spark)
+    folder = fresh(spark)
     media = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("device_id"), F.col("p_size").cast("long").alias("size"), F.lit(None).cast("long").alias("created"))
     snapshots.write_media(media.where("size > 10"), folder, "h")
     snapshots.write_media(media, folder, "h")
@@ -457,11 +462,34 @@ def q_duplicate_members(spark, d):
 
 
 @query(f"""WITH {FILES}, ds AS (SELECT DISTINCT '/' AS path, source AS name FROM files UNION SELECT DISTINCT '/' || source, lang FROM files),
-f AS (SELECT parent AS path, to_json(list(name ORDER BY name)) AS names, to_json(list(size ORDER BY name)) AS sizes, '[' || array_to_string(list('[null,null,null]'), ',') || ']' AS times FROM files GROUP BY parent),
-g AS (SELECT path, to_json(list(name ORDER BY name)) AS names, '[' || array_to_string(list('[null,null,null]'), ',') || ']' AS times FROM ds GROUP BY path)
-SELECT path AS p, CAST(length('{{"p":"","f":,"d":,"t":,"T":,"s":}}') + length(path) + length(coalesce(CAST(f.names AS VARCHAR), '[]')) + length(coalesce(CAST(g.names AS VARCHAR), '[]')) + length(coalesce(f.times, '[]')) + length(coalesce(g.times, '[]')) + length(coalesce(CAST(sizes AS VARCHAR), '[]')) AS BIGINT) AS compressed_length
-FROM f FULL JOIN g USING (path)""")
+f AS (SELECT parent AS path, list(name) AS names, list(size) AS sizes FROM files GROUP BY parent),
+g AS (SELECT path, list(name) AS names FROM ds GROUP BY path),
+lines AS (SELECT path, '{{"f": [' || coalesce(array_to_string(list_transform(f.names, lambda x: '"' || x || '"'), ', '), '') || '], "d": [' || coalesce(array_to_string(list_transform(g.names, lambda x: '"' || x || '"'), ', '), '')
+  || '], "t": [' || coalesce(array_to_string(list_transform(f.names, lambda x: '[null, null, null]'), ', '), '') || '], "T": [' || coalesce(array_to_string(list_transform(g.names, lambda x: '[null, null, null]'), ', '), '')
+  || '], "s": [' || coalesce(array_to_string(sizes, ', '), '') || ']}}' AS line FROM f FULL JOIN g USING (path))
+SELECT path AS p, length(line) AS compressed_length FROM lines""")
 def q_index_projection(spark, d):
     dirs, entries = document_tree(spark, d)
     rows = entries.drop("seq").join(dirs.select(F.col("path").alias("parent"), "seq"), "parent")
     return snapshots.index_projection(dirs, rows).select("p", "compressed_length")
+
+
+def _directory_each(spark, d):
+    """``documents`` with a directory for each, as (dirs, entries)."""
+    docs, none = document_files(spark, d), F.lit(None).cast("long")
+    path = F.concat("parent", F.lit("/"), "seq")
+    files = docs.select("snapshot", "seq", F.lit(0).alias("pos"), "kind", path.alias("parent"), "name", F.concat(path, F.lit("/"), "name").alias("full_path"), "size", none.alias("created"), none.alias("modified"), none.alias("accessed"))
+    return docs.select("snapshot", "seq", path.alias("path"), F.lit("/").alias("root"), F.lit("Linux").alias("os_name")), files
+
+
+@query(f"WITH {FILES} SELECT 'documents' AS part, parent || '/' || seq AS parent, name, size FROM files WHERE seq % 100 = 7 UNION ALL SELECT 'all', NULL, NULL, CAST(sum(size) AS BIGINT) FROM files")
+def q_indexed_snapshot(spark, d):
+    """A snapshot of a directory per document written with an index; a hundredth looked up by path, and all read by ranges."""
+    dirs, entries = _directory_each(spark, d)
+    folder = fresh(spark)
+    indexed.write_indexed(dirs, entries, folder, {"os_name": "Linux"})
+    wanted = dirs.where("seq % 100 = 7").select(F.col("path").alias("p"))
+    files = lambda lines: lines.select(F.col("p").alias("parent"), F.inline(F.arrays_zip(F.col("f").alias("name"), F.col("s").alias("size"))))
+    some = files(indexed.read_indexed(spark, folder, wanted)).select(F.lit("documents").alias("part"), "parent", "name", "size")
+    every = files(indexed.read_indexed(spark, folder)).agg(F.sum("size").alias("size"))
+    return some.unionByName(every.select(F.lit("all").alias("part"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), "size"))

@@ -29,11 +29,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     filled = spark.read.text(path).select("value", "_metadata.file_name").where(F.trim("value") != "")
     text = filled.select(F.regexp_extract("file_name", r"^(.*?)\.jsonl\.gz$", 1).alias("snapshot"), F.monotonically_increasing_id().alias("id"), "value")
     first = text.groupBy("snapshot").agg(F.min("id").alias("first"))
+    rows = text.join(F.broadcast(first), "snapshot")
+    return parsed(rows.select("snapshot", (F.col("id") - F.col("first")).alias("seq"), "value"))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The fields of numbered lines (snapshot, seq, value) and the metadata that line 0 has."""
     doc = F.parse_json("value")
     fields = {k if k != "T" else "dir_times": F.variant_get(doc, f"$.{k}", kind) for k, kind in LINE.items()}
     meta = {k: F.variant_get(doc, f"$.{k}", kind) for k, kind in META.items()}
-    rows = text.join(F.broadcast(first), "snapshot")
-    return rows.select("snapshot", (F.col("id") - F.col("first")).alias("seq"), *[v.alias(k) for k, v in fields.items()], *[v.alias(k) for k, v in meta.items()])
+    return lines.select("snapshot", "seq", *[v.alias(k) for k, v in fields.items()], *[v.alias(k) for k, v in meta.items()])
 
 
 def metadata(lines: DataFrame) -> DataFrame:
@@ -92,9 +97,28 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("snapshot").parquet(path)
 
 
+def _ascii_length(text):
+    """Characters of a text as a JSON string in ASCII: quotes, short escapes of two and code units of six."""
+    wide = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "xxxxxxxxxxxx")
+    short = F.regexp_replace(wide, r'[\x08\t\n\f\r"\\]', "xx")
+    return F.length(F.regexp_replace(short, r"[^\x20-\x7E]", "xxxxxx")) + 2
+
+
 def index_projection(dirs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(snapshot, p, compressed_length): each directory and the length of its line as JSON."""
-    return to_lines(dirs, entries).join(dirs.select("snapshot", "seq", "path"), ["snapshot", "seq"]).select("snapshot", F.col("path").alias("p"), F.length("value").cast("long").alias("compressed_length"))
+    """(snapshot, p, compressed_length): each directory and the length of its line without the path, as JSON in ASCII with ", " and ": ".
+
+    The lengths are sums over the entries, so a directory of any size is added up where its entries are.
+    """
+    number = lambda c: F.coalesce(F.length(F.col(c).cast("string")), F.lit(4))
+    stamp = number("created") + number("modified") + number("accessed") + 6
+    file = F.col("kind") == "f"
+    each = _ascii_length(F.col("name")) + stamp + 4 + F.when(file, F.length(F.coalesce("size", F.lit(0)).cast("string")) + 2).otherwise(0)
+    sums = entries.groupBy("snapshot", "seq").agg(F.sum(each).alias("chars"), F.count_if(file).alias("nf"), F.count_if(~file).alias("nd"))
+    met = dirs.join(sums, ["snapshot", "seq"], "left")
+    # A list of n has n - 1 separators of two; three lists are of files, two of subdirectories.
+    less = F.when(F.col("nf") > 0, 6).otherwise(0) + F.when(F.col("nd") > 0, 4).otherwise(0)
+    empty = len(json.dumps({"f": [], "d": [], "t": [], "T": [], "s": []}))
+    return met.select("snapshot", F.col("path").alias("p"), (F.lit(empty) + F.coalesce(F.col("chars") - less, F.lit(0))).cast("long").alias("compressed_length"))
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:

@@ -160,7 +160,7 @@ def test_scan_write_read_and_back_up(spark, tmp_path):
     twice = content.duplicates(hashed.join(entries, F.col("file_path") == F.col("full_path"))).collect()
     assert [(r.copies, r.size, r.wasted) for r in twice] == [(2, 3, 3)]
     files = entries.where("kind = 'f'")
-    done = backup.write_zip(backup.pack(files, ["snapshot"], ["seq", "pos"], 5), str(tmp_path / "zips")).collect()
+    done = backup.write_zip(backup.volumes(backup.pack(files, ["snapshot"], ["seq", "pos"], 5), ["snapshot"]), str(tmp_path / "zips")).collect()
     assert {r.result for r in done} == {"success"}
     inside = [n for z in os.listdir(tmp_path / "zips") for n in zipfile.ZipFile(tmp_path / "zips" / z).namelist()]
     assert len(inside) == 4
