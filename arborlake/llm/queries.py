@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontamination, html_text, jaccard_join, merkle, neighbours, prefix_trie, quality, repeated_spans, sentencepiece_unigram, token_files, url_filter, warc
+from arborlake.llm import decontamination, html_text, jaccard_join, lm_score, merkle, neighbours, prefix_trie, quality, repeated_spans, sentencepiece_unigram, token_files, url_filter, warc
 
 END_ID = 2
 
@@ -95,8 +95,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(_table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_jaccard_join, op4_token_files, op5_repeated_spans, op6_sentencepiece, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality, op11_prefix_trie, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_jaccard_join, op4_token_files, op5_repeated_spans, op6_sentencepiece, op7_nearest_neighbours, op8_html_text, op9_warc, op10_quality, op11_prefix_trie, op12_merkle_manifest, op13_lm_score)}
 
 
 OP1_SQL = r"""
