@@ -41,7 +41,7 @@ def numbered(conversations: DataFrame) -> DataFrame:
     """(conv_id, place from 1 on, key, words): each turn's digest and its number of words."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.unhex(F.sha2(role, 256)).alias("role_sha"), F.unhex(F.sha2(text, 256)).alias("text_sha"), F.left(role, F.lit(64)).alias("role"), F.left(text, F.lit(64)).alias("begin"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
-    ranked = running(rows, ["conv_id"], ["turn", "role", "role_sha", "begin", "text_sha"], rank="rank")
+    ranked = running(written(rows), ["conv_id"], ["turn", "role", "role_sha", "begin", "text_sha"], rank="rank")
     return ranked.select("conv_id", (F.col("rank") + 1).alias("place"), F.concat("role_sha", "text_sha").alias("key"), "words")
 
 
