@@ -135,7 +135,7 @@ def pack(files: DataFrame, keys: list[str], order: list[str], max_bytes: int = V
     the key's begin by pointer doubling. Then every block numbers its own files.
     """
     there = F.coalesce("source_exists", F.lit(False)) if "source_exists" in files.columns else F.lit(True)
-    size = F.coalesce("size", F.lit(0)).cast("long")
+    size, names = F.coalesce("size", F.lit(0)).cast("long"), files.columns
     sized = files.withColumns({"__key": F.to_json(F.struct(*keys)) if keys else F.lit(""), "__adds": F.when(there, size).otherwise(F.lit(0).cast("long")), "__size": F.least(size, F.lit(max_bytes))})
     placed = running(sized, ["__key"], order, {"__sum": "__adds"}, rank="__rank")
     before = F.col("__sum") - F.col("__adds")
@@ -165,7 +165,7 @@ def pack(files: DataFrame, keys: list[str], order: list[str], max_bytes: int = V
                 while at < z - a:
                     index[a + at : a + following[at]] = volume
                     at, volume = following[at], (volume + 1)
-            out = table.select(files.columns).append_column("zip_index", pa.array(index, pa.int64()))
+            out = table.select(names).append_column("zip_index", pa.array(index, pa.int64()))
             yield from out.to_batches(max_chunksize=1 << 16)
 
     dealt = rows.repartition("__block").sortWithinPartitions("__block", "__row")

@@ -91,7 +91,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: d
     added, total, last = [], None, None
     for e in ends:  # one a partition
         carry = total if last is not None and tuple(e.first) == last else None
-        if carry and any(carry):
+        if carry and (highs or any(carry)):
             added.append((e[PART], *carry))
         done = [e.end[n] + (1 if n == rank else 0) for n in names]
         if carry and e.end[OPEN]:

@@ -10,7 +10,7 @@ from arborlake.operators.ordered import running
 @pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
 def test_running_is_a_loop(spark, share):
     rng = random.Random(int(share * 10))
-    rows = [(None if rng.random() < 0.1 else "hot" if rng.random() < share else f"k{rng.randrange(9)}", i, rng.randrange(-5, 9)) for i in range(3000)]
+    rows = [(None if rng.random() < 0.1 else "hot" if rng.random() < share else f"k{rng.randrange(9)}", i, rng.randrange(-9, 1)) for i in range(3000)]
     want, state = [], {}
     for k, i, v in sorted(rows, key=lambda r: r[1]):
         n, s, m = state.get(k, (0, 0, None))
