@@ -236,10 +236,17 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns."""
-    spark = docs.sparkSession
+    """The documents that hold no window of the benchmark, with all their columns.
+
+    A stage holds one block of the benchmark: what is left is written to the shared folder between two, and a block's
+    broadcast is freed when the next one's documents are there.
+    """
+    spark, before = docs.sparkSession, None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(BenchmarkBlock(items, window))
+        if before is not None:
+            docs = written(docs)
+            before.destroy()
+        before = shared = spark.sparkContext.broadcast(BenchmarkBlock(items, window))
 
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part, texts in pieces(batches, text_col, SHARD_BYTES):

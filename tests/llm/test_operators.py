@@ -58,6 +58,10 @@ def test_decontamination_matches_brute_force(spark):
     assert sorted(in_blocks, key=repr) == sorted(want, key=repr)
     kept = decontamination.decontaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[-2] for w in want)
+    by_blocks = decontamination.decontaminated(docs, bench, block_bytes=40)
+    assert len(list(decontamination._blocks(bench, "item_id", "text", 40))) >= 8
+    assert by_blocks._jdf.queryExecution().toString().count("MapInArrow") <= kept._jdf.queryExecution().toString().count("MapInArrow")
+    assert sorted(map(tuple, by_blocks.collect()), key=repr) == sorted(map(tuple, kept.collect()), key=repr)
     longest = decontamination.verbatim_matches(docs, bench).where("doc_id = 500").collect()
     assert {(r.item_id, r.item_start, r.doc_start, r.n_words) for r in longest} >= {("0", 0, 0, len(toks(items[0][1])))}
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
