@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.ordered import PART, ROW, running
+
 CHUNK = 1 << 20
 
 
@@ -68,7 +70,31 @@ def at_risk(held: DataFrame, devices: DataFrame) -> DataFrame:
     return replicas(held, devices).where("replicas = 1 OR mobile_only")
 
 
+#: Rows up to which a page is the end of a sort that keeps no more than so many per task.
+TOP_ROWS = 10_000
+
+
+class Ranking:
+    """The files by falling size, ties by path, sorted by range once; a page reads the one or two ranges that hold it."""
+
+    def __init__(self, files: DataFrame) -> None:
+        self.table = running(files, [], [F.desc("size"), F.asc("full_path")])
+        self.columns = files.columns
+        self.counts = [(r[0], r[1]) for r in self.table.groupBy(PART).count().orderBy(PART).collect()]  # one row a range
+
+    def page(self, page: int = 0, per_page: int = 20) -> DataFrame:
+        first, wanted, at = page * per_page, F.lit(False), 0
+        for part, n in self.counts:
+            low, high = max(first - at, 0), min(first + per_page - at, n)
+            if low < high:
+                wanted = wanted | ((F.col(PART) == part) & (F.col(ROW) >= low) & (F.col(ROW) < high))
+            at += n
+        return self.table.where(wanted).orderBy(PART, ROW).select(*self.columns)
+
+
 def largest(files: DataFrame, page: int = 0, per_page: int = 20) -> DataFrame:
-    """A page of the files by falling size, ties by path; the sort keeps a page's rows per task only."""
+    """A page of the files by falling size, ties by path. Early pages keep a page's rows per task; for later ones all are ranked by range."""
+    if (page + 1) * per_page > TOP_ROWS:
+        return Ranking(files).page(page, per_page)
     ordered = files.orderBy(F.desc("size"), "full_path")
     return ordered.offset(page * per_page).limit(per_page) if page else ordered.limit(per_page)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import paths
-from arborlake.operators import backup, content, groups, search, tree
+from arborlake.operators import backup, content, groups, name_index, search, staged, tree
 from arborlake.sources import filesystem, indexed, snapshots
 from arborlake.plans.testviews import document_dirs, document_files, document_tree, event_log, label_groups, table
 from arborlake.sources.filesystem import without_prefixes
-from arborlake.sources.scratch import fresh
+from arborlake.sources.scratch import fresh, kept
 from arborlake.streaming.replay import current, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,10 +362,8 @@ def q_stream_replay(spark, d):
     log = files.select(F.lit("events").alias("snapshot"), F.col("event_id").alias("seq"), F.concat(F.lit("/u/"), F.col("user_id")).alias("path"), F.lit("f").alias("kind"), F.concat(F.lit("g"), F.pmod(k, F.lit(5))).alias("group"), F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
     stream = start(log, f"{folder}/state", f"{folder}/checkpoint")
     stream.processAllAvailable()
-    done = stream.lastProgress
     stream.stop()
-    last = max([p["batchId"] for p in stream.recentProgress if p["numInputRows"]], default=-1) if done else -1
-    return current(spark, f"{folder}/state", last).select(F.col("group").alias("grp"), "path")
+    return current(spark, f"{folder}/state").select(F.col("group").alias("grp"), "path")
 
 
 ORACLES["q_stream_replay"] = ORACLES["q_group_replay"]
@@ -493,3 +493,77 @@ def q_indexed_snapshot(spark, d):
     some = files(indexed.read_indexed(spark, folder, wanted)).select(F.lit("documents").alias("part"), "parent", "name", "size")
     every = files(indexed.read_indexed(spark, folder)).agg(F.sum("size").alias("size"))
     return some.unionByName(every.select(F.lit("all").alias("part"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), "size"))
+
+
+@query(f"WITH {FILES}, p AS (SELECT '/' || source || '/' || lang || '/doc_' || labels.doc_id AS prefix FROM labels JOIN documents USING (doc_id) WHERE quality = 0) SELECT full_path, size FROM files WHERE NOT EXISTS (SELECT 1 FROM p WHERE starts_with(full_path, prefix))")
+def q_skip_prefix_many(spark, d):
+    """A prefix for every document of low quality; as raw prefixes they cover documents whose numbers begin alike, too."""
+    files = document_files(spark, d)
+    low = files.join(table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("seq")), "seq", "left_semi")
+    return without_prefixes(files, low.select(F.regexp_replace("full_path", r"\.txt$", "").alias("prefix"))).select("full_path", "size")
+
+
+@query(f"""WITH r AS (SELECT '/' || host || p AS path FROM (SELECT {_URL} FROM pages)), o AS (SELECT path, count(*) AS n_same FROM r GROUP BY path)
+SELECT a.path, a.n_same, count(*) FILTER (starts_with(a.path, b.path || '/')) AS n_above, count(*) FILTER (starts_with(b.path, a.path || '/')) AS n_below FROM o a, o b GROUP BY a.path, a.n_same""")
+def q_scan_overlaps(spark, d):
+    """The directory of every page as the root of a scan: how many others hold it or lie in it."""
+    url = F.col("url")
+    path = F.concat(F.lit("/"), F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1), F.rtrim(F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/")))
+    return filesystem.overlaps(table(spark, d, "pages").select(path.alias("path"), F.lit("Linux").alias("os_name")))
+
+
+@query(f"WITH {FILES}, r AS (SELECT full_path, size, row_number() OVER (ORDER BY size DESC, full_path) AS n FROM files) SELECT full_path, size FROM r WHERE n > 420 AND n <= 440")
+def q_largest_page_far(spark, d):
+    """A late page of a ranking that is sorted once."""
+    return content.Ranking(document_files(spark, d).select("full_path", "size")).page(21)
+
+
+def _name_index(spark, d):
+    """An index over the entries of the document tree, directories among them, and over the names of parts."""
+    _, entries = document_tree(spark, d)
+    none = F.lit(None).cast("long")
+    parts = table(spark, d, "part").select(F.lit("parts").alias("snapshot"), F.col("p_partkey").alias("seq"), F.lit(0).alias("pos"), F.lit("f").alias("kind"), F.lit("/").alias("parent"), F.col("p_name").alias("name"), F.concat(F.lit("/"), "p_name").alias("full_path"), F.col("p_size").cast("long").alias("size"), none.alias("created"), none.alias("modified"), none.alias("accessed"))
+    folder = fresh(spark)
+    name_index.build(entries.unionByName(parts), folder)
+    return folder
+
+
+_NAMED = f"""WITH {FILES}, ds AS (SELECT DISTINCT source AS name, '/' AS parent FROM files UNION SELECT DISTINCT lang, '/' || source FROM files),
+named AS (SELECT 'file' AS type, name, parent AS path, size FROM files UNION ALL SELECT 'directory', name, parent, NULL FROM ds UNION ALL SELECT 'file', p_name, '/', CAST(p_size AS BIGINT) FROM part)"""
+#: Terms of the three kinds: long ones, short ones, and one that both files and directories have.
+_TERMS = {"contains": "rc1", "short": "9", "starts": "starts:SRC", "ends": "ends:7.txt", "parts": "an", "none": "zzzz"}
+
+
+@query(f"""{_NAMED} SELECT 'contains' AS term, * FROM named WHERE contains(lower(name), 'rc1') UNION ALL SELECT 'short', * FROM named WHERE contains(lower(name), '9')
+UNION ALL SELECT 'starts', * FROM named WHERE starts_with(lower(name), 'src') UNION ALL SELECT 'ends', * FROM named WHERE suffix(lower(name), '7.txt')
+UNION ALL SELECT 'parts', * FROM named WHERE contains(lower(name), 'an') UNION ALL SELECT 'none', * FROM named WHERE contains(lower(name), 'zzzz')""")
+def q_search_indexed(spark, d):
+    folder, out = _name_index(spark, d), None
+    for term, text in _TERMS.items():
+        hits = name_index.indexed_search(spark, folder, text).select(F.lit(term).alias("term"), "type", "name", "path", "size")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("""WITH h AS (SELECT doc_id, strlen(text) AS size, sha256(text) AS hash, count(*) OVER (PARTITION BY strlen(text)) AS of_size, count(*) OVER (PARTITION BY text) AS copies FROM documents)
+SELECT doc_id, CAST(size AS BIGINT) AS size, copies > 1 AS twice, CASE WHEN of_size > 1 THEN CAST(least(size, 512) + CASE WHEN size > 512 AND ends > 1 THEN size ELSE 0 END AS BIGINT) ELSE 0 END AS bytes_read
+FROM h JOIN (SELECT doc_id, count(*) OVER (PARTITION BY strlen(text), CASE WHEN strlen(text) <= 512 THEN encode(text) ELSE encode(text)[1:256] || encode(text)[strlen(text) - 255 : strlen(text)] END) AS ends FROM documents) USING (doc_id)""")
+def q_staged_duplicates(spark, d):
+    """Every document written as a file of its own; ends of 256 bytes, ranges of 1,000."""
+    folder = fresh(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+
+    def write(batches):
+        store, at = pafs.FileSystem.from_uri(folder)
+        store.create_dir(at)
+        for b in batches:
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            names = [f"{folder}/{i}" for i in b.column("doc_id").to_pylist()]
+            for name, text in zip(names, texts, strict=True):
+                with store.open_output_stream(f"{at}/{name.rpartition('/')[2]}", compression=None) as out:
+                    out.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(t) for t in texts], pa.int64())], names=["full_path", "size"])
+
+    files = kept(docs.mapInArrow(write, "full_path string, size long"))
+    found = staged.alike(files, ends=256, most=1000)
+    return found.select(F.regexp_extract("full_path", r"(\d+)$", 1).cast("long").alias("doc_id"), "size", F.col("digest").isNotNull().alias("twice"), "bytes_read")

@@ -1,45 +1,115 @@
-"""The group log as a stream: each micro-batch's last actions are merged into the state table."""
+"""The group log as a stream: the state store has each member's last action, and a batch writes what it changes.
+
+A batch costs its own lines, not the whole state. Lines count by their place in the log, so late and repeated lines change
+nothing. Changes go into a folder per batch, which a batch that runs again replaces, and are folded into one table
+from time to time; the record of the last batch says which folders have to be there.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from arborlake.sources.single import exists, remove
 
 STATE = "snapshot string, group string, kind string, path string, action string, seq bigint"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches after which their changes are folded into one table.
+FOLD = 50
 
 
 def last_actions(log: DataFrame) -> DataFrame:
-    """The last action of each member by line order; a streamed log is merged batch by batch (``start``)."""
+    """The last action of each member by line order."""
     known = log.where(F.col("action").isin("add", "del"))
     return known.groupBy("snapshot", "group", "kind", "path").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
 
 
-def _version(folder: str, batch: int) -> str:
-    return f"{folder}/version={batch}"
+class LastAction(StatefulProcessor):
+    """Keeps (action, seq) of a member and passes on what is later than that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", StructType([StructField("action", StringType()), StructField("seq", LongType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        best = self.last.get() if self.last.exists() else None
+        before = best
+        for part in rows:
+            at = part["seq"].idxmax()
+            if best is None or part["seq"][at] > best[1]:
+                best = (part["action"][at], int(part["seq"][at]))
+        if best is not None and best != before:
+            self.last.update(best)
+            names = ("snapshot", "group", "kind", "path")
+            yield pd.DataFrame({**{n: [None if pd.isna(k) else k] for n, k in zip(names, key, strict=True)}, "action": [best[0]], "seq": [best[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def _at(folder: str, batch: int) -> str:
+    return f"{folder}/changes/batch={batch}"
+
+
+def _recorded(spark: SparkSession, folder: str) -> dict:
+    """{"last": last batch written, "folded": the batch up to which changes are in one table}, -1 before the first; of the newest record."""
+    if not exists(spark, f"{folder}/record"):
+        return {"last": -1, "folded": -1}
+    rows = spark.read.text(f"{folder}/record/*").collect()  # FOLD lines at most
+    return max((json.loads(r.value) for r in rows), key=lambda r: r["last"], default={"last": -1, "folded": -1})
+
+
+def _record(spark: SparkSession, folder: str, record: dict) -> None:
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/record/at={record['last']}")
+
 
+def start(log: DataFrame, folder: str, checkpoint: str, fold: int = FOLD) -> StreamingQuery:
+    """Keeps the changes in ``folder`` and returns the query; ``log`` is the stream (snapshot, seq, path, kind, group, action)."""
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    known = log.where(F.col("action").isin("add", "del")).select("snapshot", "group", "kind", "path", "action", F.col("seq").cast("long").alias("seq"))
+    changed = known.groupBy("snapshot", "group", "kind", "path").transformWithStateInPandas(LastAction(), STATE, "Update", "None")
 
-def start(log: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the state table in ``folder`` at the log's state and returns the query.
+    def write(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        batch.write.mode("overwrite").parquet(_at(folder, number))
+        record = _recorded(s, folder)
+        if record["last"] >= number:  # the batch ran before and was recorded
+            return
+        record["last"] = number
+        if number - record["folded"] >= fold:
+            last_actions(_changes(s, folder, record)).write.mode("overwrite").parquet(f"{folder}/folded={number}")
+            old, record["folded"] = record["folded"], number
+            _record(s, folder, record)
+            for b in range(old + 1, number):
+                remove(s, _at(folder, b))
+                remove(s, f"{folder}/record/at={b}")
+            remove(s, f"{folder}/folded={old}")
+            remove(s, f"{folder}/record/at={old}")
+        else:
+            _record(s, folder, record)
 
-    A batch's actions are reduced, merged with the version before and written as the next version, all
-    in the tasks; a batch that runs again writes its version anew from the same one before it.
-    """
+    return changed.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, last_actions(batch)
-        if exists(spark, _version(folder, number - 1)):
-            new = last_actions(new.unionByName(spark.read.schema(STATE).parquet(_version(folder, number - 1))))
-        new.write.mode("overwrite").parquet(_version(folder, number))
-        remove(spark, _version(folder, number - 2))  # no batch reads it again
 
-    return log.writeStream.foreachBatch(merge).outputMode("append").option("checkpointLocation", checkpoint).start()
+def _changes(spark: SparkSession, folder: str, record: dict) -> DataFrame:
+    parts = ([f"{folder}/folded={record['folded']}"] if record["folded"] >= 0 else []) + [_at(folder, b) for b in range(record["folded"] + 1, record["last"] + 1)]
+    missing = [p for p in parts if not exists(spark, p)]
+    if missing:
+        raise FileNotFoundError("the state is not whole: " + ", ".join(missing))
+    return spark.read.schema(STATE).parquet(*parts)
 
 
-def current(spark: SparkSession, folder: str, last: int) -> DataFrame:
-    """The members after batch ``last``."""
-    if last < 0:
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The members after the last recorded batch."""
+    record = _recorded(spark, folder)
+    if record["last"] < 0:
         return spark.createDataFrame([], STATE).select("snapshot", "group", "kind", "path")
-    return spark.read.schema(STATE).parquet(_version(folder, last)).where("action = 'add'").select("snapshot", "group", "kind", "path")
+    return last_actions(_changes(spark, folder, record)).where("action = 'add'").select("snapshot", "group", "kind", "path")
