@@ -327,22 +327,34 @@ def q_json_log(spark, d):
     return table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-_CASES = [("/", "a", "Linux"), ("/a/", "/b", "Linux"), ("/a", "", "Linux"), ("C:\\", "Users", "Windows"), ("/", "C:", "Windows"), ("C:\\x", "\\y", "Windows"), ("\\a", "b", "Linux"), ("D:/d", "e", None)]
+_JOINED = r"""CASE WHEN os = 'Windows' THEN
+  CASE WHEN base = '/' AND name[2:2] = ':' THEN name || '\' WHEN name = '' THEN replace(base, '/', '\') ELSE rtrim(replace(base, '/', '\'), '\') || '\' || ltrim(name, '\/') END
+  ELSE CASE WHEN name = '' THEN replace(base, '\', '/') ELSE rtrim(replace(base, '\', '/'), '/') || '/' || ltrim(name, '\/') END END"""
 
 
-@query("""SELECT b AS base, n AS name, CASE WHEN o = 'Windows' THEN
-  CASE WHEN b = '/' AND n[2:2] = ':' THEN n || '\\' WHEN n = '' THEN replace(b, '/', '\\') ELSE rtrim(replace(b, '/', '\\'), '\\') || '\\' || ltrim(n, '\\/') END
-  ELSE CASE WHEN n = '' THEN replace(b, '\\', '/') ELSE rtrim(replace(b, '\\', '/'), '/') || '/' || ltrim(n, '\\/') END END AS joined
-FROM (VALUES ('/', 'a', 'Linux'), ('/a/', '/b', 'Linux'), ('/a', '', 'Linux'), ('C:\\', 'Users', 'Windows'), ('/', 'C:', 'Windows'), ('C:\\x', '\\y', 'Windows'), ('\\a', 'b', 'Linux'), ('D:/d', 'e', 'Windows')) v(b, n, o)""")
+@query(rf"""WITH cases AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/' WHEN 1 THEN '/' || source || '/' WHEN 2 THEN 'C:\' || source WHEN 3 THEN '/' WHEN 4 THEN '\' || source ELSE 'D:/' || source END AS base,
+  CASE doc_id % 6 WHEN 0 THEN lang WHEN 1 THEN '/' || lang WHEN 2 THEN '\' || lang WHEN 3 THEN 'C:' WHEN 4 THEN '' ELSE lang END AS name,
+  CASE doc_id % 6 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Linux' WHEN 2 THEN 'Windows' WHEN 3 THEN 'Windows' WHEN 4 THEN 'Linux' ELSE 'Windows' END AS os FROM documents)
+SELECT doc_id, base, name, {_JOINED} AS joined FROM cases""")
 def q_path_join(spark, d):
-    cases = spark.createDataFrame(_CASES, "base string, name string, os string")
-    return cases.select("base", "name", paths.join_path(F.col("base"), F.col("name"), F.col("os")).alias("joined"))
-
-
-@query("SELECT web, native, web2 FROM (VALUES ('/C:/x', 'C:\\x', '/C:/x'), ('C:', 'C:\\', '/C:'), ('/C:', 'C:\\', '/C:'), ('/C://a//b', 'C:\\a\\b', '/C:/a/b'), ('/', '/', '/')) v(web, native, web2)")
+    """Sources and languages as bases and names of both systems; for the last kind the system is found from the base."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id") % 6
+    pick = lambda *v: F.element_at(F.array(*v), (k + 1).cast("int"))
+    source, lang, windows, linux = F.col("source"), F.col("lang"), F.lit("Windows"), F.lit("Linux")
+    base = pick(F.lit("/"), F.concat(F.lit("/"), source, F.lit("/")), F.concat(F.lit("C:\\"), source), F.lit("/"), F.concat(F.lit("\\"), source), F.concat(F.lit("D:/"), source))
+    name = pick(lang, F.concat(F.lit("/"), lang), F.concat(F.lit("\\"), lang), F.lit("C:"), F.lit(""), lang)
+    cases = docs.select("doc_id", base.alias("base"), name.alias("name"), pick(linux, linux, windows, windows, linux, F.lit(None)).alias("os"))
+    return cases.select("doc_id", "base", "name", paths.join_path(F.col("base"), F.col("name"), F.col("os")).alias("joined"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/C:' ELSE 'C:' END || replace(p, '/', CASE WHEN page_id % 3 = 0 THEN '//' ELSE '/' END) AS web, p FROM (SELECT page_id, {_URL} FROM pages))
+SELECT page_id, web, 'C:\' || ltrim(replace(p, '/', '\'), '\') AS native, CASE WHEN p = '' THEN '/C:' ELSE '/C:' || p END AS web2 FROM p""")
 def q_path_normalise(spark, d):
-    cases = spark.createDataFrame([("/C:/x",), ("C:",), ("/C:",), ("/C://a//b",), ("/",)], "web string")
-    windows = F.lit("Windows")
+    """The paths of pages as a browser writes those of a drive, with and without the first slash, some of them doubled."""
+    url, windows = F.col("url"), F.lit("Windows")
+    path = F.rtrim(F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/"))
+    slashes = F.when(F.col("page_id") % 3 == 0, F.replace(path, F.lit("/"), F.lit("//"))).otherwise(path)
+    cases = table(spark, d, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "/C:").otherwise("C:"), slashes).alias("web"))
     return cases.withColumn("native", paths.to_native(F.col("web"), windows)).withColumn("web2", paths.to_web(F.col("native"), windows))
 
 
@@ -567,3 +579,94 @@ def q_staged_duplicates(spark, d):
     files = kept(docs.mapInArrow(write, "full_path string, size long"))
     found = staged.alike(files, ends=256, most=1000)
     return found.select(F.regexp_extract("full_path", r"(\d+)$", 1).cast("long").alias("doc_id"), "size", F.col("digest").isNotNull().alias("twice"), "bytes_read")
+
+
+@query(f"WITH {FILES}, {ANCESTORS} SELECT path AS current_path, S, C, {fmt('S')} AS total_size_formatted FROM totals WHERE path = '/src1'")
+def q_directory_page(spark, d):
+    dirs, entries = document_tree(spark, d)
+    return tree.page(dirs, tree.rollup(dirs, entries), "/src1").drop("snapshot")
+
+
+@query(f"WITH {FILES}, ds AS (SELECT DISTINCT source AS name, '/' AS parent FROM files UNION SELECT DISTINCT lang, '/' || source FROM files) SELECT 'file' AS type, name, parent AS path, size FROM files WHERE contains(name, '1') UNION ALL SELECT 'directory', name, parent, NULL FROM ds WHERE contains(name, '1')")
+def q_search_both(spark, d):
+    """Files and directories in one list of hits."""
+    _, entries = document_tree(spark, d)
+    return search.search(entries, "1").select("type", "name", "path", "size")
+
+
+@query("SELECT 'snapshot_' || event_id || '_' || user_id || '.jsonl.gz' AS filename, event_id AS timestamp FROM events ORDER BY event_id DESC, filename LIMIT 10")
+def q_snapshots_newest(spark, d):
+    files = table(spark, d, "events").select(F.concat(F.lit("snapshot_"), "event_id", F.lit("_"), "user_id", F.lit(".jsonl.gz")).alias("filename"), F.col("event_id").alias("size"), F.col("ts").alias("modificationTime"))
+    return snapshots.newest_first(snapshots.listed(files)).limit(10).select("filename", "timestamp")
+
+
+@query("SELECT 'host' || (s_suppkey % 5) AS host, s_suppkey % 5 < 3 AS known FROM supplier GROUP BY ALL")
+def q_hosts_known(spark, d):
+    """Hosts of all suppliers against the devices of three of them."""
+    host = F.concat(F.lit("host"), F.col("s_suppkey") % 5)
+    suppliers = table(spark, d, "supplier").select("s_suppkey", host.alias("host"))
+    devices = suppliers.where("s_suppkey % 5 < 3").select(F.col("host").alias("host_name"))
+    return snapshots.hosts_known(suppliers.select("host").distinct(), devices)
+
+
+@query(f"WITH {FILES} SELECT seq, full_path, seq % 3 != 0 AS source_exists FROM files")
+def q_source_exists(spark, d):
+    """Of every three documents two are written as files; the tasks look for all of them."""
+    folder = fresh(spark)
+    docs = document_files(spark, d)
+
+    def write(batches):
+        store, at = pafs.FileSystem.from_uri(folder)
+        store.create_dir(at)
+        for b in batches:
+            for i in b.column("seq").to_pylist():
+                if i % 3:
+                    with store.open_output_stream(f"{at}/{i}", compression=None) as out:
+                        out.write(b"x")
+            yield b
+
+    named = kept(docs.select("seq", F.col("full_path").alias("tree_path")).mapInArrow(write, "seq long, tree_path string"))
+    local = F.concat(F.lit(folder.removeprefix("file://") + "/"), "seq")
+    return backup.with_sources(named.withColumn("full_path", local)).select("seq", F.col("tree_path").alias("full_path"), "source_exists")
+
+
+@query(f"""WITH RECURSIVE {FILES}, {MEMBERS}, picked AS ({_KEPT[_KEPT.index('SELECT full_path, size'):].replace('SELECT full_path, size', 'SELECT seq, full_path, size')})),
+n AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM picked),
+pk(r, zip_index, held) AS (SELECT r, CAST(0 AS BIGINT), size FROM n WHERE r = 1 UNION ALL
+  SELECT n.r, CASE WHEN held > 0 AND held + size > 9000 THEN zip_index + 1 ELSE zip_index END, CASE WHEN held > 0 AND held + size > 9000 THEN size ELSE held + size END FROM pk JOIN n ON n.r = pk.r + 1)
+SELECT full_path AS src_path, '/b/' || printf('backup_%03d.zip', zip_index) AS dest_path, ltrim(full_path, '/') AS member, size AS filesize, 'zip' AS action FROM pk JOIN n USING (r)""")
+def q_backup_dry_run(spark, d):
+    """The plan of a backup of a selection, with nothing written."""
+    dirs, entries = document_tree(spark, d)
+    files = groups.select(entries, dirs, label_groups(spark, d), ["keep", "tree"], ["ignore", "drop"])
+    packed = backup.pack(files, ["snapshot"], ["seq", "pos"], 9000)
+    return backup.manifest(backup.volumes(packed, ["snapshot"]), "/b")
+
+
+@query(f"WITH {FILES}, {MEMBERS}, picked AS ({_KEPT[_KEPT.index('SELECT full_path, size'):].replace('SELECT full_path, size', 'SELECT seq, full_path')})) SELECT full_path AS file_path, sha256(text) AS hash, 'sha256' AS algorithm FROM picked JOIN documents ON seq = doc_id")
+def q_selected_hashes(spark, d):
+    """Digests of a selection's contents."""
+    dirs, entries = document_tree(spark, d)
+    files = groups.select(entries, dirs, label_groups(spark, d), ["keep", "tree"], ["ignore", "drop"])
+    met = files.join(table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"), "seq")
+    return met.select(F.col("full_path").alias("file_path"), content.content_hash(F.col("text")).alias("hash"), F.lit("sha256").alias("algorithm"))
+
+
+@query("""SELECT '/' || doc_id AS parent, 'a' AS name, CAST(strlen(text) AS BIGINT) AS size, doc_id AS modified FROM documents
+UNION ALL SELECT '/' || doc_id, 'b', 0, NULL FROM documents""")
+def q_ragged_lines(spark, d):
+    """Lines of two files each, with one size and one time: what is not there is 0 and null."""
+    docs = table(spark, d, "documents")
+    line = F.format_string('{"p":"/%d","f":["a","b"],"s":[%d],"t":[[1,%d,3]],"os_name":"Linux"}', "doc_id", F.octet_length("text"), "doc_id")
+    lines = snapshots.parsed(docs.select(F.concat(F.lit("s"), "doc_id").alias("snapshot"), F.lit(0).cast("long").alias("seq"), line.alias("value")))
+    return snapshots.entries_of(lines).select("parent", "name", "size", "modified")
+
+
+@query(ORACLES["q_group_replay"])
+def q_log_blank_lines(spark, d):
+    """The log with blank lines between its own, read back."""
+    path, log = f"{fresh(spark)}/x_groups.jl", event_log(spark, d)
+    line = F.to_json(F.array("path", "kind", "group", "action", F.col("ts").cast("string")))
+    lines = log.select("seq", F.explode(F.array(line, F.when(F.col("seq") % 2 == 0, "").otherwise("  \t"))).alias("value"))
+    lines.repartitionByRange("seq").sortWithinPartitions("seq", F.desc(F.length(F.trim("value")))).select("value").write.text(path)
+    return groups.replay(snapshots.read_group_log(spark, path, "events")).select(F.col("group").alias("grp"), "path")

@@ -124,7 +124,11 @@ def index_projection(dirs: DataFrame, entries: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot files of a folder, newest first: filename, size, modified, timestamp (0 if the name has none)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "snapshot_*.jsonl.gz").load(folder).select("path", "length", "modificationTime")
-    return listed(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size"), "modificationTime")).orderBy(F.desc("timestamp"), "filename")
+    return listed(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size"), "modificationTime")).transform(newest_first)
+
+
+def newest_first(listed_files: DataFrame) -> DataFrame:
+    return listed_files.orderBy(F.desc("timestamp"), "filename")
 
 
 def listed(files: DataFrame) -> DataFrame:
@@ -177,3 +181,9 @@ def write_media(media: DataFrame, folder: str, host: str) -> None:
 
 def host_known(devices: DataFrame, host: str) -> bool:
     return bool(devices.where(F.col("host_name") == host).limit(1).count())
+
+
+def hosts_known(hosts: DataFrame, devices: DataFrame) -> DataFrame:
+    """(host, known) of many hosts at once."""
+    named = devices.select(F.col("host_name").alias("host"), F.lit(True).alias("known")).distinct()
+    return hosts.join(named, "host", "left").select("host", F.coalesce("known", F.lit(False)).alias("known"))
