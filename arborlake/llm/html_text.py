@@ -44,26 +44,32 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _BOILER = frozenset("nav footer aside form dialog menu".split())
 _MAIN = frozenset("article main".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are made for text, unlike those that hold others.
+_OF_TEXT = _HEADING | frozenset("p li dd dt blockquote pre td th figcaption summary legend".split())
 #: An element that opens ends those of these names right above it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _COMMENT = frozenset("comment comments commentlist disqus".split())
 #: Words of class, id or role that name what is not main text, and words that may stand beside them.
-_AWAY = _COMMENT | frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary contentinfo consent cookie cookies dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+_AWAY = _COMMENT | frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary contentinfo consent cookie cookies dialog footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _BESIDE = frozenset("area bar block bottom box buttons container content footer global inner item items left link links list main page panel post posts primary right row section secondary site slot text thread top unit wrap wrapper".split())
+#: Words that say that a header is an article's or a section's.
+_OF_ARTICLE = frozenset("content main panel post posts section text thread".split())
 _WORD = re.compile(r"\S+")
 _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|\d+")
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_away", "in_header", "heading"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_away", "in_header", "heading", "of_text"]
 MAX_DEPTH = 7
 
 
-def _away(name: str, attrs: str) -> bool:
+def _away(name: str, attrs: str, in_main: bool) -> bool:
     if "=" not in attrs or name in ("body", "html"):
         return False
-    named = _COMMENT if name in _MAIN else _AWAY
+    # A header is the site's own where no article has begun and nothing beside the word says whose it is.
+    named = _COMMENT if name in _MAIN else _AWAY if in_main else _AWAY | {"header"}
+    beside = _BESIDE if in_main else _BESIDE - _OF_ARTICLE | {"header"}
     for value in _HINT.findall(attrs):
         for token in "".join(value).split():
             parts = {p.lower() for p in _PARTS.split(token) if p}
-            if not parts.isdisjoint(named) and parts <= _AWAY | _BESIDE:
+            if not parts.isdisjoint(named) and parts <= _AWAY | (beside if "header" in parts else _BESIDE):
                 return True
     return False
 
@@ -90,14 +96,14 @@ class _Page:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                self.blocks.append((" ".join(words), [len(words), min(1.0, self.linked / len(words)), 0, 0, 0, 0, *self.open[-1][1:6]]))
+                self.blocks.append((" ".join(words), [len(words), min(1.0, self.linked / len(words)), 0, 0, 0, 0, *self.open[-1][1:6], self.open[-1][0] in _OF_TEXT]))
             self.parts = []
         self.linked = 0
 
     def push(self, name: str, attrs: str) -> None:
         _, main, boiler, away, header, heading, hidden = self.open[-1]
         main = main or name in _MAIN
-        self.open.append((name, main, boiler or name in _BOILER, away or _away(name, attrs), header or name == "header" and not main, heading or name in _HEADING, hidden or name in _HIDDEN))
+        self.open.append((name, main, boiler or name in _BOILER, away or _away(name, attrs, main), header or name == "header" and not main, heading or name in _HEADING, hidden or name in _HIDDEN))
         self.names[name] += 1
 
     def pop(self) -> str:
