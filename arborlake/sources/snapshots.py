@@ -152,9 +152,12 @@ def read_group_log(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
 
 
 def append_group_actions(actions: DataFrame, path: str) -> None:
-    """Appends (path, kind, group, action, ts) as JSON arrays: each call adds a batch beside the log file, named by the time in nanoseconds."""
+    """Appends (path, kind, group, action, ts) as JSON arrays: each call adds a batch beside the log file, named by the time in nanoseconds.
+
+    Each partition of ``actions`` writes a file of its own, and their order is that of the partitions, so a batch of any size is in order.
+    """
     parts = [*[_quoted(F.col(c)) for c in ("path", "kind", "group", "action")], F.col("ts").cast("string")]
-    actions.select(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("value")).coalesce(1).write.text(f"{path}.d/{time.time_ns():020d}")
+    actions.select(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("value")).write.text(f"{path}.d/{time.time_ns():020d}")
 
 
 def read_devices(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +167,7 @@ def read_devices(spark: SparkSession, folder: str) -> DataFrame:
 def append_device(device: DataFrame, folder: str, host: str) -> None:
     if "host_name" not in device.columns:
         raise ValueError("a device needs host_name")
-    device.coalesce(1).write.mode("append").json(f"{folder}/devices_{host}.jl")
+    device.write.mode("append").json(f"{folder}/devices_{host}.jl")
 
 
 def read_media(spark: SparkSession, folder: str, host: str) -> DataFrame:
@@ -176,7 +179,7 @@ def read_media(spark: SparkSession, folder: str, host: str) -> DataFrame:
 
 
 def write_media(media: DataFrame, folder: str, host: str) -> None:
-    media.coalesce(1).write.mode("overwrite").json(f"{folder}/media_{host}.jl")
+    media.write.mode("overwrite").json(f"{folder}/media_{host}.jl")
 
 
 def host_known(devices: DataFrame, host: str) -> bool:
