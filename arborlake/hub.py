@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions.paths import to_native
-from arborlake.operators import backup, content, groups, search, tree
-from arborlake.sources import filesystem, host, snapshots
+from arborlake.operators import backup, content, groups, name_index, search, tree
+from arborlake.sources import filesystem, host, indexed, snapshots
 from arborlake.sources.single import exists
 
 
@@ -27,8 +27,8 @@ class Hub:
 
     scans = snapshots
 
-    def scan(self, roots: list[str], skip: list[str] = (), save: bool = False, os_name: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """A walk of the roots as a table below ``data_path``; saved, it is a snapshot file that ``snapshots`` lists and ``load`` takes."""
+    def scan(self, roots: list[str], skip: list[str] = (), save: bool = False, os_name: str | None = None, use_index: bool = False) -> tuple[DataFrame, DataFrame]:
+        """A walk of the roots as a table below ``data_path``; saved, it is a snapshot file, or with an index a folder, that ``snapshots`` lists and ``load`` takes."""
         began, system = int(time.time()), os_name or platform.system()
         walked = filesystem.scan(self.spark, roots, skip)
         if len(roots) > 1 and system == "Windows":
@@ -39,14 +39,16 @@ class Hub:
         if save:
             device = host.system_info(self.spark).first().asDict()
             meta = device | {"device_id": device["thumbprint"], "cpu_name": device["cpu_model"], "os_name": system, "start_scan_time": began, "finish_scan_time": int(time.time())}
-            snapshots.write_snapshot(dirs, entries, f"{self.data_path}/snapshots/{name}.jsonl.gz", meta)
+            write = indexed.write_indexed if use_index else snapshots.write_snapshot
+            write(dirs, entries, f"{self.data_path}/snapshots/{name}.jsonl.gz", meta)
         return dirs, entries
 
     def load(self, name: str) -> None:
         path = f"{self.data_path}/snapshots/{name}.jsonl.gz"
         if not exists(self.spark, path):
             raise KeyError(f"there is no snapshot {name}")
-        lines = snapshots.read_lines(self.spark, path).cache()
+        has_index = exists(self.spark, f"{path}/{indexed.INDEX_FOLDER}")
+        lines = (indexed.read_indexed(self.spark, path) if has_index else snapshots.read_lines(self.spark, path)).cache()
         if lines.isEmpty():
             raise ValueError(f"snapshot {name} has no lines")
         dirs, entries = tree.last_of_path(snapshots.dirs_of(lines)), snapshots.entries_of(lines)
@@ -115,13 +117,21 @@ class Hub:
     def info(self, name: str) -> DataFrame:
         return tree.info(self._of(name)["dirs"])
 
+    def _names(self, name: str) -> str:
+        return f"{self.data_path}/names/{name}"
+
+    def index_names(self, name: str) -> None:
+        """Builds an index of a loaded snapshot's names, which later searches use."""
+        name_index.build(self._of(name)["entries"], self._names(name))
+
     def search(self, query: str, names: list[str], by: str | None = None, descending: bool = False) -> DataFrame:
         missing = [n for n in names if n not in self.loaded]
         if missing:
             raise KeyError("not loaded: " + ", ".join(missing))
         out = None
         for n in names:
-            hits = search.search(self.loaded[n]["entries"], query)
+            at = self._names(n)
+            hits = name_index.indexed_search(self.spark, at, query) if exists(self.spark, at) else search.search(self.loaded[n]["entries"], query)
             out = hits if out is None else out.unionByName(hits)
         return search.in_order(out, by, descending) if by else out
 

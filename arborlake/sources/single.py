@@ -22,6 +22,13 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modification time in seconds) of the folders right below ``path``."""
+    at, store = _at(spark, path)
+    found = [s for s in store.listStatus(at) if s.isDirectory()] if store.exists(at) else []
+    return [(s.getPath().getName(), store.getContentSummary(s.getPath()).getLength(), s.getModificationTime() // 1000) for s in found]
+
+
 def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
     """The rows of ``value`` in their order as one text file; it appears under its name when it is whole, in place of an older one."""
     spark, parts = lines.sparkSession, f"{path}.{uuid.uuid4().hex}"

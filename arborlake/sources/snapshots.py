@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.functions.paths import join_path
-from arborlake.sources.single import exists, write_lines
+from arborlake.sources.single import exists, folders, write_lines
 
 META = {"device_name": "string", "device_id": "string", "cpu_model": "string", "cpu_name": "string", "memory_size": "bigint", "host_name": "string", "ip_addr": "string", "mac_addr": "string", "os_name": "string", "start_scan_time": "bigint", "finish_scan_time": "bigint"}
 LINE = {"p": "string", "f": "array<string>", "d": "array<string>", "t": "array<array<bigint>>", "T": "array<array<bigint>>", "s": "array<bigint>"}
@@ -124,7 +125,12 @@ def index_projection(dirs: DataFrame, entries: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot files of a folder, newest first: filename, size, modified, timestamp (0 if the name has none)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "snapshot_*.jsonl.gz").load(folder).select("path", "length", "modificationTime")
-    return listed(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size"), "modificationTime")).transform(newest_first)
+    rows = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size"), "modificationTime")
+    indexed = [f for f in folders(spark, folder) if re.fullmatch(r"snapshot_.*\.jsonl\.gz", f[0])]  # a snapshot each
+    if indexed:
+        more = spark.createDataFrame(indexed, "filename string, size bigint, at bigint")
+        rows = rows.unionByName(more.select("filename", "size", F.timestamp_seconds("at").alias("modificationTime")))
+    return newest_first(listed(rows))
 
 
 def newest_first(listed_files: DataFrame) -> DataFrame:
