@@ -67,11 +67,11 @@ def rebuilt(turns: DataFrame, block: int = BLOCK, most: int = MOST_SHARED) -> tu
 def spread_join(rows: DataFrame, one_each: DataFrame, keys: list[str], how: str = "inner", hot: int = HOT) -> DataFrame:
     """``rows`` joined with ``one_each``, which has a row a key: keys of many rows by broadcast, at most 1,000 of them, the others by a shuffle."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = rows.count()
-    many = counts.where(F.col("__n") >= max(hot, total // 1000)).drop("__n")
-    if not many.take(1):
+    seen = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("most")).first()
+    limit = max(hot, (seen.total or 0) // 1000)
+    if (seen.most or 0) < limit:
         return rows.join(one_each, keys, how)
-    many = F.broadcast(written(many))
+    many = F.broadcast(written(counts.where(F.col("__n") >= limit).drop("__n")))
     met = rows.join(many, keys, "left_semi").join(F.broadcast(one_each.join(many, keys, "left_semi")), keys, how)
     return met.unionByName(rows.join(many, keys, "left_anti").join(one_each, keys, how))
 
@@ -128,26 +128,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def ends_digests(ends: DataFrame) -> DataFrame:
-    """(node, sha) of the ids (node, conv_id) of each node in numerical order, comma-joined: range-sorted tasks join what they
+    """(depth, node, sha) of the ids (depth, node, conv_id) of each node in numerical order, comma-joined: range-sorted tasks join what they
     have into long pieces, and one task a node streams the pieces through the digest.
     """
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = []
-            for node, conv in zip(b.column("node").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
+            for node, conv in zip(zip(b.column("depth").to_pylist(), b.column("node").to_pylist(), strict=True), b.column("conv_id").to_pylist(), strict=True):
                 text = str(conv)
                 if not out or out[-1][0] != node or out[-1][3] > LIST_BYTES:
                     out.append([node, conv, [text], len(text)])
                 else:
                     out[-1][2].append(text)
                     out[-1][3] += len(text) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([",".join(r[2]) for r in out], pa.string())], names=["node", "first", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in out], pa.int64()), pa.array([r[0][1] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([",".join(r[2]) for r in out], pa.string())], names=["depth", "node", "first", "ids"])
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, h, done = None, None, []
         for b in batches:
-            for name, ids in zip(b.column("node").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            for name, ids in zip(zip(b.column("depth").to_pylist(), b.column("node").to_pylist(), strict=True), b.column("ids").to_pylist(), strict=True):
                 if name != node:
                     if h is not None:
                         done.append((node, h.hexdigest()))
@@ -157,10 +157,10 @@ def ends_digests(ends: DataFrame) -> DataFrame:
                 h.update(ids.encode())
         if h is not None:
             done.append((node, h.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["node", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0][0] for d in done], pa.int64()), pa.array([d[0][1] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["depth", "node", "sha"])
 
-    pieces = ends.select("node", "conv_id").repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id").mapInArrow(join, "node long, first long, ids string")
-    return pieces.repartition("node").sortWithinPartitions("node", "first").mapInArrow(digest, "node long, sha string")
+    pieces = ends.select("depth", "node", "conv_id").repartitionByRange("depth", "node", "conv_id").sortWithinPartitions("depth", "node", "conv_id").mapInArrow(join, "depth long, node long, first long, ids string")
+    return pieces.repartition("depth", "node").sortWithinPartitions("depth", "node", "first").mapInArrow(digest, "depth long, node long, sha string")
 
 
 def trie(conversations: DataFrame, first: int = FIRST, small: int = SMALL, hot: int = HOT) -> DataFrame:
@@ -175,7 +175,7 @@ def trie(conversations: DataFrame, first: int = FIRST, small: int = SMALL, hot:
         return spark.createDataFrame([], NODE)
     live = live.crossJoin(F.broadcast(nodes.select(F.col("conv_id").alias("node"))))  # one row
     big, alone, in_tasks, depth = [nodes], [], [], 0
-    ended = [live.where("length = 0").select("node", "conv_id")]
+    ended = [live.where("length = 0").select(F.lit(0).cast("long").alias("depth"), "node", "conv_id")]
     while True:
         depth += 1
         stepped = live.where(F.col("length") >= depth).join(turns.where(F.col("depth") == depth).drop("depth"), "conv_id")
@@ -193,7 +193,7 @@ def trie(conversations: DataFrame, first: int = FIRST, small: int = SMALL, hot:
         named = shared.where(~is_small).select("conv_id", F.lit(depth).cast("long").alias("depth"), F.col("node").alias("parent"), "n_convs", "n_words", "n_ends")
         big.append(named)
         live = moved.where(~F.col("small")).select("conv_id", "length", F.col("now").alias("node"))
-        ended.append(live.where(F.col("length") == depth).select("node", "conv_id"))
+        ended.append(live.where(F.col("length") == depth).select(F.lit(depth).cast("long").alias("depth"), "node", "conv_id"))
     # Chains: a conversation alone from some depth on.
     single = written(_all(alone))
     chained = spread_join(turns.select("conv_id", "depth"), single.select("conv_id", F.col("depth").alias("since"), "parent"), ["conv_id"], hot=hot).where("depth >= since")
@@ -215,11 +215,12 @@ def trie(conversations: DataFrame, first: int = FIRST, small: int = SMALL, hot:
         tops = tops.unionByName(done.join(heads, ["conv_id", "depth"]).select("conv_id", "depth", F.col("parent_conv_id").alias("parent"), "n_leaves", "saved_tokens"))
     # Leaves and savings, from the deepest shared level to the root.
     tops, below = written(tops), None
+    digests = written(ends_digests(_all(ended)).withColumnRenamed("node", "conv_id"))
     for level, named in reversed(list(enumerate(big))):
         children = tops.where(F.col("depth") == level + 1).drop("depth")
         children = children if below is None else children.unionByName(below)
         sums = children.groupBy(F.col("parent").alias("conv_id")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-        met = named.join(sums, "conv_id", "left").join(ends_digests(ended[level]).withColumnRenamed("node", "conv_id"), "conv_id", "left")
+        met = named.join(sums, "conv_id", "left").join(digests, ["depth", "conv_id"], "left")
         full = met.select("conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"), (F.coalesce("saved", F.lit(0)) + (F.col("n_convs") - 1) * F.col("n_words")).alias("saved_tokens"), F.coalesce("sha", none).alias("ends_sha256"))
         full = written(full)
         out.append(full)

@@ -65,6 +65,6 @@ def test_trie_of_none(spark):
 def test_ends_digests_join_pieces(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "LIST_BYTES", 20)
     ids = [i * 3 % 1000 for i in range(1000)]
-    got = prefix_trie.ends_digests(spark.createDataFrame([(i % 2, i) for i in ids], "node long, conv_id long").repartition(4)).collect()
-    want = {n: hashlib.sha256(",".join(str(i) for i in sorted(ids) if i % 2 == n).encode()).hexdigest() for n in (0, 1)}
-    assert {r.node: r.sha for r in got} == want
+    got = prefix_trie.ends_digests(spark.createDataFrame([(i % 3, i % 2, i) for i in ids], "depth long, node long, conv_id long").repartition(4)).collect()
+    want = {(d, n): hashlib.sha256(",".join(str(i) for i in sorted(ids) if i % 2 == n and i % 3 == d).encode()).hexdigest() for d in (0, 1, 2) for n in (0, 1)}
+    assert {(r.depth, r.node): r.sha for r in got} == want
