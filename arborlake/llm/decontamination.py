@@ -211,7 +211,7 @@ MATCH_SCHEMA = pa.schema([("item_id", pa.string()), ("item_start", pa.int64()),
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The longest verbatim matches and where they are, in words: item_id (as a string),
-    item_start, doc_id, doc_start, n_words; of at least ``window`` words, or a whole
+    item_start, doc_id (ids have to be whole numbers), doc_start, n_words; of at least ``window`` words, or a whole
     shorter item. A match is maximal: it can be extended on neither side.
     """
     spark, found = docs.sparkSession, None
