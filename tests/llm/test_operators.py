@@ -559,7 +559,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df, rel = queries.queries()[name](spark, SF), duck.sql(queries.oracle_sql()[name])
     order = sorted(df.columns)
