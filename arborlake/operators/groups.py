@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators.ordered import running
 from arborlake.operators.tree import CLOSE, MARK, UNMARK, bracketed, place, sums_within
+from arborlake.sources.scratch import kept
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -64,6 +65,7 @@ def select(entries: DataFrame, dirs: DataFrame, groups: DataFrame, filter_in: li
     """
     if mode not in ("strict", "intuitive"):
         raise ValueError("mode is strict or intuitive")
+    dirs = kept(dirs.select("snapshot", "path", "root", "os_name"))
     files = entries.where("kind = 'f'")
     if filter_out:
         files = files.join(_named(groups, filter_out, "f", "full_path"), ["snapshot", "full_path"], "left_anti")
@@ -101,9 +103,9 @@ def filtered_totals(entries: DataFrame, dirs: DataFrame, groups: DataFrame, filt
         # count the rows in as many marked subtrees as itself.
         left = entries.where("kind = 'f'").join(_named(groups, filter_out, "f", "full_path"), ["snapshot", "full_path"], "left_anti")
         direct = left.groupBy("snapshot", F.col("parent").alias("path")).agg(F.sum("size").cast("long").alias("direct_size"), F.count("*").alias("n_files"))
-        base = dirs.select("snapshot", "path", "root", "os_name").distinct().join(direct, ["snapshot", "path"], "left")
+        base = kept(dirs.select("snapshot", "path", "root", "os_name").distinct().join(direct, ["snapshot", "path"], "left"))
         rows = bracketed(base, {"direct_size": F.coalesce("direct_size", F.lit(0)), "n_files": F.coalesce("n_files", F.lit(0)), "away": F.lit(0)})
-        marks = _marks(dirs, _named(groups, filter_out, "d", "path"), "away").drop("whole", "leads").withColumns({"direct_size": F.lit(0).cast("long"), "n_files": F.lit(0).cast("long")})
+        marks = _marks(base, _named(groups, filter_out, "d", "path"), "away").drop("whole", "leads").withColumns({"direct_size": F.lit(0).cast("long"), "n_files": F.lit(0).cast("long")})
         depth = running(rows.unionByName(marks), ["snapshot", "root"], ["at", "kind"], {"n_away": "away"}).where("path IS NOT NULL OR n_files > 0").select(*rows.columns, "n_away")
         sums = sums_within(depth, ["snapshot", "root", "n_away"], {"S": "direct_size", "C": "n_files"})
     whole = dirs.select("snapshot", "path").join(sums, ["snapshot", "path"], "left")

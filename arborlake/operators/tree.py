@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.paths import format_bytes, to_web
 from arborlake.operators.ordered import running
+from arborlake.sources.scratch import kept
 
 
 def last_of_path(dirs: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def rollup(dirs: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     In pre-order a subtree is an interval, so its totals are differences of running sums: two rows a directory are
     sorted, whatever the depth. Given the entries, unreachable directories keep their direct totals.
     """
-    inside = dirs if entries is None else reachable(dirs, entries)
+    # Written once: the sort by range reads its input twice, and each directory stands in it twice.
+    inside = kept(dirs.select("snapshot", "path", "root", "os_name", "direct_size", "n_files")) if entries is None else reachable(dirs, entries)
     totals = sums_within(bracketed(inside, {"direct_size": F.coalesce("direct_size", F.lit(0)), "n_files": F.coalesce("n_files", F.lit(0))}), ["snapshot", "root"], {"S": "direct_size", "C": "n_files"})
     if entries is not None:
         alone = dirs.join(inside.select("snapshot", "path"), ["snapshot", "path"], "left_anti")
