@@ -1,22 +1,17 @@
-"""The group log as a stream: the state store has each member's last action, and a batch writes what it changes.
+"""The group log as a stream: the state store has each member's last action, and a batch writes those of the members it names.
 
-A batch costs its own lines, not the whole state. Lines count by their place in the log, so late and repeated lines change
-nothing. Changes go into a folder per batch, which a batch that runs again replaces, and are folded into one table
+A batch costs its own lines, not the whole state: a batch is grouped like a whole log, and each member of it meets its state once.
+Lines count by their place in the log, so late and repeated lines change nothing. Changes go into a folder per batch, which a batch that runs again replaces, and are folded into one table
 from time to time; the record of the last batch says which folders have to be there.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from arborlake.sources.single import exists, remove
 
@@ -32,28 +27,6 @@ def last_actions(log: DataFrame) -> DataFrame:
     return known.groupBy("snapshot", "group", "kind", "path").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
 
 
-class LastAction(StatefulProcessor):
-    """Keeps (action, seq) of a member and passes on what is later than that."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("action", StringType()), StructField("seq", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        best = self.last.get() if self.last.exists() else None
-        before = best
-        for part in rows:
-            at = part["seq"].idxmax()
-            if best is None or part["seq"][at] > best[1]:
-                best = (part["action"][at], int(part["seq"][at]))
-        if best is not None and best != before:
-            self.last.update(best)
-            names = ("snapshot", "group", "kind", "path")
-            yield pd.DataFrame({**{n: [None if pd.isna(k) else k] for n, k in zip(names, key, strict=True)}, "action": [best[0]], "seq": [best[1]]})
-
-    def close(self) -> None:
-        pass
-
-
 def _at(folder: str, batch: int) -> str:
     return f"{folder}/changes/batch={batch}"
 
@@ -74,8 +47,7 @@ def start(log: DataFrame, folder: str, checkpoint: str, fold: int = FOLD) -> Str
     """Keeps the changes in ``folder`` and returns the query; ``log`` is the stream (snapshot, seq, path, kind, group, action)."""
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    known = log.where(F.col("action").isin("add", "del")).select("snapshot", "group", "kind", "path", "action", F.col("seq").cast("long").alias("seq"))
-    changed = known.groupBy("snapshot", "group", "kind", "path").transformWithStateInPandas(LastAction(), STATE, "Update", "None")
+    changed = last_actions(log.withColumn("seq", F.col("seq").cast("long")))
 
     def write(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
