@@ -611,22 +611,28 @@ def q_hosts_known(spark, d):
 
 @query(f"WITH {FILES} SELECT seq, full_path, seq % 3 != 0 AS source_exists FROM files")
 def q_source_exists(spark, d):
-    """Of every three documents two are written as files; the tasks look for all of them."""
+    """Of every three documents two are written as files, empty ones; the tasks look for all of them.
+
+    A thousand numbers share a folder and one task writes it, as tasks that add to one folder wait for each other.
+    """
     folder = fresh(spark)
-    docs = document_files(spark, d)
+    docs = document_files(spark, d).select("seq", F.col("full_path").alias("tree_path"), F.expr("seq div 1000").cast("string").alias("of"))
 
     def write(batches):
         store, at = pafs.FileSystem.from_uri(folder)
-        store.create_dir(at)
+        made = set()
         for b in batches:
-            for i in b.column("seq").to_pylist():
+            for i, of in zip(b.column("seq").to_pylist(), b.column("of").to_pylist(), strict=True):
                 if i % 3:
-                    with store.open_output_stream(f"{at}/{i}", compression=None) as out:
-                        out.write(b"x")
+                    if of not in made:
+                        store.create_dir(f"{at}/{of}")
+                        made.add(of)
+                    store.open_output_stream(f"{at}/{of}/{i}", compression=None).close()
             yield b
 
-    named = kept(docs.select("seq", F.col("full_path").alias("tree_path")).mapInArrow(write, "seq long, tree_path string"))
-    local = F.concat(F.lit(folder.removeprefix("file://") + "/"), "seq")
+    dealt = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "of")
+    named = kept(dealt.mapInArrow(write, "seq long, tree_path string, of string"))
+    local = F.concat(F.lit(folder.removeprefix("file://") + "/"), "of", F.lit("/"), "seq")
     return backup.with_sources(named.withColumn("full_path", local)).select("seq", F.col("tree_path").alias("full_path"), "source_exists")
 
 
