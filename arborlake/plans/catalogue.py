@@ -391,27 +391,32 @@ def q_log_append(spark, d):
     return groups.replay(snapshots.read_group_log(spark, path, "events")).select(F.col("group").alias("grp"), "path")
 
 
+def _numbered_tree(spark, d):
+    """The document tree with directories numbered by path, the root as 0, and their entries with them."""
+    dirs, entries = document_tree(spark, d)
+    numbered = dirs.select("path", F.row_number().over(Window.partitionBy("snapshot").orderBy("path")).alias("n"))  # few directories
+    line = lambda df, on: df.drop("seq").join(numbered.select(F.col("path").alias(on), (F.col("n") - 1).cast("long").alias("seq")), on)
+    return line(dirs, "path"), line(entries, "parent")
+
+
 @query(f"""WITH {FILES}, ds AS (SELECT DISTINCT '/' AS parent, source AS name FROM files UNION SELECT DISTINCT '/' || source, lang FROM files)
 SELECT 'snapshot_1_1' AS snapshot, 'f' AS kind, parent, name, full_path, size FROM files UNION ALL
 SELECT 'snapshot_1_1', 'd', parent, name, CASE WHEN parent = '/' THEN '/' || name ELSE parent || '/' || name END, NULL FROM ds""")
 def q_snapshot_reload(spark, d):
     """The document tree written as a snapshot file, metadata in its first line, and read back."""
-    dirs, entries = document_tree(spark, d)
-    numbered = dirs.select("path", F.row_number().over(Window.partitionBy("snapshot").orderBy("path")).alias("n"))  # few directories
-    line = lambda df, on: df.drop("seq").join(numbered.select(F.col("path").alias(on), (F.col("n") - 1).cast("long").alias("seq")), on)
-    rows = line(entries, "parent").withColumn("pos", F.row_number().over(Window.partitionBy("parent", "kind").orderBy("name")))
+    dirs, entries = _numbered_tree(spark, d)
+    rows = entries.withColumn("pos", F.row_number().over(Window.partitionBy("parent", "kind").orderBy("name")))
     path = f"{fresh(spark)}/snapshot_1_1.jsonl.gz"
-    snapshots.write_snapshot(line(dirs, "path"), rows, path, {"os_name": "Linux", "device_name": "d"})
+    snapshots.write_snapshot(dirs, rows, path, {"os_name": "Linux", "device_name": "d"})
     read = snapshots.read_lines(spark, path)
     return snapshots.entries_of(read).select("snapshot", "kind", "parent", "name", "full_path", "size")
 
 
 @query("SELECT 'snapshot_1_1' AS snapshot, '/' AS root, 'dev' AS device_name, 'Linux' AS os_name, CAST(7 AS BIGINT) AS start_scan_time, CAST(NULL AS BIGINT) AS finish_scan_time")
 def q_snapshot_metadata(spark, d):
-    dirs, entries = document_tree(spark, d)
-    dirs = dirs.withColumn("seq", F.length("path").cast("long"))
+    dirs, entries = _numbered_tree(spark, d)
     path = f"{fresh(spark)}/snapshot_1_1.jsonl.gz"
-    snapshots.write_snapshot(dirs, entries.drop("seq").join(dirs.select(F.col("path").alias("parent"), "seq"), "parent"), path, {"os_name": "Linux", "device_name": "dev", "start_scan_time": 7, "unknown": 1})
+    snapshots.write_snapshot(dirs, entries, path, {"os_name": "Linux", "device_name": "dev", "start_scan_time": 7, "unknown": 1})
     return snapshots.metadata(snapshots.read_lines(spark, path)).select("snapshot", "root", "device_name", "os_name", "start_scan_time", "finish_scan_time")
 
 
