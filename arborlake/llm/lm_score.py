@@ -44,7 +44,6 @@ COUNTS = np.array([1, 2, 4, 16, 128], dtype=np.int64)
 ROUNDS, STEP, BATCH = 4, 0.4, 8192
 #: Learning tokens of a task in a round, so that what the tasks send stays a small share of what they read; and tasks in any case.
 TASK_TOKENS, LEAST_TASKS = 1 << 20, 8
-OCTAVE = 8
 END = np.uint64(0xE0D1F5A9C3B70E1D)
 _SALT = np.uint64(1 << 40)
 
@@ -104,6 +103,11 @@ def _reply(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in _REPLY], names=[n for n, _ in _REPLY])
 
 
+def _word(part: int, low: np.ndarray) -> np.ndarray:
+    """Words of a part, which the high bits of their hashes tell, by their low bits."""
+    return (part << 32) | low.astype(np.int64)
+
+
 def counted(blocks: DataFrame) -> DataFrame:
     """Replies to the blocks: how often each of their words stands in learning texts; a row a part (null block) has the part's statistics.
 
@@ -130,11 +134,12 @@ def counted(blocks: DataFrame) -> DataFrame:
             ends = np.concatenate(read("ends", np.uint8))[first]
             seen = np.bincount(back, weights=np.concatenate(read("seen", "<u4")), minlength=len(distinct)).astype(np.int64)
             known = np.flatnonzero(seen > COUNTS[-2])
-            order = known[np.argsort(-seen[known], kind="stable")[:FREQUENT]]
+            low = (distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
+            order = known[np.lexsort((low[known], -seen[known]))[:FREQUENT]]
             # Blocks are told which of their words may prove to be known by themselves, so they need no hashes from here on.
             chosen = np.zeros(len(distinct), dtype=bool)
             chosen[order] = True
-            at, found, marked, low = 0, seen[back], chosen[back], (distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
+            at, found, marked = 0, seen[back], chosen[back]
             out = []
             for block, k in zip(group.column("block").to_pylist(), size, strict=True):
                 mine, spots = found[at : at + k], np.flatnonzero(marked[at : at + k])
@@ -142,9 +147,9 @@ def counted(blocks: DataFrame) -> DataFrame:
                 out.append({"block": block, "part": part, "counts": mine.astype("<i8" if wide else "<u4").tobytes(), "wide": wide, "spots": spots.astype("<u4").tobytes(), "spot_words": low[back[at + spots]].tobytes()})
                 at += k
             known = seen > 0
-            # Words and their occurrences by ending and class of count, and words by size, eight steps an octave.
+            # Words and their occurrences by ending and class of count.
             cell = ends[known].astype(np.int64) * N_BINS + bins_of(seen[known])
-            stats = [np.bincount(cell, minlength=ENDINGS * N_BINS), np.bincount(cell, weights=seen[known], minlength=ENDINGS * N_BINS).astype(np.int64), np.bincount((np.log2(np.maximum(seen[known], 1)) * OCTAVE).astype(np.int64), minlength=64 * OCTAVE)]
+            stats = [np.bincount(cell, minlength=ENDINGS * N_BINS), np.bincount(cell, weights=seen[known], minlength=ENDINGS * N_BINS).astype(np.int64)]
             out.append({"part": part, "heads": low[order].tobytes(), "head_counts": seen[order].astype("<i8").tobytes(), "head_ends": ends[order].tobytes(), "stats": np.concatenate(stats).astype("<i8").tobytes()})
             yield _reply(out)
 
@@ -160,14 +165,14 @@ class Words:
     distinct: int = 0
     unseen: float = 1.0
     least: int = 1 << 62  # words counted so often are known by themselves
-    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint32))  # sorted, by 32 bits
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # sorted, by part and 32 bits
     head_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     rare: np.ndarray = field(default_factory=lambda: np.zeros((2, ENDINGS, N_BINS), dtype=np.int64))  # words, occurrences
 
 
 def vocabulary(replies: DataFrame) -> Words:
-    """From the parts' statistics; a thousand words at most are chosen by a count from which on so few are left."""
-    size = 2 * ENDINGS * N_BINS + 64 * OCTAVE
+    """From the parts' statistics; the FREQUENT most frequent words are known by themselves, of equally frequent ones those of the smaller hashes."""
+    size = 2 * ENDINGS * N_BINS
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
@@ -179,31 +184,28 @@ def vocabulary(replies: DataFrame) -> Words:
     stats = replies.where("stats IS NOT NULL").select("stats")
     rows = stats.mapInArrow(add, "stats binary").coalesce(1).mapInArrow(add, "stats binary").collect()
     total = np.frombuffer(rows[0].stats, dtype="<i8") if rows else np.zeros(size, dtype=np.int64)
-    rare = total[: 2 * ENDINGS * N_BINS].reshape(2, ENDINGS, N_BINS).copy()
+    rare = total.reshape(2, ENDINGS, N_BINS).copy()
     n, v = int(rare[1].sum()), int(rare[0].sum())
     if not n:
         return Words()
     once, twice = int(rare[0, :, 0].sum()), int(rare[0, :, 1].sum())
     unseen = once * once / (2 * twice) if twice else once * (once - 1) / 2
-    # The lowest size class from which on no more than FREQUENT words are left.
-    above = np.cumsum(total[2 * ENDINGS * N_BINS :][::-1])[::-1]
-    step = int(np.flatnonzero(above <= FREQUENT)[0])
-    heads = replies.where("heads IS NOT NULL").select("heads", "head_counts", "head_ends")
+    heads = replies.where("heads IS NOT NULL").select("heads", "head_counts", "head_ends", "part")
 
-    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 w, c, e = (np.frombuffer(b.column(k)[i].as_py(), dtype=t) for k, t in (("heads", "<u4"), ("head_counts", "<i8"), ("head_ends", np.uint8)))
-                ok = (np.log2(np.maximum(c, 1)) * OCTAVE).astype(np.int64) >= step
-                yield pa.RecordBatch.from_arrays([pa.array(w[ok], pa.int64()), pa.array(c[ok], pa.int64()), pa.array(e[ok], pa.int32())], names=["word", "n", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(_word(b.column("part")[i].as_py(), w), pa.int64()), pa.array(c, pa.int64()), pa.array(e, pa.int32())], names=["word", "n", "e"])
 
-    chosen = heads.mapInArrow(choose, "word long, n long, e int").collect()  # FREQUENT at most
+    # Each part names its FREQUENT most frequent words, so those of all are among them, whatever counts they share.
+    chosen = heads.mapInArrow(spread, "word long, n long, e int").orderBy(F.desc("n"), F.col("word").bitwiseAND((1 << 32) - 1), "word").limit(FREQUENT).collect()
     w, c, e = (np.array([r[i] for r in chosen], dtype=np.int64) for i in range(3))
     order = np.argsort(w)
     w, c, e = w[order], c[order], e[order]
     np.subtract.at(rare, (0, e, bins_of(c)), 1)
     np.subtract.at(rare, (1, e, bins_of(c)), c)
-    return Words(n, v, max(unseen, 1.0), int(c.min()) if len(c) else 1 << 62, w.astype(np.uint32), c, rare)
+    return Words(n, v, max(unseen, 1.0), int(c.min()) if len(c) else 1 << 62, w, c, rare)
 
 
 CODED = "block long, doc_ids array<bigint>, held array<boolean>, learn binary, lengths binary, codes binary, counts binary, heads binary, ends binary"
@@ -223,11 +225,11 @@ def coded(blocks: DataFrame, replies: DataFrame, words: Words) -> DataFrame:
             begin = np.cumsum([0, *(len(c) for c in of)])
             counts = np.concatenate(of)
             spots = np.concatenate([np.frombuffer(x, dtype="<u4") + b for x, b in zip(group.column("spots").to_pylist()[1:], begin, strict=False)]).astype(np.int64)
-            low = np.concatenate([np.frombuffer(x, dtype="<u4") for x in group.column("spot_words").to_pylist()[1:]])
-            at, own = np.searchsorted(heads, low), np.full(len(counts), 0xFFFF, dtype="<u2")
+            word = np.concatenate([_word(p, np.frombuffer(x, dtype="<u4")) for p, x in zip(group.column("part").to_pylist()[1:], group.column("spot_words").to_pylist()[1:], strict=True)])
+            at, own = np.searchsorted(heads, word), np.full(len(counts), 0xFFFF, dtype="<u2")
             if len(heads):
                 at = np.minimum(at, len(heads) - 1)
-                is_head = (heads[at] == low) & (counts[spots] >= least)
+                is_head = (heads[at] == word) & (counts[spots] >= least)
                 own[spots[is_head]] = at[is_head]
             first = group.slice(0, 1)
             yield pa.RecordBatch.from_arrays([*[first.column(c).combine_chunks() for c in ("block", "doc_ids", "held", "learn", "lengths", "codes")], pa.array([counts.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary()), first.column("ends").combine_chunks()], names=["block", "doc_ids", "held", "learn", "lengths", "codes", "counts", "heads", "ends"])

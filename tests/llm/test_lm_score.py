@@ -90,3 +90,17 @@ def test_nothing_and_nothing_to_learn_from(spark):
     alone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = lm_score.score(frame(spark, [(alone, "only held out")])).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (4, 0, 0, 0.0) and abs(r.score) < 1e-6
+
+
+def test_words_of_one_count_are_told_apart_up_to_the_limit(spark):
+    """More equally frequent words than are known by themselves: those of the smaller hashes are, not none."""
+    rows = [(i, " ".join(f"w{k}x" for k in range(lm_score.FREQUENT + 100))) for i in range(100)]
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    blocks = written(lm_score.blocks_of(frame(spark, rows)))
+    replies = written(lm_score.counted(blocks))
+    words = lm_score.vocabulary(replies)
+    # The end of a text is as frequent as each word.
+    assert len(words.heads) == lm_score.FREQUENT and (words.head_counts == n).all() and words.distinct == lm_score.FREQUENT + 101
+    assert words.rare[0].sum() == 101 and words.rare[1].sum() == 101 * n
+    for b in lm_score.read_blocks(lm_score.coded(blocks, replies, words).toArrow().to_batches()):
+        assert sorted(b.heads[b.heads != 0xFFFF]) == list(range(lm_score.FREQUENT)) and (b.counts == n).all()
