@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import shuffle_parts, sorted_groups, written
+from arborlake.llm.shared import WIDE_ROWS, batches_of, shuffle_parts, sorted_groups, written
 from arborlake.llm.text import LOWER, joined, mixed, pieces, prefix_hashes, span_hashes, word_bounds
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 1 << 19
+#: Texts or blocks that a task holds at once; blocks in a row group, which is read as a whole.
+BATCH_BYTES, GROUP_BLOCKS = 1 << 23, 16
 #: Rows of the hashed weights, words told apart by themselves at most, and those of one class.
 ROWS, FREQUENT, HEADS = 1 << 14, 512, 32
 #: Groups of words by their neighbours, endings, and upper ends of the counts of rare words' classes.
@@ -562,10 +564,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per document: tokens, known ones, the learning tokens of all, the unigram score and the model's, both log10 of the text's probability."""
-    blocks = written(blocks_of(docs))
-    replies = written(counted(blocks))
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return _scored(docs, rounds)
+
+
+def _scored(docs: DataFrame, rounds: int) -> DataFrame:
+    few = {**WIDE_ROWS, "parquet.block.row.count.limit": str(GROUP_BLOCKS)}
+    blocks = written(blocks_of(docs), options=few)
+    replies = written(counted(blocks), options=WIDE_ROWS)
     words = vocabulary(replies)
-    table = written(coded(blocks, replies, words))
+    table = written(coded(blocks, replies, words), options=few)
     shared = docs.sparkSession.sparkContext.broadcast(fit(table, words, rounds))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,4 +586,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             arrays = [pa.array(b.doc_ids, pa.int64()), pa.array(b.held, pa.bool_()), pa.array(b.lengths, pa.int64()), pa.array(add((b.counts > 0)[b.codes]).astype(np.int64), pa.int64()), pa.array(np.full(len(b.lengths), w.total), pa.int64()), pa.array(add(base[b.codes]), pa.float64()), pa.array(add(log10_probabilities(m, b)), pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.mapInArrow(run, SCORES)
+    # Written here, as batches of what is returned would be as large as the session has them when it is read.
+    return written(table.mapInArrow(run, SCORES))

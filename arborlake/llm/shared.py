@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,14 @@ def clear(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, into: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def written(df: DataFrame, into: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder, with the writer's ``options``, and read back.
 
     This cuts the lineage: what reads the result survives lost executors without
     running the plan above it again.
     """
     path = into or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +55,25 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Of rows of hundreds of KB: the writer looks at the size of pages (1 MB) and row groups after each row, not after each hundred.
+WIDE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile hands Python batches of ``most`` bytes and a row at most, whatever the session's limit, which comes back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -5,11 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from arborlake.llm import lm_score
+from arborlake.llm import lm_score, shared
 from arborlake.llm.shared import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -104,3 +107,39 @@ def test_words_of_one_count_are_told_apart_up_to_the_limit(spark):
     assert words.rare[0].sum() == 101 and words.rare[1].sum() == 101 * n
     for b in lm_score.read_blocks(lm_score.coded(blocks, replies, words).toArrow().to_batches()):
         assert sorted(b.heads[b.heads != 0xFFFF]) == list(range(lm_score.FREQUENT)) and (b.counts == n).all()
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_blocks_are_written_in_small_row_groups(spark):
+    """40 blocks of one task: it wrote them as one row group with a page of 19 MB of hashes, and whoever read a block held all."""
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 59999), i -> concat('w', 1000000 + id * 60000 + i)), ' ') AS text")
+    made, before = len(shared._made), spark.conf.get(BATCH)
+    got = lm_score.score(docs, rounds=1).collect()
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(40))
+    assert len(got) == 40 and {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(60_001, 1 if r.held_out else 60_001, 60_001 * n) for r in got}
+    assert spark.conf.get(BATCH) == before
+    rows = 0
+    for path in shared._made[made:]:
+        for f in Path(path.removeprefix("file://").removeprefix("file:")).glob("*.parquet"):
+            m = pq.ParquetFile(f).metadata
+            for g in (m.row_group(i) for i in range(m.num_row_groups)):
+                assert sum(g.column(c).total_compressed_size for c in range(g.num_columns)) < 12 << 20
+                if "codes" in m.schema.to_arrow_schema().names:
+                    rows += g.num_rows
+                    assert g.num_rows <= lm_score.GROUP_BLOCKS
+    assert rows == 80
+
+
+def test_batches_for_python_are_small_and_the_limit_comes_back(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    rows, before = spark.range(0, 60, 1, 1).selectExpr("cast(repeat('x', 500000) AS binary) AS x"), spark.conf.get(BATCH)
+    with pytest.raises(ZeroDivisionError), shared.batches_of(spark, lm_score.BATCH_BYTES):
+        got = rows.mapInArrow(run, "n long, size long").collect()
+        assert sum(r.n for r in got) == 60 and max(r.size for r in got) < lm_score.BATCH_BYTES + (1 << 20)
+        1 / 0  # noqa: B018
+    assert spark.conf.get(BATCH) == before
