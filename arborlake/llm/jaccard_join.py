@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard join with a prefix tree.
 
 Each document is the set of its k-word shingles in one global order, rare ones first. Two
-sets similar enough share a shingle among the first n - ceil(t n) + 1 of both. Chains of sets that
-share such a shingle form candidate clusters; the sets of a cluster, in blocks of bounded size,
-are stored in a trie, and each set is looked up in it: overlaps of common beginnings are
-counted once, and a subtree is left when the lengths that remain cannot reach the bound. In large
-clusters blocks are compared with themselves and one other first; sets that are connected then do not meet again.
+sets similar enough share a shingle among the first n - ceil(t n) + 1 of both. Sets that share such a
+shingle are compared by its places in both and by bitmaps of their shingles' parities, which differ in
+no more bits than the sets do in shingles; what may link by these forms candidate clusters. The sets of
+a cluster, in blocks of bounded size, are stored in a trie, and each set is looked up in it: overlaps
+of common beginnings are counted once, and a subtree is left when the lengths that remain cannot reach
+the bound. In large clusters blocks are compared with themselves and one other first; sets that are
+connected then do not meet again.
 
 Equal sets are one node throughout, so copies never meet pairwise, and a pair that is
 already connected within a block is not compared. Document frequencies come from a
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ from arborlake.llm.text import pieces, shingle_sets
 WIDTH, SKETCH_BLOCK = 1 << 23, 1 << 16
 #: Sets in one block of a cluster, blocks up to which every two of a cluster meet at once, and bytes of sets in one batch.
 BLOCK, PAIRED, BATCH_BYTES = 1000, 8, 4 << 20
+#: Sets with one prefix shingle up to which their pairs are told, and up to which one task compares their bitmaps; more become a chain.
+TOLD, COMPARED = 64, 4096
 
 
 def frequency_sketch(texts: DataFrame, k: int, width: int = WIDTH) -> np.ndarray:
@@ -96,6 +101,68 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def most_unlike(a, b, percent: int):
+    """How many shingles two linked sets of these sizes can have apart."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def parities(ordered: np.ndarray, percent: int) -> bytes:
+    """A bitmap of which bit i tells if an odd number of shingles are i modulo its width, some four times what linked sets can have apart.
+
+    A shingle that only one of two sets has changes one bit, so bitmaps differ in at most as many bits as sets do in shingles.
+    """
+    width = 64
+    while width < 4 * most_unlike(len(ordered), len(ordered), percent):
+        width *= 2
+    odd = np.bincount((ordered & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of two tables of 64-bit words differ, the wider ones folded to the width of the others."""
+    words = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1) if x.shape[1] > words else x for x in (a, b))
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _words(bits: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows whose bitmaps are of one width, and these as a table of words."""
+    size = pc.binary_length(bits).to_numpy()
+    for width in np.unique(size):
+        at = np.flatnonzero(size == width)
+        yield at, np.frombuffer(b"".join(bits.take(pa.array(at)).to_pylist()), dtype="<u8").reshape(len(at), -1)
+
+
+def placed_near(a: tuple, b: tuple, percent: int):
+    """If sets can link whose first common shingle this is; a and b: sizes and the shingle's places."""
+    return np.minimum(a[0] - a[1], b[0] - b[1]) * (100 + percent) >= percent * (a[0] + b[0])
+
+
+def near_sets(n: np.ndarray, place: np.ndarray, bits: pa.Array, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all rows, sorted by n, that may link by place and bitmap; each row meets those that are not yet connected."""
+    table, row = {}, np.zeros(len(n), dtype=np.int64)
+    width = np.zeros(len(n), dtype=np.int64)
+    for at, words in _words(bits):
+        table[words.shape[1]] = words
+        row[at], width[at] = np.arange(len(at)), words.shape[1]
+    free = np.ones(len(n), dtype=bool)
+    low, high = np.searchsorted(n, -(-n * percent // 100)), np.searchsorted(n, n * 100 // percent, side="right")
+    for start in range(len(n)):
+        if not free[start]:
+            continue
+        free[start], reached = False, [start]
+        while reached:
+            i = reached.pop()
+            at = low[i] + np.flatnonzero(free[low[i] : high[i]])
+            at = at[placed_near((n[i], place[i]), (n[at], place[at]), percent)]
+            for w in np.unique(width[at]):
+                some = at[width[at] == w]
+                near = some[bits_apart(table[w][row[some]], table[width[i]][row[i]][None]) <= most_unlike(n[i], n[some], percent)]
+                free[near] = False
+                reached += near.tolist()
+                yield from ((i, j) for j in near.tolist())
+
+
 class Trie:
     """Sorted sequences with shared beginnings; a node is (tokens, depth after them, least and greatest length below, first and last sequence, ends here, children)."""
 
@@ -162,54 +229,98 @@ def block_links(own: list[tuple[bytes, np.ndarray]], other: list[tuple[bytes, np
 
 
 def _signed(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """Per row: doc_id, tkey, n, node (of the set; null if empty) and the shingles of its prefix."""
+    """Per row: doc_id, tkey, n, node (of the set; null if empty), the shingles of its prefix and the bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in pieces(batches):
             sets = ordered_sets(own, k, sketch.value)
             prefix = [s[: prefix_size(len(s), percent)].view(np.int64) if len(s) else s[:0].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array([parities(s, percent) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "tkey", "n", "node", "prefix", "bits"])
 
-    schema = docs.select("doc_id", "tkey").schema.add("n", "long").add("node", "binary").add("prefix", T.ArrayType(T.LongType()))
+    schema = docs.select("doc_id", "tkey").schema.add("n", "long").add("node", "binary").add("prefix", T.ArrayType(T.LongType())).add("bits", "binary")
     return docs.mapInArrow(run, schema)
 
 
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by token anew, with all rows of a token in one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token = b.column("token").to_numpy()
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut or held and held[0].column("token")[0].as_py() != token[-1]:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) short node numbers: neighbours, by size, among the sets that share a prefix shingle.
+    """(u, v) short node numbers that connect all sets that share a prefix shingle and may link, by its places and the bitmaps.
 
-    Sets of sizes too far apart break a chain, as no set before the gap can link with one after it. The rows
-    are sorted by shingle, size and number over all tasks, so a shingle that many sets share is dealt to
-    many tasks; only the first and the last row of each task pass through the driver.
+    Up to ``TOLD`` sets with one shingle are told in pairs, which then get their bitmaps; more get their bitmaps and meet again.
+    Of over ``COMPARED`` sets each is told with the next by size. Sets of sizes too far apart break a chain, as no
+    set before the gap can link with one after it.
     """
-    rows = nodes.select(F.explode("prefix").alias("token"), F.col("n"), F.xxhash64("node").alias("id"))
-    dealt = rows.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
-    names = ["u", "v", "part", "token", "n", "id"]
+    told, compared = TOLD, COMPARED
+    facts = nodes.select(F.xxhash64("node").alias("id"), "n", "bits")
+    # size and place in one number, as rows are many
+    rows = nodes.select(F.posexplode("prefix").alias("place", "token"), "n", F.xxhash64("node").alias("id")).select("token", (F.shiftleft("n", 32) + F.col("place")).alias("at"), "id")
+    names = ["u", "v", "token", "at", "chained"]
 
-    def near(token: np.ndarray, n: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero((token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * percent))
-        return np.maximum(id_[at], id_[at + 1]), np.minimum(id_[at], id_[at + 1])
+    def out(u: np.ndarray, v: np.ndarray | None, token: np.ndarray | None = None, at: np.ndarray | None = None, chained: bool = False) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(u), pa.int64())
+        whole = pa.RecordBatch.from_arrays([*(none if x is None else pa.array(x, pa.int64()) for x in (u, v, token, at)), pa.array(np.full(len(u), chained))], names=names)
+        yield from (whole.slice(i, 50_000) for i in range(0, len(u), 50_000))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, first, last = TaskContext.get().partitionId(), None, None
+        for group in _whole_groups(batches):
+            token, at, id_ = (group.column(c).to_numpy() for c in ("token", "at", "id"))
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            many = np.diff(np.r_[first, len(token)])
+            end, many = np.repeat(first + many, many), np.repeat(many, many)
+            n, place = at >> 32, at & 0xFFFFFFFF
+            one, pairs, step = np.flatnonzero((many > 1) & (many <= told)), [], 1
+            while len(one):
+                one = one[one + step < end[one]]
+                one = one[n[one] * 100 >= n[one + step] * percent]
+                other = one + step
+                near = placed_near((n[one], place[one]), (n[other], place[other]), percent)
+                pairs.append(np.stack([np.maximum(id_[one], id_[other])[near], np.minimum(id_[one], id_[other])[near]], axis=1))
+                step += 1
+            if pairs:
+                yield from out(*np.unique(np.concatenate(pairs), axis=0).T)
+            hot = np.flatnonzero((many > told) & (many <= compared))
+            yield from out(id_[hot], None, token[hot], at[hot])
+            one = np.flatnonzero((many > compared) & (np.arange(len(token)) + 1 < end))
+            one = one[n[one] * 100 >= n[one + 1] * percent]
+            yield from out(np.maximum(id_[one], id_[one + 1]), np.minimum(id_[one], id_[one + 1]), chained=True)
+
+    found = written(rows.repartition("token").sortWithinPartitions("token", "at", "id").mapInArrow(run, "u long, v long, token long, at long, chained boolean"))
+
+    def pairs_near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                own = [b.column(c).to_numpy() for c in ("token", "n", "id")]
-                first = [x[:1].copy() for x in own] if first is None else first
-                u, v = near(*(own if last is None else [np.r_[x, y] for x, y in zip(last, own, strict=True)]))
-                last = [x[-1:].copy() for x in own]
-                none = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none.cast(pa.int32()), none, none, none], names=names)
-        if last is not None:
-            none = pa.nulls(2, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([part] * 2, pa.int32()), *[pa.array(np.r_[x, y]) for x, y in zip(first, last, strict=True)]], names=names)
-
-    found = written(dealt.mapInArrow(run, "u long, v long, part int, token long, n long, id long"))
-    edge = found.where("part IS NOT NULL").orderBy("part", "token", "n", "id").select("token", "n", "id").toArrow()
-    across = near(*(edge.column(c).to_numpy() for c in ("token", "n", "id")))
-    spark = nodes.sparkSession
-    return found.where("part IS NULL").select("u", "v").distinct().unionByName(spark.createDataFrame(list(zip(*(x.tolist() for x in across), strict=True)), "u long, v long"))
+            most = most_unlike(b.column("n").to_numpy(), b.column("m").to_numpy(), percent)
+            apart = np.zeros(b.num_rows, dtype=np.int64)
+            for at, own in _words(b.column("bits")):
+                for some, other in _words(b.column("others").take(pa.array(at))):
+                    apart[at[some]] = bits_apart(own[some], other)
+            yield b.select(["u", "v"]).filter(pa.array(apart <= most))
+
+    def groups_near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in sorted_groups(batches, "token"):
+            at, id_ = group.column("at").to_numpy(), group.column("id").to_numpy()
+            pairs = np.array(list(near_sets(at >> 32, at & 0xFFFFFFFF, group.column("bits").combine_chunks(), percent)), dtype=np.int64).reshape(-1, 2)
+            u, v = id_[pairs[:, 0]], id_[pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    pairs = found.where("v IS NOT NULL AND NOT chained").select("u", "v").distinct()
+    pairs = pairs.join(facts.withColumnRenamed("id", "u"), "u").join(facts.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("others")), "v")
+    hot = found.where("v IS NULL").select(F.col("u").alias("id"), "token", "at").join(facts.select("id", "bits"), "id")
+    hot = hot.repartition("token").sortWithinPartitions("token", "at", "id").mapInArrow(groups_near, "u long, v long")
+    return pairs.mapInArrow(pairs_near, "u long, v long").unionByName(hot).unionByName(found.where("chained").select("u", "v"))
 
 
 def _matched(tasks: DataFrame, docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
@@ -286,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tkey"))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(rows.select("text"), k, width))
     signed = written(_signed(rows, k, percent, sketch))
-    nodes = written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    nodes = written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     joined = components(set_links(rows, k, percent, sketch, nodes))
     rooted = nodes.select("node", "doc_id").join(joined.withColumnRenamed("u", "node"), "node", "left").select("node", "doc_id", F.coalesce("v", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
