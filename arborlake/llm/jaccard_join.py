@@ -42,6 +42,8 @@ WIDTH, SKETCH_BLOCK = 1 << 23, 1 << 16
 BLOCK, PAIRED, BATCH_BYTES = 1000, 8, 4 << 20
 #: Sets with one prefix shingle up to which their pairs are told, and up to which one task compares their bitmaps; more become a chain.
 TOLD, COMPARED = 64, 4096
+#: Bits of the map of texts that a step asks for.
+ASKED = 1 << 26
 
 
 def frequency_sketch(texts: DataFrame, k: int, width: int = WIDTH) -> np.ndarray:
@@ -320,7 +322,32 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(facts.withColumnRenamed("id", "u"), "u").join(facts.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("others")), "v")
     hot = found.where("v IS NULL").select(F.col("u").alias("id"), "token", "at").join(facts.select("id", "bits"), "id")
     hot = hot.repartition("token").sortWithinPartitions("token", "at", "id").mapInArrow(groups_near, "u long, v long")
-    return pairs.mapInArrow(pairs_near, "u long, v long").unionByName(hot).unionByName(found.where("chained").select("u", "v"))
+    # written, as what follows is Python too, and a task of both would need two workers at once
+    return written(pairs.mapInArrow(pairs_near, "u long, v long").unionByName(hot).unionByName(found.where("chained").select("u", "v")))
+
+
+def _asked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose tkey is not among ``keys``, told by a bitmap of hashes, so that the others are not shuffled."""
+    slot, names = F.pmod(F.xxhash64("tkey", F.lit(3)), F.lit(ASKED)), texts.columns
+    flags = np.zeros(ASKED // 8, dtype=np.uint8)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in sorted_groups(batches, "block"):
+            own = np.zeros(SKETCH_BLOCK, dtype=np.uint8)
+            own[group.column("at").to_numpy()] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    at = keys.select(slot.alias("slot")).distinct().select(F.shiftright("slot", 16).alias("block"), (F.col("slot") % SKETCH_BLOCK).alias("at"))
+    for r in at.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, bits binary").toLocalIterator():  # at most ASKED / 8 bytes
+        flags[r.block * SKETCH_BLOCK // 8 : (r.block + 1) * SKETCH_BLOCK // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(flags)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("slot").to_numpy()
+            yield b.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(names)
+
+    return texts.withColumn("slot", slot).mapInArrow(keep, texts.schema)
 
 
 def _matched(tasks: DataFrame, docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
@@ -350,7 +377,7 @@ def _matched(tasks: DataFrame, docs: DataFrame, k: int, percent: int, sketch) ->
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["u", "v"])
 
-    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(wanted, "tkey")
+    texts = _asked(docs.select("tkey", "text"), tasks).dropDuplicates(["tkey"]).join(wanted, "tkey")
     dealt = texts.mapInArrow(sets, "task string, node binary, part binary, side string, within boolean, items binary")
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(match, "u binary, v binary")
 

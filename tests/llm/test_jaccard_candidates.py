@@ -93,3 +93,11 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles(percent):
         common = len(np.intersect1d(base, other))
         if 100 * common >= percent * (len(base) + len(other) - common):
             assert apart <= jaccard_join.most_unlike(len(base), len(other), percent)
+
+
+def test_texts_that_no_task_asks_for_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string").withColumn("tkey", text_key(F.col("text"))).select("tkey", "text")
+    asked = docs.where("text LIKE '%7'")
+    got = {r.text for r in jaccard_join._asked(docs, asked.unionByName(asked).select("tkey")).collect()}
+    assert {f"text {i}" for i in range(7, 3000, 10)} <= got and len(got) <= 305
+    assert jaccard_join._asked(docs, asked.limit(0)).count() == 0
