q_at_risk deals its rows out by hash once instead of twice

Symptom: q_at_risk shuffled every (hash, device_id) row to tell devices apart and nearly as many rows again to count them, 13.7 MB written and as much read for 10.8 MB of lineitem and supplier files; a third shuffle comes with a table of devices too large to broadcast.
Evidence: check on the large input, before: 8 MB written by the scan, which drops 1,315 of 600,000 rows, then 5 MB in 428,289 rows of partial counts; contents have some four rows each, in as many partitions, so partial counts save little.
Fix: rows meet their device first and are dealt out once by hash, where a sort finds the first row of each device; contents with over a thousandth of the rows, found by a sketch of fixed size, keep the old plan, which spreads them over all tasks; q_replicas keeps the old plan, as it wrote 7.4 MB instead of 6.4 with the new one.
Effect: at 1 GB of input CPU 480 -> 455 s, shuffle 0.97 -> 0.66 GB, spill 0.00 -> 0.00 GB, read 0.28 -> 0.48 GB, longest task 29 -> 18 s, most memory of a task 607 -> 503 MB; at 6 GB of input CPU 1783 -> 1632 s, shuffle 6.13 -> 4.22 GB, spill 0.00 -> 0.00 GB, read 2.34 -> 3.59 GB, longest task 22 -> 26 s, most memory of a task 722 -> 537 MB; with hot keys, at 1 GB of input CPU 418 -> 513 s, shuffle 0.84 -> 0.57 GB, spill 0.00 -> 0.00 GB, read 0.27 -> 0.72 GB, longest task 14 -> 15 s, most memory of a task 473 -> 403 MB.

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators.ordered import PART, ROW, running
@@ -59,15 +59,47 @@ def duplicate_members(hashed: DataFrame) -> DataFrame:
     return hashed.join(twice, "hash", "left_semi")
 
 
-def replicas(held: DataFrame, devices: DataFrame) -> DataFrame:
-    """Per content: on how many devices it is, and whether only on mobile ones; ``held`` has (hash, device_id), ``devices`` (device_id, device_type)."""
+#: A content with more than a COMMON-th of the rows is common; there are fewer than COMMON of them in any number of rows.
+COMMON = 1000
+
+
+def replicas(held: DataFrame, devices: DataFrame, few: bool = False) -> DataFrame:
+    """Per content: on how many devices it is, and whether only on mobile ones; ``held`` has (hash, device_id), ``devices`` (device_id, device_type).
+
+    ``few``: most contents have few rows, so that a task's counts are hardly fewer than its rows; the same result with fewer rows shuffled.
+    """
+    if few:
+        return _replicas_of_few(held, devices)
     known = held.select("hash", "device_id").distinct().join(devices.select("device_id", "device_type"), "device_id", "left")
     return known.groupBy("hash").agg(F.count("*").alias("replicas"), F.bool_and(F.coalesce(F.col("device_type") == "mobile", F.lit(False))).alias("mobile_only"))
 
 
+def _replicas_of_few(held: DataFrame, devices: DataFrame) -> DataFrame:
+    """Rows meet their device first and are dealt out by hash once; sorted there, each device counts once.
+
+    All rows of a common content would go to one task so; common ones are counted as usual. ``held`` is read at once to find them, then for the other contents, and again if there are common ones.
+    """
+    mobile = F.coalesce(F.col("device_type") == "mobile", F.lit(False))
+    kinds = devices.groupBy("device_id").agg(F.count("*").alias("times"), F.bool_and(mobile).alias("mobile"))  # an id that comes twice counts twice
+    key = F.xxhash64("hash")
+    common = _common(held.select(key.alias("key")))
+    by_device = Window.partitionBy("hash").orderBy("device_id")
+    first = F.row_number().over(by_device) == F.rank().over(by_device)  # of equal rows
+    rest = held.where(~key.isin(common)) if common else held
+    known = rest.select("hash", "device_id").join(kinds, "device_id", "left").withColumn("first", first).where("first")
+    out = known.groupBy("hash").agg(F.sum(F.coalesce("times", F.lit(1))).alias("replicas"), F.bool_and(F.coalesce("mobile", F.lit(False))).alias("mobile_only"))
+    return out.unionByName(replicas(held.where(key.isin(common)), devices)) if common else out
+
+
+def _common(keyed: DataFrame) -> list[int]:
+    """Keys of the common contents, by a sketch of fixed size over all rows. It only decides how a content is dealt out, not what is counted."""
+    n, top = keyed.agg(F.count("*"), F.expr(f"approx_top_k(key, {COMMON})")).first()
+    return [x["item"] for x in top or [] if x["count"] * COMMON > n]
+
+
 def at_risk(held: DataFrame, devices: DataFrame) -> DataFrame:
     """Contents on a single device, or on mobile ones only."""
-    return replicas(held, devices).where("replicas = 1 OR mobile_only")
+    return replicas(held, devices, few=True).where("replicas = 1 OR mobile_only")
 
 
 #: Rows up to which a page is the end of a sort that keeps no more than so many per task.
